@@ -1,4 +1,184 @@
+"""Near-duplicate texts by Golay-code fuzzy hashing.
+
+A text's fingerprint is a row of segments. A segment has 23 one-bit minhashes, decoded with the perfect (23, 12, 7)
+Golay code, and two full minhashes that anchor it. A 23-bit word yields the index of its own codeword and of every
+codeword its 23 one-bit neighbours decode to: one key where it lies within two bits of a codeword, six where it lies at
+three. Two words at most two bits apart always share a key, so by pigeonhole two fingerprints with fewer than three
+errors per segment on average meet in at least one segment. Pairs that meet are compared exactly.
+"""
+
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Iterator
+from functools import lru_cache, partial
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1 of the binary Golay code.
+GOLAY_POLYNOMIAL = 0xC75
+BITS = 23
+
+SEGMENTS = 32
+ANCHORS = 2
+#: Minhashes drawn on by the segments; each segment takes its own selection of them.
+HASHES = 256
+SHINGLE = 8
+MIN_CHARS = 80
+THRESHOLD = 0.6
+
+
+def _remainder(words: np.ndarray) -> np.ndarray:
+    """Syndrome: remainder of each word's polynomial by the generator."""
+    r = words.astype(np.int64).copy()
+    for top in range(BITS - 1, 10, -1):
+        r ^= ((r >> top) & 1) * (GOLAY_POLYNOMIAL << (top - 11))
+    return r
+
+
+@lru_cache(1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Error pattern of each of the 2048 syndromes; the one-bit flips (and no flip) with their syndromes."""
+    patterns = np.array([sum(1 << i for i in c) for w in range(4) for c in combinations(range(BITS), w)], np.int64)
+    error = np.zeros(2048, np.int64)
+    error[_remainder(patterns)] = patterns
+    flips = np.concatenate([[0], 1 << np.arange(BITS)]).astype(np.int64)
+    return error, flips, _remainder(flips)
+
+
+def golay_keys(words: np.ndarray) -> np.ndarray:
+    """Codeword indices (12 bits) of each word and of its 23 neighbours: shape words.shape + (24,)."""
+    error, flips, flip_syndrome = _tables()
+    s = _remainder(words)
+    return ((words[..., None] ^ flips) ^ error[s[..., None] ^ flip_syndrome]) >> 11
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """splitmix64 finaliser."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(text: str, n: int = SHINGLE) -> np.ndarray:
+    """Different 64-bit hashes of all runs of ``n`` characters."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(c) < n:
+        return np.zeros(0, np.uint64)
+    h = np.zeros(len(c) - n + 1, np.uint64)
+    for i in range(n):
+        h = h * np.uint64(0x100000001B3) + c[i : len(c) - n + 1 + i]
+    return np.unique(_mix(h))
+
+
+@lru_cache(4)
+def _plan(segments: int, anchors: int, hashes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Multipliers and offsets of the minhashes; of each segment its hashes for bits, the bit of each, its anchors."""
+    rng = np.random.default_rng(20231)
+    a = rng.integers(1, 2**32, hashes, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+    b = rng.integers(0, 2**32, hashes, dtype=np.uint64).astype(np.uint32)
+    pick = np.stack([rng.permutation(hashes)[: BITS + anchors] for _ in range(segments)])
+    return a, b, pick[:, :BITS], rng.integers(0, 16, (segments, BITS)), pick[:, BITS:]
+
+
+def minhashes(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest value of every hash function; long texts go through in slices."""
+    out = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(x), 2048):
+        v = x[i : i + 2048, None] * a + b
+        v ^= v >> np.uint32(15)
+        v *= np.uint32(0x2C1B3C6D)
+        out = np.minimum(out, v.min(0))
+    return out
+
+
+def _keys(batches: Iterator[pa.RecordBatch], segments: int, anchors: int, hashes: int) -> Iterator[pa.RecordBatch]:
+    """(uid, norm) -> (key, uid), several keys for each segment."""
+    a, b, bit_of, bit_at, anchor_of = _plan(segments, anchors, hashes)
+    weight = (1 << np.arange(BITS)).astype(np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        uid = batch.column(0).to_numpy()
+        for lo in range(0, batch.num_rows, 512):
+            texts = batch.column(1).slice(lo, 512).to_pylist()
+            m = np.stack([minhashes(shingle_hashes(t), a, b) for t in texts])
+            m = _mix(m.astype(np.uint64) + np.uint64(1))  # (texts, hashes), well mixed
+            words = (((m[:, bit_of] >> (bit_at + 20).astype(np.uint64)) & np.uint64(1)).astype(np.int64) * weight).sum(2)
+            index = golay_keys(words)
+            index.sort(axis=2)
+            new = np.ones(index.shape, bool)
+            new[..., 1:] = index[..., 1:] != index[..., :-1]
+            anchor = np.zeros(words.shape, np.uint64)
+            for i in range(anchors):
+                anchor = _mix(anchor * np.uint64(31) + m[:, anchor_of[:, i]])
+            anchor = _mix(anchor + np.arange(segments, dtype=np.uint64))
+            doc, seg, slot = np.nonzero(new)
+            key = _mix(anchor[doc, seg] ^ (index[doc, seg, slot].astype(np.uint64) << np.uint64(40)))
+            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(uid[lo + doc])], names=["key", "uid"])
+
+
+def _verify(batches: Iterator[pa.RecordBatch], threshold: float, shingle: int) -> Iterator[pa.RecordBatch]:
+    """Exact Jaccard similarity of the runs of characters of both texts."""
+    for b in batches:
+        xs, ys = b.column(2).to_pylist(), b.column(3).to_pylist()
+        sim = np.zeros(len(xs))
+        last, sx = None, np.zeros(0, np.uint64)
+        for i, (x, y) in enumerate(zip(xs, ys)):
+            if x is not last:
+                last, sx = x, shingle_hashes(x, shingle)
+            sy = shingle_hashes(y, shingle)
+            both = len(np.intersect1d(sx, sy, assume_unique=True))
+            sim[i] = both / max(1, len(sx) + len(sy) - both)
+        keep = pa.array(sim >= threshold)
+        yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(sim).filter(keep)], names=["uid_a", "uid_b", "sim"])
+
+
+def normalised(texts: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(id, norm, uid) of the texts that take part: lower case, letters and digits only, at least ``min_chars``."""
+    norm = F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{Nd}]+", "")
+    d = texts.select(F.col(id_col).alias("id"), norm.alias("norm")).where(F.col("id").isNotNull() & (F.length("norm") >= min_chars))
+    return d.withColumn("uid", F.xxhash64("norm"))
+
+
+def near_duplicates(texts: DataFrame, id_col: str = "id", text_col: str = "text", threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, segments: int = SEGMENTS, anchors: int = ANCHORS, hashes: int = HASHES) -> tuple[DataFrame, DataFrame]:
+    """(links, members): pairs of different normalised texts with similarity >= ``threshold``, and who has which text.
+
+    links (uid_a, uid_b, sim) are between representatives, uid_a < uid_b; members (uid, id) has each id once per text.
+    Equal texts share a uid, so a group of copies costs one fingerprint and no pair. Null texts, null ids and texts
+    shorter than ``min_chars`` after normalisation take no part; repeated rows count once; an empty table gives
+    empty results. Texts are read whole, whatever their length.
+    """
+    norm = normalised(texts, id_col, text_col, min_chars)
+    members = norm.select("uid", "id").distinct()
+    # two texts under one 64-bit uid would have to collide; the aggregate keeps one text for each uid either way
+    reps = norm.groupBy("uid").agg(F.first("norm").alias("norm"))
+    keys = reps.mapInArrow(partial(_keys, segments=segments, anchors=anchors, hashes=hashes), "key bigint, uid bigint")
+    left, right = keys.withColumnRenamed("uid", "uid_a"), keys.withColumnRenamed("uid", "uid_b")
+    met = left.join(right, "key").where("uid_a < uid_b").select("uid_a", "uid_b").distinct()
+    both = met.join(reps.select(F.col("uid").alias("uid_b"), F.col("norm").alias("y")), "uid_b").join(reps.select(F.col("uid").alias("uid_a"), F.col("norm").alias("x")), "uid_a")
+    links = both.select("uid_a", "uid_b", "x", "y").mapInArrow(partial(_verify, threshold=threshold, shingle=SHINGLE), "uid_a bigint, uid_b bigint, sim double")
+    return links, members
+
+
+def found(spark: SparkSession, sf: str) -> DataFrame:
+    """p1_found: direct pairs of corpus ids with similarity >= 0.6, id_a < id_b.
+
+    The result is defined on ids, so copies are expanded here: links join the members of both ends, and the members
+    of one text join one another.
+    """
+    links, members = near_duplicates(spark.read.parquet(f"{sf}/corpus.parquet").select("id", "text"))
+    a, b = members.select(F.col("uid").alias("uid_a"), F.col("id").alias("i")), members.select(F.col("uid").alias("uid_b"), F.col("id").alias("j"))
+    across = links.join(a, "uid_a").join(b, "uid_b").where("i <> j").select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
+    same = a.join(b, a.uid_a == b.uid_b).where("i < j").select(F.col("i").alias("id_a"), F.col("j").alias("id_b"))
+    return across.unionByName(same).distinct()
+
+
+QUERIES = {"p1_found": found}
 SQL: dict[str, str] = {}

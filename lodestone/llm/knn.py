@@ -1,9 +1,10 @@
 """Most similar vectors for every vector: block matrix join with int8 product tiles.
 
 The collection is cut into blocks around centroids fitted on a bounded sample. Every vector is a base row of its own
-block and a query of the few blocks nearest to it. Inside a block, tiles of int8 products give each similarity with a
-rigorous quantisation error; only pairs whose upper bound reaches the running k-th lower bound are recomputed in float
-and merged into the bounded heap of their query.
+block and a query of the blocks nearest to it. Unit vectors travel as 16-bit fixed point (error of a similarity below
+2e-5), half the bytes of floats. Inside a block, tiles of int8 products give each similarity with a rigorous
+quantisation error; only pairs whose upper bound reaches the running k-th lower bound are recomputed in float and
+merged into the bounded heap of their query.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 #: Rows of the sample the block centroids are fitted on, at most (documented bound; every row is indexed).
 SAMPLE_ROWS = 32768
 MAX_BLOCKS = 16384
+#: Blocks for n rows: BLOCK_SHARE times the square root of n.
+BLOCK_SHARE = 0.25
+#: One unit of the 16-bit codes.
+CODE = np.float32(32767)
 #: A block is cut into tiles of about so many base rows.
 TILE_ROWS = 8192
 
@@ -48,7 +53,7 @@ def _pack(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatc
         at, x = _units(b.column(1), dim)
         keep = np.asarray(rows.is_valid())[at] if len(at) else np.zeros(0, bool)
         at, x = at[keep], x[keep]
-        yield pa.record_batch([rows.take(pa.array(at)), _binary(x)], names=["row", "unit"])
+        yield pa.record_batch([rows.take(pa.array(at)), _binary(np.rint(x * CODE).astype(np.int16))], names=["row", "unit"])
 
 
 def _binary(x: np.ndarray) -> pa.Array:
@@ -62,6 +67,7 @@ def _binary(x: np.ndarray) -> pa.Array:
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors of a column of 16-bit codes, as float32."""
     parts = col.chunks if isinstance(col, pa.ChunkedArray) else [col]
     out = []
     for c in parts:
@@ -70,11 +76,12 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
         # a slice shares its parent's buffers, and Arrow may carry 32- or 64-bit offsets
         wide = pa.types.is_large_binary(c.type)
         off = np.frombuffer(c.buffers()[1], np.int64 if wide else np.int32)[c.offset : c.offset + len(c) + 1]
-        out.append(np.frombuffer(c.buffers()[2], np.float32, count=len(c) * dim, offset=int(off[0])).reshape(len(c), dim))
-    return np.concatenate(out) if out else np.zeros((0, dim), np.float32)
+        out.append(np.frombuffer(c.buffers()[2], np.int16, count=len(c) * dim, offset=int(off[0])).reshape(len(c), dim))
+    x = np.concatenate(out).astype(np.float32) if out else np.zeros((0, dim), np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1)
 
 
-def fit_centroids(x: np.ndarray, k: int, rounds: int = 6, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def fit_centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Spherical k-means on the sample: unit centroids and each one's share of the sample."""
     rng = np.random.default_rng(seed)
     k = max(1, min(k, len(x)))
@@ -93,36 +100,34 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 6, seed: int = 7) -> tupl
 
 
 def _spread(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, tiles: np.ndarray, probes: int, margin: float) -> Iterator[pa.RecordBatch]:
-    """Sends each vector to its own block as base and query, and to near blocks as query only.
+    """Sends each vector to its own block, and as query to near blocks whose centroid is almost as similar.
 
-    role 3: base and query, 2: query only (block cut into several tiles or a foreign block), 1: base only.
+    ``base`` marks the one place where a vector also counts as a base row.
     """
     dim, k = centroids.shape[1], len(centroids)
     first = np.concatenate([[0], np.cumsum(tiles)[:-1]])
+    p = min(probes, k)
     for b in batches:
-        x = _matrix(b.column(1), dim)
+        x = _matrix(b.column(2), dim)
         if not len(x):
             continue
         gid = b.column(0).to_numpy()
         s = x @ centroids.T
-        p = min(probes, k)
         near = np.argpartition(-s, p - 1, axis=1)[:, :p] if p < k else np.tile(np.arange(k), (len(x), 1))
         sn = np.take_along_axis(s, near, 1)
         order = np.argsort(-sn, axis=1, kind="stable")
         near, sn = np.take_along_axis(near, order, 1), np.take_along_axis(sn, order, 1)
-        go = sn >= sn[:, :1] - margin
+        who, which = np.nonzero(sn >= sn[:, :1] - margin)
         own = near[:, 0]
         mine = (gid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % tiles[own]
-        who, which = np.nonzero(go)
         block = near[who, which]
         reps = tiles[block]
-        who2 = np.repeat(who, reps)
+        who = np.repeat(who, reps)
         t = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        is_own = np.repeat(which == 0, reps) & (t == mine[who2])
+        base = np.repeat(which == 0, reps) & (t == mine[who])
         tile = np.repeat(first[block], reps) + t
-        role = np.where(is_own, 3, 2).astype(np.int8)
-        idx = pa.array(who2)
-        yield pa.record_batch([pa.array(tile.astype(np.int32)), pa.array(role), b.column(0).take(idx), b.column(2).take(idx), b.column(1).take(idx)], names=["tile", "role", "gid", "row", "unit"])
+        idx = pa.array(who)
+        yield pa.record_batch([pa.array(tile.astype(np.int32)), pa.array(base), b.column(0).take(idx), b.column(1).take(idx), b.column(2).take(idx)], names=["tile", "base", "gid", "rows", "unit"])
 
 
 def _quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,11 +137,12 @@ def _quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale.astype(np.float32), np.linalg.norm(x - q * scale[:, None], axis=1).astype(np.float32)
 
 
-def tile_top(query: np.ndarray, base: np.ndarray, qid: np.ndarray, bid: np.ndarray, brow: np.ndarray, k: int, step: int = 1024, width: int = 4096):
+def tile_top(query: np.ndarray, base: np.ndarray, qid: np.ndarray, bid: np.ndarray, brow: np.ndarray, k: int, step: int = 1024, width: int = 4096, group: int = 16):
     """The k nearest base rows of each query by (similarity desc, row): arrays (query place, base place, similarity).
 
-    The int8 product bounds every similarity; |x.y - x'.y'| <= |x - x'| |y| + |x'| |y - y'|. Pairs that cannot reach the
-    k-th lower bound are dropped, the rest recomputed in float64 and kept in a bounded heap per query.
+    The int8 product bounds every similarity; |x.y - x'.y'| <= |x - x'| |y| + |x'| |y - y'|. The (k + 1)-th largest
+    maximum over groups of columns is a safe floor (a query may meet itself once); pairs that cannot reach it are
+    dropped, the rest recomputed in float64 and kept in a bounded heap per query.
     """
     qq, qs, qe = _quantise(query)
     bq, bs, be = _quantise(base)
@@ -148,81 +154,106 @@ def tile_top(query: np.ndarray, base: np.ndarray, qid: np.ndarray, bid: np.ndarr
         floor = np.full(n, -np.inf, np.float32)
         for j in range(0, len(base), width):
             cols = slice(j, min(j + width, len(base)))
-            sim = (qq[rows] @ bq[cols].T) * qs[rows, None] * bs[None, cols]
-            sim[qid[rows, None] == bid[None, cols]] = -3
-            err = qe[rows, None] + (1 + qe[rows, None]) * be[None, cols] + np.float32(1e-6)
-            low = sim - err
-            kth = min(k, low.shape[1])
-            floor = np.maximum(floor, np.partition(low, low.shape[1] - kth, axis=1)[:, -kth]) if low.shape[1] >= k else floor
-            a, b = np.nonzero((sim + err >= floor[:, None]) & (sim > -2.5))
-            exact = np.einsum("ij,ij->i", query[rows][a].astype(np.float64), base[cols][b].astype(np.float64))
+            m = cols.stop - j
+            dot = qq[rows] @ bq[cols].T
+            dot *= bs[None, cols]
+            err = qe[rows] + (1 + qe[rows]) * be[cols].max() + np.float32(1e-6)
+            if m >= group * (k + 1):
+                peak = np.maximum.reduceat(dot, np.arange(0, m, group), axis=1)
+                high = np.partition(peak, peak.shape[1] - k - 1, axis=1)[:, -k - 1]
+                floor = np.maximum(floor, high * qs[rows] - err)
+                least = (floor - err) / qs[rows]
+                a, g = np.nonzero(peak >= least[:, None])
+                a, b = np.repeat(a, group), (g[:, None] * group + np.arange(group)).ravel()
+                inside = b < m
+                a, b = a[inside], b[inside]
+                hit = dot[a, b] >= least[a]
+                a, b = a[hit], b[hit]
+            else:
+                if m > k:
+                    floor = np.maximum(floor, np.partition(dot, m - k - 1, axis=1)[:, -k - 1] * qs[rows] - err)
+                a, b = np.nonzero(dot >= ((floor - err) / qs[rows])[:, None])
+            other = qid[i + a] != bid[j + b]
+            a, b = a[other], b[other]
+            exact = np.einsum("ij,ij->i", query[i + a].astype(np.float64), base[j + b].astype(np.float64))
             keep_q, keep_b, keep_s = np.concatenate([keep_q, a]), np.concatenate([keep_b, b + j]), np.concatenate([keep_s, exact])
             order = np.lexsort((brow[keep_b], -keep_s, keep_q))
             keep_q, keep_b, keep_s = keep_q[order], keep_b[order], keep_s[order]
-            start = np.searchsorted(keep_q, np.arange(n))
-            top = np.arange(len(keep_q)) - start[keep_q] < k
+            top = np.arange(len(keep_q)) - np.searchsorted(keep_q, keep_q) < k
             keep_q, keep_b, keep_s = keep_q[top], keep_b[top], keep_s[top]
         heap_q.append(keep_q + i), heap_b.append(keep_b), heap_s.append(keep_s)
     return np.concatenate(heap_q), np.concatenate(heap_b), np.concatenate(heap_s)
 
 
 def _block(table: pa.Table, k: int, dim: int) -> pa.Table:
+    """One tile of the join: (gid, near) with the k nearest rows of each query as (-sim, row)."""
+    shape = pa.list_(pa.struct([("d", pa.float32()), ("row", pa.int64())]))
+    table = table.combine_chunks()
     x = _matrix(table.column("unit"), dim)
-    gid, row, role = (table.column(c).to_numpy() for c in ("gid", "row", "role"))
-    base = np.flatnonzero(role == 3)
-    if not len(base) or not len(gid):
-        return pa.table({"gid": pa.array([], pa.int64()), "ngid": pa.array([], pa.list_(pa.int64())), "sims": pa.array([], pa.list_(pa.float64()))})
-    q, b, s = tile_top(x, x[base], gid, gid[base], row[base], k)
+    gid = table.column("gid").to_numpy()
+    base = np.flatnonzero(table.column("base").to_numpy(zero_copy_only=False))
+    if not len(base):
+        return pa.table({"gid": pa.array([], pa.int64()), "near": pa.array([], shape)})
+    rows = table.column("rows").take(pa.array(base)).combine_chunks()
+    off = rows.offsets.to_numpy().astype(np.int64)
+    flat = rows.values.to_numpy()
+    q, b, s = tile_top(x, x[base], gid, gid[base], flat[off[:-1]], k)
+    # a neighbour stands for the lowest rows of its group of equal vectors
+    size = np.diff(off)[b]
+    q, s = np.repeat(q, size), np.repeat(s, size)
+    row = flat[np.repeat(off[b], size) + np.arange(len(q)) - np.repeat(np.cumsum(size) - size, size)]
+    order = np.lexsort((row, -s, q))
+    q, s, row = q[order], s[order], row[order]
+    top = np.arange(len(q)) - np.searchsorted(q, q) < k
+    q, s, row = q[top], s[top], row[top]
     cnt = np.bincount(q, minlength=len(gid))
     has = np.flatnonzero(cnt)
-    off = pa.array(np.concatenate([[0], np.cumsum(cnt[has])]).astype(np.int32))
-    return pa.table({"gid": pa.array(gid[has]), "ngid": pa.ListArray.from_arrays(off, pa.array(gid[base][b])), "sims": pa.ListArray.from_arrays(off, pa.array(s))})
+    ends = pa.array(np.concatenate([[0], np.cumsum(cnt[has])]).astype(np.int32))
+    near = pa.StructArray.from_arrays([pa.array((-s).astype(np.float32)), pa.array(row)], ["d", "row"])
+    return pa.table({"gid": pa.array(gid[has]), "near": pa.ListArray.from_arrays(ends, near)})
 
 
-def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, row: str = "row", embedding: str = "embedding", blocks: int | None = None, probes: int = 4, margin: float = 0.15) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, row: str = "row", embedding: str = "embedding", blocks: int | None = None, probes: int = 8, margin: float = 0.08) -> DataFrame:
     """For every usable row its k nearest other rows: (row_a, row_b, sim, rank_no).
 
     Usable: exactly ``dim`` values, all finite, not all zero, and a row number; other rows give no result. Cosine
     similarity; equals go by lower row. Repeated rows count once. Equal vectors are one representative in the join
-    and come back afterwards, so a huge group of copies costs one vector. With ``probes`` >= number of blocks
-    the result is exact. An empty table, or one usable row, gives no rows. Columns of other names are ignored.
+    and come back afterwards, so a huge group of copies costs one vector. With one block,
+    or ``probes`` and ``margin`` that reach every block, the result is exact but for the 16-bit codes. An empty table, or one usable row, gives no rows. Columns of other names are ignored.
     """
     spark = vectors.sparkSession
     src = vectors.select(F.col(row).cast("bigint").alias("row"), F.col(embedding).cast("array<float>").alias("embedding"))
     n = src.count()
-    k_blocks = blocks or int(min(MAX_BLOCKS, max(1, round(n**0.5))))
+    k_blocks = blocks or int(min(MAX_BLOCKS, max(1, round(BLOCK_SHARE * n**0.5))))
     m = max(1, -(-n // SAMPLE_ROWS))
     picked = src.where(F.pmod(F.xxhash64("row"), F.lit(m)) == 0).limit(SAMPLE_ROWS) if m > 1 else src
     sample = picked.mapInArrow(partial(_pack, dim=dim), "row bigint, unit binary").select("unit").toArrow()
     x = _matrix(sample.column(0), dim)
-    empty = "row_a bigint, row_b bigint, sim double, rank_no int"
     if not len(x):
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], "row_a bigint, row_b bigint, sim double, rank_no int")
     x = x[np.lexsort(x.T[:4])]  # the same centroids whatever order the sample came in
     centroids, share = fit_centroids(x, k_blocks)
     tiles = np.maximum(1, np.ceil(share * n / TILE_ROWS)).astype(np.int64)
 
     packed = src.mapInArrow(partial(_pack, dim=dim), "row bigint, unit binary").withColumn("gid", F.xxhash64("unit"))
-    reps = packed.groupBy("gid", "unit").agg(F.min("row").alias("row")).select("gid", "unit", "row")
-    sent = reps.mapInArrow(partial(_spread, centroids=centroids, tiles=tiles, probes=probes, margin=margin), "tile int, role tinyint, gid bigint, row bigint, unit binary")
+    # of a group of equal vectors only the k + 1 lowest rows can ever be neighbours
+    members = packed.select("gid", "row").distinct()
+    w = Window.partitionBy("gid").orderBy("row")
+    low = members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).groupBy("gid").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    # everything below is partitioned by gid once: representatives, lowest rows, merged heaps, members
+    reps = packed.groupBy("gid").agg(F.first("unit").alias("unit")).join(low, "gid").select("gid", "rows", "unit")
+    sent = reps.mapInArrow(partial(_spread, centroids=centroids, tiles=tiles, probes=probes, margin=margin), "tile int, base boolean, gid bigint, rows array<bigint>, unit binary")
 
     def join_block(table: pa.Table) -> pa.Table:
         return _block(table, k, dim)
 
-    found = sent.groupBy("tile").applyInArrow(join_block, "gid bigint, ngid array<bigint>, sims array<double>")
-    pairs = found.select("gid", F.explode(F.arrays_zip("ngid", "sims")).alias("z")).select("gid", F.col("z.ngid").alias("ngid"), F.col("z.sims").alias("sim"))
-
-    # rows of each group of equal vectors; only its k + 1 lowest can ever be a neighbour
-    members = packed.select("gid", "row").distinct()
-    w = Window.partitionBy("gid").orderBy("row")
-    low = members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).groupBy("gid").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    near = pairs.join(low.withColumnRenamed("gid", "ngid"), "ngid").select("gid", "sim", F.explode("rows").alias("row_b"))
-    own = low.where(F.size("rows") > 1).select("gid", F.lit(1.0).alias("sim"), F.explode("rows").alias("row_b"))
-    wg = Window.partitionBy("gid").orderBy(F.col("sim").desc(), F.col("row_b"))
-    # k + 1, as a row of the group itself may take one of the places
-    best = near.unionByName(own).withColumn("r", F.row_number().over(wg)).where(F.col("r") <= k + 1).groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("r", "sim", "row_b"))).alias("best"))
-    joined = members.join(best, "gid").select(F.col("row").alias("row_a"), F.slice(F.filter("best", lambda z: z["row_b"] != F.col("row")), 1, k).alias("top"))
-    return joined.select("row_a", F.posexplode("top").alias("pos", "z")).select("row_a", F.col("z.row_b").alias("row_b"), F.col("z.sim").alias("sim"), (F.col("pos") + 1).cast("int").alias("rank_no"))
+    near = sent.groupBy("tile").applyInArrow(join_block, "gid bigint, near array<struct<d: float, row: bigint>>")
+    heaps = near.groupBy("gid").agg(F.flatten(F.collect_list("near")).alias("near"))
+    own = F.transform("rows", lambda r: F.struct(F.lit(-1.0).cast("float").alias("d"), r.alias("row")))
+    # rows of the own group of copies come first; a row itself may be among them, hence one more than k
+    best = low.join(heaps, "gid", "left").select("gid", F.slice(F.sort_array(F.concat(F.when(F.size("rows") > 1, own).otherwise(F.slice(own, 1, 0)), F.coalesce("near", F.slice(own, 1, 0)))), 1, k + 1).alias("best"))
+    joined = members.join(best, "gid").select(F.col("row").alias("row_a"), F.slice(F.filter("best", lambda z: z["row"] != F.col("row")), 1, k).alias("top"))
+    return joined.select("row_a", F.posexplode("top").alias("pos", "z")).select("row_a", F.col("z.row").alias("row_b"), (-F.col("z.d")).cast("double").alias("sim"), (F.col("pos") + 1).cast("int").alias("rank_no"))
 
 
 def found(spark: SparkSession, sf: str) -> DataFrame:

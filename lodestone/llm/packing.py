@@ -1,4 +1,166 @@
+"""Filling fixed-capacity containers: bulk-synchronous best fit.
+
+Sizes are whole tokens, so documents sorted by size and gaps sorted by room are both runs of equal values. A superstep
+takes the documents of one size, largest first, and sweeps them to their successor among the gaps (the smallest gap
+with room). Documents and gaps of one run are matched by rank, the gaps shrink, and the next superstep follows; what
+finds no gap opens containers. The sweep works on runs (size, count) and (gap, first container, count), of which there
+are at most as many as the capacity allows, while the documents stay distributed: each gets its rank within its size
+by a bucketed prefix count and reads its container off the matched runs.
+"""
+
 from __future__ import annotations
 
-QUERIES: dict = {}
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.session import cut
+
+from .tokens import VOCABULARY, counted
+
+MAX_CAPACITY = 1 << 20
+#: Items of one size that one task ranks, about.
+BUCKET_ROWS = 100_000
+
+
+def best_fit(sizes: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Matches runs: ([(size, first rank, count, first container)], number of containers).
+
+    ``sizes`` counts the items of each size 1..capacity. Equal to placing the items one by one, largest first, each
+    into the fullest container that has room.
+    """
+    moves: list[tuple[int, int, int, int]] = []
+    runs: dict[int, list[tuple[int, int]]] = {}
+    order: list[int] = []
+    opened = 0
+
+    def add(gap: int, first: int, count: int) -> None:
+        if gap and count:
+            if gap not in runs:
+                runs[gap] = []
+                insort(order, gap)
+            runs[gap].append((first, count))
+
+    def fill(gap: int, first: int, size: int, rank: int, n: int) -> tuple[int, int]:
+        """Items into one run of equal gaps, each container as full as it gets; (containers used, items placed)."""
+        per = gap // size
+        full, rest = divmod(n, per)
+        for i in range(per if full else 0):
+            moves.append((size, rank + i * full, full, first))
+        add(gap - per * size, first, full)
+        for i in range(rest):
+            moves.append((size, rank + per * full + i, 1, first + full))
+        if rest:
+            add(gap - rest * size, first + full, 1)
+        return full + bool(rest), per * full + rest
+
+    for size in sorted(sizes, reverse=True):
+        n, rank = sizes[size], 0
+        while n:
+            at = bisect_left(order, size)
+            if at == len(order):
+                used, _ = fill(capacity, opened, size, rank, n)
+                opened += used
+                break
+            gap = order[at]
+            first, count = runs[gap].pop()
+            if not runs[gap]:
+                del runs[gap], order[at]
+            take = min(n, count * (gap // size))
+            used, placed = fill(gap, first, size, rank, take)
+            add(gap, first + used, count - used)
+            rank, n = rank + placed, n - placed
+    return moves, opened
+
+
+def _assign(batches: Iterator[pa.RecordBatch], packs: list[str], keys: np.ndarray, upto: np.ndarray, container: np.ndarray, opened: np.ndarray, wide: int) -> Iterator[pa.RecordBatch]:
+    """Container of each item by its (pack, size, rank); an empty item goes round robin."""
+    for b in batches:
+        c = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+        pack, size, rank = (c[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in ("pack_no", "n_tokens", "rank"))
+        out = rank % np.maximum(opened[pack], 1)
+        some = np.flatnonzero(size > 0)
+        # moves are sorted by (pack, size), then by last rank
+        k = pack[some] * wide + size[some]
+        lo, hi = np.searchsorted(keys, k), np.searchsorted(keys, k, "right")
+        r = rank[some]
+        while (lo < hi - 1).any():
+            mid = (lo + hi - 1) // 2
+            go = (upto[mid] <= r) & (lo < hi - 1)
+            lo, hi = np.where(go, mid + 1, lo), np.where(go | (lo >= hi - 1), hi, mid + 1)
+        begin = np.where((lo > 0) & (keys[lo - 1] == k), upto[lo - 1], 0)
+        out[some] = container[lo] + (r - begin)
+        yield pa.record_batch([pa.array([packs[p] for p in pack], pa.string()), pa.array(out), c["doc_id"], c["piece_no"], c["token_start"], c["n_tokens"]], names=["pack_name", "container_id", "doc_id", "piece_no", "token_start", "n_tokens"])
+
+
+def pack(documents: DataFrame, limits: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(pack_name, container_id, doc_id, piece_no, token_start, n_tokens): every document in every pack.
+
+    A document over the capacity is cut into pieces of ``capacity`` tokens and a last one; all others stay whole
+    (piece_no 0). Null and empty texts have size 0 and are spread over the containers. Repeated rows count once;
+    limits with a null name or capacity, or a capacity below 1, are ignored. Ties among equal sizes go by a hash of
+    the id, so the result is the same for every partitioning. Empty tables give no rows.
+    """
+    spark = documents.sparkSession
+    packs = sorted({(r[0], int(r[1])) for r in limits.select("pack_name", "capacity_tokens").distinct().limit(1000).collect() if r[0] is not None and r[1] is not None and r[1] >= 1})
+    shape = "pack_name string, container_id bigint, doc_id bigint, piece_no int, token_start bigint, n_tokens bigint"
+    if not packs:
+        return spark.createDataFrame([], shape)
+    if max(c for _, c in packs) > MAX_CAPACITY:
+        raise ValueError(f"capacities above {MAX_CAPACITY} are not supported")
+    src = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    sized = cut(src.mapInArrow(partial(counted, text="text", path=vocabulary), "doc_id bigint, h bigint, n_tokens bigint").distinct())
+
+    caps = F.array(*[F.struct(F.lit(i).alias("pack_no"), F.lit(c).cast("bigint").alias("capacity")) for i, (_, c) in enumerate(packs)])
+    each = sized.select("doc_id", "h", "n_tokens", F.explode(caps).alias("p")).select("doc_id", "h", "n_tokens", "p.pack_no", "p.capacity")
+    last = F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity")) - 1, F.lit(0)).cast("int")
+    items = each.select("pack_no", "doc_id", "h", "capacity", F.col("n_tokens").alias("total"), F.explode(F.sequence(F.lit(0), last)).alias("piece_no")).select(
+        "pack_no", "doc_id", "h", "piece_no", (F.col("piece_no") * F.col("capacity")).alias("token_start"), F.least("capacity", F.col("total") - F.col("piece_no") * F.col("capacity")).alias("n_tokens")
+    )
+    # at most one row for each pack and size: bounded by the sum of the capacities, whatever the number of documents
+    runs = items.groupBy("pack_no", "n_tokens").count().collect()
+    moves, opened = [], []
+    for i, (_, capacity) in enumerate(packs):
+        m, n = best_fit({r["n_tokens"]: r["count"] for r in runs if r["pack_no"] == i and r["n_tokens"] > 0}, capacity)
+        moves += [(i, *x) for x in m]
+        opened.append(n)
+    table = np.array(sorted(moves), np.int64).reshape(-1, 5)
+    wide = MAX_CAPACITY + 1
+
+    # ranks within a size: a count for each bucket, prefix sums over buckets, then a rank inside the bucket
+    most = max((r["count"] for r in runs), default=0)
+    buckets = max(1, -(-most // BUCKET_ROWS))
+    items = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h", "piece_no"), F.lit(buckets)))
+    per = items.groupBy("pack_no", "n_tokens", "bucket").agg(F.count("*").alias("n"))
+    before = per.select("pack_no", "n_tokens", "bucket", (F.sum("n").over(Window.partitionBy("pack_no", "n_tokens").orderBy("bucket")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("pack_no", "n_tokens", "bucket").orderBy(F.xxhash64("doc_id", "piece_no"), "doc_id", "h", "piece_no")) - 1
+    if buckets == 1:
+        ranked = items.withColumn("rank", inside.cast("bigint"))
+    else:
+        ranked = items.withColumn("inside", inside).join(before, ["pack_no", "n_tokens", "bucket"]).withColumn("rank", F.col("inside") + F.col("before"))
+    run = partial(_assign, packs=[n for n, _ in packs], keys=table[:, 0] * wide + table[:, 1], upto=table[:, 2] + table[:, 3], container=table[:, 4], opened=np.array(opened, np.int64), wide=wide)
+    return ranked.select("pack_no", "doc_id", "piece_no", "token_start", "n_tokens", "rank").mapInArrow(run, shape)
+
+
+def fill_report(packed: DataFrame, limits: DataFrame) -> DataFrame:
+    """(pack_name, containers, used_tokens, unused_share) of a packing."""
+    caps = limits.select("pack_name", "capacity_tokens").distinct()
+    by = packed.groupBy("pack_name", "container_id").agg(F.sum("n_tokens").alias("used"))
+    total = by.groupBy("pack_name").agg(F.count("*").alias("containers"), F.sum("used").alias("used_tokens"))
+    return total.join(F.broadcast(caps.limit(1000)), "pack_name").select("pack_name", "containers", "used_tokens", (1 - F.col("used_tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("unused_share"))
+
+
+def _tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/pack_limits.parquet")
+
+
+QUERIES = {
+    "p7_packing": lambda spark, sf: pack(*_tables(spark, sf)),
+    "p7_fill": lambda spark, sf: fill_report(pack(*_tables(spark, sf)), _tables(spark, sf)[1]),
+}
 SQL: dict[str, str] = {}

@@ -1,4 +1,351 @@
+"""Personal information inside free text: find it, place it, replace it.
+
+Detection is offset-preserving: transducers rewrite a text into a plain form (digits of any script and full-width signs,
+look-alike letters, runs of spelled digits, at/dot disguises of addresses) while every character of the plain form
+remembers the stretch it came from. Identifiers are found in the plain form and their spans mapped back.
+
+Names are found with a lexicon learned from the texts themselves: words that occur in the local parts of e-mail
+addresses and after titles and labels, and hardly otherwise.
+"""
+
 from __future__ import annotations
 
-QUERIES: dict = {}
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache, partial
+
+import pyarrow as pa
+import regex as re
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Least share of all words for an entry of the learned lexicon; bounds it by the inverse.
+FLOOR = 1e-6
+#: Least share of a word's uses that are evidence of a name.
+EVIDENCE = 0.15
+
+KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
+
+# ---------------------------------------------------------------- fixed values
+#: Look-alike letters of other scripts and the Latin letters they pass for.
+HOMOGLYPHS = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧονіⅼ", "ABESIJKMHOPCTYXaesijopcyxdhqwABEZHIKMNOPTYXovil"))
+SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+SPELLED |= {"null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9"}
+SPELLED |= {"zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9", "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9"}
+PHONE_CUES = "phone telephone tel tél fax call ring rang dial mobile cell reach text telefon rückruf mobil anruf fon téléphone rappeler appeler portable teléfono llame llamar móvil 电话 手机 传真 致电 電話 携帯 फ़ोन फोन दूरभाष मोबाइल هاتف جوال اتصل โทร เบอร์".split()
+ID_CUES = (
+    "identity number;identity card;id number;id no;id;passport;passport number;social security;social security number;ssn;tax number;tax id;holder of card;card number;patient number;patient no;insurance number;national insurance"
+    ";ausweisnummer;personalausweis;steuernummer;reisepass;sozialversicherungsnummer;versichertennummer;patientennummer"
+    ";numéro d'identité;numéro de passeport;passeport;numéro de sécurité sociale;numéro fiscal;pasaporte;dni;nif;nie;número de identidad;documento de identidad;seguridad social"
+    ";证件号码;证件号;身份证号码;身份证号;身份证;护照号;护照;身分証番号;パスポート番号;パスポート;マイナンバー;पहचान संख्या;पहचान पत्र;पासपोर्ट;आधार;رقم الهوية;هوية;جواز السفر;جواز;เลขบัตรประชาชน;บัตรประชาชน;หนังสือเดินทาง"
+).split(";")
+NAME_CUES = (
+    "Name:;Name :;Nom :;Nombre:;Mr.;Mr;Ms.;Mrs.;Miss;Dr.;Prof.;Frau;Herr;Herrn;Mme;M.;Monsieur;Madame;Sr.;Sra.;Señor;Señora;c/o;Patient;holder:;Inhaber;a nombre de;est celui de;Según;Selon;Laut;said;signed by;Thanks to;sincerely,;regards,;السيد;السيدة;联系人：;担当は;ติดต่อ"
+).split(";")
+STREETS_EN = "Street St\\.? Road Rd\\.? Lane Ln\\.? Avenue Ave\\.? Close Terrace Drive Court Crescent Square Row Place Boulevard Blvd\\.? Gardens Grove Mews Walk Way".split()
+STREETS_FR = "rue avenue boulevard place impasse chemin quai allée cours route".split()
+STREETS_DE = "gasse str\\. straße strasse allee weg platz ufer damm ring".split()
+STREETS_ES = "Avda\\. Avda Avenida Calle C/ Plaza Pza\\. Paseo".split()
+FLATS = "Flat Apt\\.? Apartment Unit Suite Room".split()
+PARTICLES = set("von van der den de la le du di da del dos zu zur ter".split())
+# ------------------------------------------------------------------------------
+
+
+@lru_cache(1)
+def _plain_chars() -> dict[int, str]:
+    """One-to-one part of the transducer: full-width signs, digits of every script, look-alike letters, odd spaces."""
+    table = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+    table |= {c: str(unicodedata.digit(chr(c))) for c in range(0x80, 0x1FBFA) if unicodedata.category(chr(c)) == "Nd"}
+    table |= {c: " " for c in (0xA0, 0x2007, 0x2009, 0x202F, 0x3000)}
+    table |= {ord(c): "-" for c in "‐‑‒–−"} | {ord("’"): "'", ord("ʼ"): "'"}
+    return table
+
+
+_GLYPH = re.compile("[" + "".join(HOMOGLYPHS) + "]")
+_AT = r"(?:\s*[\[({<]\s*(?:at|@|ät|arroba|arobase)\s*[\])}>]\s*|\s+@\s*|\s*@\s+|@)"
+_WORD_AT = r"\s+(?:at|arroba|arobase)\s+"
+_DOT = r"(?:\s*[\[({]\s*(?:dot|punkt|point|punto|\.)\s*[\])}]\s*|\s+(?:dot|punkt|punto)\s+)"
+_LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
+_LOCAL = r"(?<![a-z0-9._%+-])[a-z0-9](?:[a-z0-9._%+-]*[a-z0-9])?"
+#: at least one sign of an address: a real or bracketed at, or words for both at and dot
+_DISGUISED = re.compile(rf"{_LOCAL}(?P<at>{_AT})(?:{_LABEL}(?P<dot>{_DOT}|\.))+[a-z]{{2,}}(?![a-z0-9])|{_LOCAL}(?P<at>{_WORD_AT})(?:{_LABEL}(?P<dot>{_DOT}))+[a-z]{{2,}}(?![a-z0-9])", re.I)
+_SPELLED = re.compile(r"(?<!\w)(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r")(?:[\s-]+(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r")){5,}(?!\w)", re.I)
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def plain(text: str) -> tuple[str, list[int] | None]:
+    """The plain form and, if lengths differ, the source place of each of its characters (and of its end)."""
+    s = text.translate(_plain_chars())
+    if _GLYPH.search(s):
+        # only inside words that also have Latin letters: Cyrillic and Greek words stay as they are
+        s = re.sub(r"[\p{L}\p{N}._%+@-]*", lambda m: "".join(HOMOGLYPHS.get(c, c) for c in m.group()) if re.search(r"[a-zA-Z]", m.group()) else m.group(), s)
+    edits: list[tuple[int, int, str]] = []
+    for m in _DISGUISED.finditer(s):
+        edits += [(*m.span("at"), "@")] + [(a, b, ".") for a, b in m.spans("dot")]
+    for m in _SPELLED.finditer(s):
+        edits.append((*m.span(), "".join(SPELLED[w.lower()] for w in re.findall(r"[^\W\d_]+", m.group()))))
+    edits = sorted(e for e in edits if s[e[0] : e[1]] != e[2])
+    if not edits:
+        return s, None
+    out, place, at = [], [], 0
+    for a, b, new in edits:
+        if a < at:
+            continue
+        out.append(s[at:a])
+        place.extend(range(at, a))
+        out.append(new)
+        place.extend(a + (b - a) * i // len(new) for i in range(len(new)))
+        at = b
+    out.append(s[at:])
+    place.extend(range(at, len(s) + 1))
+    return "".join(out), place
+
+
+_EMAIL = re.compile(rf"{_LOCAL}@(?:{_LABEL}\.)+[a-z]{{2,}}(?![a-z0-9])", re.I)
+_PHONE = re.compile(r"(?<![\p{Latin}\p{N}_/.,-])(?:\+\d{1,3}[ .-]?(?:\d(?=[ .-]))?[ .-]?|00\d[ .-])?(?:\(\d{2,5}\)[ .-]?)?\d{2,14}(?:[ .-]\d{2,9}){0,6}(?![\d_]|[/.,-]\d|-?[a-zA-Z])")
+_CUE_GAP = r"(?:[^.!?。！？।؟\n]|(?<=(?<!\p{L})\p{Lu})\.|(?<=\bn)\.){0,60}"
+_PHONE_CUE = re.compile(r"(?:(?<!\p{L})(?:" + "|".join(c for c in PHONE_CUES if c.isascii() or c[0] in "térf" or "ü" in c or "é" in c or "ó" in c) + r")(?!\p{L})|(?:" + "|".join(c for c in PHONE_CUES if ord(c[0]) > 0x5FF) + r"))\.?" + _CUE_GAP + r"$", re.I)
+_JOINED = re.compile(r"¤\s?(?:[,;/&、，]|or|oder|ou|o|y|and|und|et|e|或|या|أو|หรือ)?\s?$")
+_ID = re.compile(r"(?:(?<!\p{L})(?:" + "|".join(map(re.escape, sorted((c for c in ID_CUES if ord(c[0]) < 0x600), key=len, reverse=True))) + r")(?!\p{L})|(?:" + "|".join(map(re.escape, sorted((c for c in ID_CUES if ord(c[0]) >= 0x600), key=len, reverse=True))) + r"))(?:\s*(?:no|nr|number|nº|n\.º|番号|号码|号|は|为|是|es|is|est|ist|lautet)(?!\p{L}))?[\s.:#：]*(?-i:((?:[A-Z]{1,3}[ -]?)?\d[\dA-Z]*(?:[ ./-]\d[\dA-Z]*)*(?:[ -]?[A-Z](?![A-Za-z0-9]))?))", re.I)
+
+_TOWN = r"\p{Lu}[\p{L}'-]+(?:[ ]\p{Lu}[\p{L}'-]+)?"
+_POST = r"(?:[A-Z]{1,2}[ -])?\d{4,6}"
+_FLAT = r"(?:" + "|".join(FLATS) + r")[ ]\d+[A-Za-z]?"
+_TAIL = rf"(?:(?:,[ ](?P<town>{_TOWN})(?:(?:,[ ]|[ ]){_POST}(?!\d))?)|(?:[ ]?\n(?P<lined>{_TOWN})(?:,[ ]|[ ]){_POST}(?!\d))|(?:[ ]?\n(?P<bare>{_TOWN})(?=[,.;]|[ ]?\n|$)))?"
+_ADDRESSES = [
+    re.compile(rf"(?<![\p{{L}}\d])(?:{_FLAT},[ ])?\d{{1,5}}[A-Za-z]?[ ](?:\p{{Lu}}[\p{{L}}'-]+[ ]){{1,3}}(?:{'|'.join(STREETS_EN)})(?!\p{{L}})(?:,[ ]{_FLAT})?{_TAIL}"),
+    re.compile(rf"(?<![\p{{L}}\d])(?:P\.?[ ]?O\.?[ ]?Box|Postfach|Apartado|B\.?P\.?)[ ]\d+{_TAIL}"),
+    re.compile(rf"(?<![\p{{L}}\d])\d{{1,5}}(?:[ ](?:bis|ter|quater))?,?[ ](?:{'|'.join(STREETS_FR)})[ ](?:(?:de[ ]la|de|du|des)[ ]|d')?\p{{Lu}}[\p{{L}}'-]+(?:[ ]\p{{Lu}}[\p{{L}}'-]+)?(?:,[ ]\d{{5}}[ ](?P<town>{_TOWN}))?"),
+    re.compile(rf"(?<![\p{{L}}\d])\p{{Lu}}[\p{{L}}-]*(?:{'|'.join(STREETS_DE)})[ ]\d{{1,4}}[a-z]?(?!\p{{L}})(?:(?:,|[ ]in)[ ]\d{{5}}[ ](?P<town>{_TOWN}))?", re.I),
+    re.compile(rf"(?<![\p{{L}}\d])(?:{'|'.join(STREETS_ES)})[ ](?:de[ ](?:la[ ])?)?\p{{Lu}}[\p{{L}}'-]+(?:[ ]\p{{Lu}}[\p{{L}}'-]+)?,?[ ](?:(?:n\.?º|núm\.)[ ]?)?\d+[A-Za-z]?(?:,[ ]\d+\.?[ºª](?:[ ][A-Z](?!\p{{L}}))?)?(?:,[ ](?:\d{{5}}[ ])?(?P<town>{_TOWN}))?"),
+    re.compile(r"(?<=[到往在于至址：:，。、\s])\p{Han}{1,7}?(?:省|市|镇|县|乡|区)\p{Han}{1,14}?(?:路|街|道|巷|胡同)\d{1,5}号(?:\d{1,4}(?:单元|室|栋|楼|号楼|层))*"),
+    re.compile(r"(?<!\p{Han})\p{Han}{1,6}?[市区町村郡][\p{Han}ヶ]{1,10}?\d{1,3}丁目\d{1,3}番(?:地)?(?:\d{1,4}号)?"),
+    re.compile(r"〒\d{3}-\d{4}\s*[\p{Han}\p{Hiragana}\p{Katakana}ヶー]{2,30}?\d{1,4}(?:-\d{1,4})*(?:番地|号)?"),
+]
+_NAME_TOKEN = re.compile(r"\p{Latin}[\p{Latin}\p{M}']*")
+_NAME_CUE = re.compile(r"(?<!\p{L})(?:" + "|".join(map(re.escape, sorted(NAME_CUES, key=len, reverse=True))) + r")\s*$")
+_LABELLED = re.compile(r"(?:(?<!\p{L})Name ?: ?|联系人：|担当は)((?:\p{Lu}\. ?)*\p{Lu}[\p{Latin}'-]+(?:,? (?:\p{Lu}\.|(?:von|van|der|de|la) |\p{Lu}[\p{Latin}'-]+)){0,3})")
+_NOT_PERSON = re.compile(r"[ ](?:scale|syndrome|school|hall|quartet|street|prize|institute|college|test|house|museum|Skala|Schule|échelle)s?(?!\p{L})", re.I)
+
+
+def _roots(word: str) -> list[str]:
+    """The word and what is left of it without O' or Mac."""
+    w = word.lower()
+    return [w] + [w[len(p) :] for p in ("o'", "d'", "mac", "mc") if w.startswith(p) and len(w) > len(p) + 2]
+
+
+def _preposition(s: str, toks: list, a: int, b: int, comma: bool, words: int) -> bool:
+    """Whether a leading particle is no part of the name: one before a given name, after an item, or a bare de.
+
+    A surname that comes first or stands alone keeps its own (von Xander, Ada; Ms. van der Xander).
+    """
+    word = s[toks[a][1] : toks[a][2]].lower()
+    alone = toks[a + 1][0] != "P"
+    if toks[a + 1][0] == "I" or not (comma or words == 1) or any(t[0] == "I" for t in toks[a : b + 1] if not comma):
+        return True
+    if word in ("de", "du", "di", "da", "del", "dos", "la", "le") and (alone or s[toks[a + 1][1] : toks[a + 1][2]].lower() not in ("la", "le")):
+        return True
+    return word == "von" and s[max(0, toks[a][1] - 2) : toks[a][1]] == "¤ "
+
+
+def _names(s: str, lexicon: frozenset) -> Iterator[tuple[int, int]]:
+    """Maximal runs of lexicon words, initials and particles that make up a name."""
+    toks = []
+    for m in _NAME_TOKEN.finditer(s):
+        w, a, b = m.group(), m.start(), m.end()
+        if len(w) == 1 and w.isupper() and s[b : b + 1] == ".":
+            toks.append(("I", a, b + 1))
+        elif len(w) > 2 and any(r in lexicon for r in _roots(w)):
+            toks.append(("L", a, b))
+        elif w.lower() in PARTICLES and (w.islower() or w.isupper()):
+            toks.append(("P", a, b))
+        else:
+            toks.append(("x", a, b))
+    i, n = 0, len(toks)
+    while i < n:
+        if toks[i][0] == "x":
+            i += 1
+            continue
+        j, comma, known = i, False, toks[i][0] == "L"
+        words = int(known)
+        while j + 1 < n and toks[j + 1][0] != "x":
+            gap = s[toks[j][2] : toks[j + 1][1]]
+            kind = toks[j + 1][0]
+            if gap == " " or (gap == "" and toks[j][0] == "I"):
+                pass
+            elif gap == "-" and toks[j][0] == "L" and kind == "L":
+                words -= 1
+            elif gap == ", " and not comma and words == 1 and kind in "LI" and all(t[0] in "LP" for t in toks[i : j + 1]):
+                comma = True
+            else:
+                break
+            j += 1
+            words += kind == "L"
+            known |= kind == "L"
+        a, b = i, j
+        while b > a and toks[b][0] == "P":
+            b -= 1
+        while a < b and toks[a][0] == "P" and _preposition(s, toks, a, b, comma, words):
+            a += 1
+        if known:
+            start, end = toks[a][1], toks[b][2]
+            found = s[start:end]
+            lone = words == 1 and all(t[0] != "I" for t in toks[a : b + 1])
+            lower = not any(c.isupper() for c in found)
+            if not _NOT_PERSON.match(s, end) and not (lone and lower and not _NAME_CUE.search(s[max(0, start - 24) : start])):
+                yield start, end
+        i = j + 1
+
+
+def detect(text: str, lexicon: frozenset) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the items of one text, in order, without overlaps; positions in the source text."""
+    s, place = plain(text)
+    hits: list[tuple[str, int, int]] = []
+
+    def take(kind: str, a: int, b: int) -> None:
+        nonlocal s
+        hits.append((kind, a, b))
+        s = s[:a] + "¤" * (b - a) + s[b:]
+
+    if "@" in s:
+        for m in list(_EMAIL.finditer(s)):
+            take("EMAIL", *m.span())
+    for i, pattern in enumerate(_ADDRESSES):
+        for m in list(pattern.finditer(s)):
+            a, b = m.span()
+            if "¤" in s[a:b]:
+                continue
+            g = m.groupdict()
+            if g.get("bare") and not _is_town(g["bare"], lexicon):
+                b = m.start("bare")
+                while s[b - 1] in " \n":
+                    b -= 1
+            town = g.get("town")
+            if town and " " in town and m.end("town") == b and not _is_town(town, lexicon):
+                b -= len(town) - town.index(" ")  # the next sentence's first word
+            if i == 0 and re.match(r"[ ]\p{Ll}", s[b : b + 2]) and not re.search(r"(?:[\p{Ll},:][ ]|[(])$", s[max(0, a - 2) : a]):
+                continue  # "94 Long Street scenes were ..."
+            take("ADDRESS", a, b)
+    if any(c.isdigit() for c in s):
+        for m in list(_ID.finditer(s)):
+            if sum(c.isdigit() for c in m.group(1)) >= 5 and "¤" not in m.group(1):
+                take("ID_NUMBER", *m.span(1))
+        for m in list(_PHONE.finditer(s)):
+            a, b = m.span()
+            digits = sum(c.isdigit() for c in m.group())
+            if not 7 <= digits <= 15 or "¤" in m.group():
+                continue
+            before = s[max(0, a - 90) : a]
+            cue = None
+            for cue in _PHONE_CUE.finditer(before, overlapped=True):
+                pass  # the nearest one counts
+            # between cue and number another item may only stand before a conjunction
+            if m.group()[0] == "+" or (cue and ("¤" not in cue.group() or _JOINED.search(before))):
+                take("PHONE", a, b)
+    for a, b in list(_names(s, lexicon)):
+        take("NAME", a, b)
+    for m in list(_LABELLED.finditer(s)):
+        if "¤" not in m.group(1):
+            take("NAME", *m.span(1))
+    if place is not None:
+        hits = [(k, place[a], place[b - 1] + 1 if place[b] == place[b - 1] + 1 else place[b]) for k, a, b in hits]
+    return sorted(hits, key=lambda h: h[1])
+
+
+def _is_town(word: str, lexicon: frozenset) -> bool:
+    return "\n" + word.lower() in lexicon
+
+
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, evidence, uses) of names and (newline + word, ...) of towns, added up within each batch."""
+    for batch in batches:
+        stat: dict[str, list[int]] = {}
+
+        def note(w: str, evidence: int, uses: int) -> None:
+            row = stat.setdefault(w, [0, 0])
+            row[0] += evidence
+            row[1] += uses
+
+        for text in batch.column(0).to_pylist():
+            s, _ = plain(text)
+            for m in _EMAIL.finditer(s):
+                for w in re.split(r"[^a-z]+", re.split(r"[@+]", m.group())[0].lower()):
+                    if len(w) > 3:
+                        note(w, 1, 1)
+            s = _EMAIL.sub(lambda m: "¤" * len(m.group()), s)
+            for p in _ADDRESSES:
+                for m in p.finditer(s):
+                    g = m.groupdict()
+                    if t := g.get("town") or g.get("lined"):
+                        note("\n" + t.lower(), 1, 1)
+            for m in _NAME_TOKEN.finditer(s):
+                w = m.group()
+                if len(w) > 2 and w.isascii():
+                    note(_roots(w)[-1], int(w[0].isupper() and bool(_NAME_CUE.search(s[max(0, m.start() - 16) : m.start()]))), 1)
+        cols = list(zip(*((k, *v) for k, v in stat.items()))) or [[], [], []]
+        yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["word", "evidence", "uses"])
+
+
+def learn_lexicon(texts: DataFrame, text: str = "text") -> frozenset:
+    """Words of personal names (and towns, marked by a leading newline), from all texts.
+
+    Counts are added up in the tasks before the shuffle. An entry needs three pieces of evidence, EVIDENCE of its uses
+    and FLOOR of all words, so the list has at most 1/FLOOR entries.
+    """
+    counts = texts.select(text).where(F.col(text).isNotNull()).mapInArrow(_evidence, "word string, evidence bigint, uses bigint").groupBy("word").agg(F.sum("evidence").alias("evidence"), F.sum("uses").alias("uses"))
+    counts = counts.where("evidence > 0")
+    total = F.broadcast(counts.agg(F.sum("uses").alias("whole")))  # one row
+    kept = counts.crossJoin(total).where((F.col("evidence") >= 3) & (F.col("evidence") >= F.lit(EVIDENCE) * F.col("uses")) & (F.col("uses") >= F.lit(FLOOR) * F.col("whole")))
+    return frozenset(r[0] for r in kept.select("word").collect())
+
+
+def _spans(batches: Iterator[pa.RecordBatch], lexicon: frozenset) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids, texts = b.column(0), b.column(1).to_pylist()
+        rows = [(i, *h) for i, t in enumerate(texts) for h in detect(t, lexicon)]
+        cols = list(zip(*rows)) if rows else [[]] * 4
+        yield pa.record_batch([ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc_id", "kind", "start_pos", "end_pos"])
+
+
+def redact_text(text: str, hits: list[tuple[str, int, int]]) -> str:
+    """The text with a placeholder of its kind in place of every item."""
+    out, at = [], 0
+    for kind, a, b in hits:
+        out += [text[at:a], f"[{kind}]"]
+        at = b
+    return "".join(out) + text[at:]
+
+
+def _redacted(batches: Iterator[pa.RecordBatch], lexicon: frozenset) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [None if t is None else redact_text(t, detect(t, lexicon)) for t in b.column(1).to_pylist()]
+        yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+
+def find_pii(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lexicon: frozenset | None = None) -> DataFrame:
+    """(doc_id, kind, start_pos, end_pos) of every item of personal information; end exclusive, code points.
+
+    Without a ``lexicon`` one is learned from the same texts. Null and empty texts have no items; repeated
+    (id, text) rows count once. Texts are read whole. Empty in, empty out.
+    """
+    src = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0).distinct()
+    words = learn_lexicon(src) if lexicon is None else lexicon
+    return src.mapInArrow(partial(_spans, lexicon=words), "doc_id bigint, kind string, start_pos int, end_pos int")
+
+
+def redact(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lexicon: frozenset | None = None) -> DataFrame:
+    """(doc_id, text): every row with items replaced by [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] or [NAME]."""
+    src = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    words = learn_lexicon(src) if lexicon is None else lexicon
+    return src.mapInArrow(partial(_redacted, lexicon=words), "doc_id bigint, text string")
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+
+
+QUERIES = {
+    "p9_found": lambda spark, sf: find_pii(_docs(spark, sf)),
+    "p9_redacted": lambda spark, sf: redact(_docs(spark, sf)),
+}
 SQL: dict[str, str] = {}

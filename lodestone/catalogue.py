@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["lodestone.operators.flatten"]
+MODULES = ["lodestone.operators.flatten", "lodestone.operators.retrieval", "lodestone.operators.metrics"]
 
 
 def _modules() -> list:

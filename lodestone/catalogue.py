@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["lodestone.operators.flatten", "lodestone.operators.retrieval", "lodestone.operators.metrics"]
+MODULES = ["lodestone.operators.flatten", "lodestone.operators.retrieval", "lodestone.operators.metrics", "lodestone.operators.items", "lodestone.operators.aggregates", "lodestone.operators.dilution", "lodestone.operators.benchmark"]
 
 
 def _modules() -> list:

@@ -32,39 +32,45 @@ def _ordered_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return s
 
 
-def _best(qid: np.ndarray, q: np.ndarray, did: np.ndarray, d: np.ndarray, k: int) -> pa.RecordBatch:
+def _best(qid: np.ndarray, q: np.ndarray, did: np.ndarray, d: np.ndarray, k: int, cosine: bool) -> pa.RecordBatch:
     """Candidates for the k best of each query in one block; every tie with the k-th is kept."""
     score = q @ d.T
+    if cosine:
+        score /= np.sqrt(np.outer((q * q).sum(1), (d * d).sum(1)))
     kth = np.partition(score, score.shape[1] - k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(q), -np.inf)
     a, b = np.nonzero(score >= kth[:, None] - 1e-9)
-    return pa.record_batch([pa.array(qid[a]), pa.array(did[b]), pa.array(_ordered_dot(q[a], d[b]))], names=["qid", "did", "score"])
+    s = _ordered_dot(q[a], d[b])
+    if cosine:
+        s = s / np.sqrt(_ordered_dot(q, q)[a] * _ordered_dot(d, d)[b])
+    return pa.record_batch([pa.array(qid[a]), pa.array(did[b]), pa.array(s)], names=["qid", "did", "score"])
 
 
-def _score(batches: Iterator[pa.RecordBatch], qid: np.ndarray, q: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], qid: np.ndarray, q: np.ndarray, k: int, cosine: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         did, d = b.column(0).to_numpy(zero_copy_only=False), _dense(b.column(1), q.shape[1])
         if len(did):
             for i in range(0, len(q), BLOCK_QUERIES):
-                yield _best(qid[i : i + BLOCK_QUERIES], q[i : i + BLOCK_QUERIES], did, d, k)
+                yield _best(qid[i : i + BLOCK_QUERIES], q[i : i + BLOCK_QUERIES], did, d, k, cosine)
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 100, dim: int = 64, tiles: int = 64) -> DataFrame:
+def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 100, dim: int = 64, cosine: bool = False, tiles: int = 64, closure_bytes: int = CLOSURE_BYTES) -> DataFrame:
     """(qid, did, score, rank): the ``k`` documents of highest inner product for every query, equals by larger id.
 
-    Both inputs are (id string, embedding array). Vectors that are not usable take no part; neither do null ids. Exact.
-    A small query set rides along with the scan of the corpus, whose tasks send k rows for each query; a larger one is
-    cut into blocks that meet tiles of the corpus in an equi-join on (block, tile).
+    Both inputs are (id string, embedding array). Vectors that are not usable take no part; neither do null ids. Exact;
+    ``cosine`` divides by the norms. A small query set rides along with the scan of the corpus, whose tasks send k rows
+    for each query; a larger one (measured against ``closure_bytes``) is cut into blocks that meet tiles of the corpus
+    in an equi-join on (block, tile).
     """
     spark = queries.sparkSession
     good = lambda df: df.where(F.col("id").isNotNull() & V.usable(F.col("embedding"), dim)).select("id", "embedding")
     q, d = good(queries), good(corpus)
-    room = CLOSURE_BYTES // (8 * dim)
+    room = closure_bytes // (8 * dim)
     head = q.limit(room + 1).toArrow()
     shape = "qid string, did string, score double"
     if head.num_rows <= room:
         if not head.num_rows:
             return spark.createDataFrame([], shape + ", rank int")
-        found = d.mapInArrow(partial(_score, qid=head.column(0).to_numpy(), q=_dense(head.column(1), dim), k=k), shape)
+        found = d.mapInArrow(partial(_score, qid=head.column(0).to_numpy(), q=_dense(head.column(1), dim), k=k, cosine=cosine), shape)
     else:
         blocks = max(1, -(-q.count() // BLOCK_QUERIES))
         qb = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
@@ -75,8 +81,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 100, dim: int = 64,
                 return pa.table({"qid": pa.array([], pa.string()), "did": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
             q0, d0 = _dense(left.column("embedding"), dim), _dense(right.column("embedding"), dim)
             qi, di = left.column("id").to_numpy(), right.column("id").to_numpy()
-            parts = [_best(qi, q0, di[i : i + 8192], d0[i : i + 8192], k) for i in range(0, len(di), 8192)]
-            return pa.Table.from_batches(parts)
+            return pa.Table.from_batches([_best(qi, q0, di[i : i + 8192], d0[i : i + 8192], k, cosine) for i in range(0, len(di), 8192)])
 
         found = qb.groupBy("block", "tile").cogroup(db.groupBy("block", "tile")).applyInArrow(join, shape)
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("did").desc())

@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["lodestone.operators.flatten", "lodestone.operators.retrieval", "lodestone.operators.metrics", "lodestone.operators.items", "lodestone.operators.aggregates", "lodestone.operators.dilution", "lodestone.operators.benchmark"]
+MODULES = ["lodestone.operators.flatten", "lodestone.operators.retrieval", "lodestone.operators.metrics", "lodestone.operators.items", "lodestone.operators.aggregates", "lodestone.operators.dilution", "lodestone.operators.benchmark", "lodestone.operators.regions", "lodestone.operators.relevance", "lodestone.operators.subdocs", "lodestone.sources.io", "lodestone.streaming.ingest"]
 
 
 def _modules() -> list:
@@ -22,4 +22,5 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    raise NotImplementedError
+    """Exact retrieval over the sub-document vectors and the three-level metric report."""
+    return queries()["a2_metric_report"](spark, sf)

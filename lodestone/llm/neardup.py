@@ -24,7 +24,7 @@ BITS = 23
 
 SEGMENTS = 32
 ANCHORS = 2
-#: Minhashes drawn on by the segments; each segment takes its own selection of them.
+#: Minhashes drawn on by the segments (a power of two); each segment takes its own selection of them.
 HASHES = 256
 SHINGLE = 8
 MIN_CHARS = 80
@@ -66,7 +66,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_hashes(text: str, n: int = SHINGLE) -> np.ndarray:
-    """Different 64-bit hashes of all runs of ``n`` characters."""
+    """Different 64-bit hashes of all runs of ``n`` characters, sorted."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     if len(c) < n:
         return np.zeros(0, np.uint64)
@@ -77,30 +77,39 @@ def shingle_hashes(text: str, n: int = SHINGLE) -> np.ndarray:
 
 
 @lru_cache(4)
-def _plan(segments: int, anchors: int, hashes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Multipliers and offsets of the minhashes; of each segment its hashes for bits, the bit of each, its anchors."""
+def _plan(segments: int, anchors: int, hashes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Detours of empty bins; of each segment its minhashes for bits, the bit of each, its anchors."""
     rng = np.random.default_rng(20231)
-    a = rng.integers(1, 2**32, hashes, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-    b = rng.integers(0, 2**32, hashes, dtype=np.uint64).astype(np.uint32)
+    detour = rng.integers(0, hashes, (128, hashes))
     pick = np.stack([rng.permutation(hashes)[: BITS + anchors] for _ in range(segments)])
-    return a, b, pick[:, :BITS], rng.integers(0, 16, (segments, BITS)), pick[:, BITS:]
+    return detour, pick[:, :BITS], rng.integers(0, 16, (segments, BITS)), pick[:, BITS:]
 
 
-def minhashes(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest value of every hash function; long texts go through in slices."""
-    out = np.full(len(a), 0xFFFFFFFF, np.uint32)
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(x), 2048):
-        v = x[i : i + 2048, None] * a + b
-        v ^= v >> np.uint32(15)
-        v *= np.uint32(0x2C1B3C6D)
-        out = np.minimum(out, v.min(0))
-    return out
+def minhashes(shingles: np.ndarray, detour: np.ndarray) -> np.ndarray:
+    """One-permutation minhashes: the least hash of each of 2^k equal ranges.
+
+    ``shingles`` are sorted hashes, so ranges are runs. An empty range takes the value of the first filled one on its
+    own fixed detour ("optimal densification"), which keeps the chance of a match equal to the similarity.
+    """
+    bins = detour.shape[1]
+    at = np.searchsorted(shingles >> np.uint64(64 - bins.bit_length() + 1), np.arange(bins, dtype=np.uint64))
+    filled = np.diff(np.append(at, len(shingles))) > 0
+    source = np.arange(bins)
+    empty = np.flatnonzero(~filled)
+    for step in detour:
+        if not len(empty):
+            break
+        ok = filled[step[empty]]
+        source[empty[ok]] = step[empty[ok]]
+        empty = empty[~ok]
+    if len(empty):
+        source[empty] = np.flatnonzero(filled)[0]
+    return shingles[at[source]]
 
 
 def _keys(batches: Iterator[pa.RecordBatch], segments: int, anchors: int, hashes: int) -> Iterator[pa.RecordBatch]:
     """(uid, norm) -> (key, uid), several keys for each segment."""
-    a, b, bit_of, bit_at, anchor_of = _plan(segments, anchors, hashes)
+    detour, bit_of, bit_at, anchor_of = _plan(segments, anchors, hashes)
     weight = (1 << np.arange(BITS)).astype(np.int64)
     for batch in batches:
         if not batch.num_rows:
@@ -108,8 +117,7 @@ def _keys(batches: Iterator[pa.RecordBatch], segments: int, anchors: int, hashes
         uid = batch.column(0).to_numpy()
         for lo in range(0, batch.num_rows, 512):
             texts = batch.column(1).slice(lo, 512).to_pylist()
-            m = np.stack([minhashes(shingle_hashes(t), a, b) for t in texts])
-            m = _mix(m.astype(np.uint64) + np.uint64(1))  # (texts, hashes), well mixed
+            m = _mix(np.stack([minhashes(shingle_hashes(t), detour) for t in texts]))  # (texts, hashes)
             words = (((m[:, bit_of] >> (bit_at + 20).astype(np.uint64)) & np.uint64(1)).astype(np.int64) * weight).sum(2)
             index = golay_keys(words)
             index.sort(axis=2)
@@ -124,15 +132,39 @@ def _keys(batches: Iterator[pa.RecordBatch], segments: int, anchors: int, hashes
             yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(uid[lo + doc])], names=["key", "uid"])
 
 
+def _sketches(batches: Iterator[pa.RecordBatch], hashes: int) -> Iterator[pa.RecordBatch]:
+    """(uid, norm) -> (uid, number of different shingles, one bit of each minhash)."""
+    detour = _plan(1, 0, hashes)[0]
+    for b in batches:
+        sh = [shingle_hashes(t) for t in b.column(1).to_pylist()]
+        bits = [np.packbits((_mix(minhashes(x, detour) ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(1)).astype(np.uint8)).tobytes() for x in sh]
+        yield pa.record_batch([b.column(0), pa.array([len(x) for x in sh], pa.int32()), pa.array(bits, pa.binary())], names=["uid", "n", "bits"])
+
+
+def _promising(batches: Iterator[pa.RecordBatch], threshold: float, hashes: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that can still be similar: by the exact bound of their sizes, and by their sketches.
+
+    A pair at the bar differs in (1 - threshold) / 2 of the bits; five standard deviations above that are let pass.
+    """
+    p = (1 - threshold) / 2
+    most = hashes * p + 5 * (hashes * p * (1 - p)) ** 0.5
+    for b in batches:
+        na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
+        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, hashes // 8) for i in (4, 5))
+        apart = np.bitwise_count(x ^ y).sum(1)
+        keep = pa.array((np.minimum(na, nb) >= threshold * np.maximum(na, nb)) & (apart <= most))
+        yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], names=["uid_a", "uid_b"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float, shingle: int) -> Iterator[pa.RecordBatch]:
     """Exact Jaccard similarity of the runs of characters of both texts."""
     for b in batches:
-        xs, ys = b.column(2).to_pylist(), b.column(3).to_pylist()
+        first, xs, ys = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
         sim = np.zeros(len(xs))
         last, sx = None, np.zeros(0, np.uint64)
-        for i, (x, y) in enumerate(zip(xs, ys)):
-            if x is not last:
-                last, sx = x, shingle_hashes(x, shingle)
+        for i, (uid, x, y) in enumerate(zip(first, xs, ys)):
+            if uid != last:
+                last, sx = uid, shingle_hashes(x, shingle)
             sy = shingle_hashes(y, shingle)
             both = len(np.intersect1d(sx, sy, assume_unique=True))
             sim[i] = both / max(1, len(sx) + len(sy) - both)
@@ -162,6 +194,9 @@ def near_duplicates(texts: DataFrame, id_col: str = "id", text_col: str = "text"
     keys = reps.mapInArrow(partial(_keys, segments=segments, anchors=anchors, hashes=hashes), "key bigint, uid bigint")
     left, right = keys.withColumnRenamed("uid", "uid_a"), keys.withColumnRenamed("uid", "uid_b")
     met = left.join(right, "key").where("uid_a < uid_b").select("uid_a", "uid_b").distinct()
+    sketch = reps.mapInArrow(partial(_sketches, hashes=hashes), "uid bigint, n int, bits binary")
+    sides = met.join(sketch.toDF("uid_a", "na", "ba"), "uid_a").join(sketch.toDF("uid_b", "nb", "bb"), "uid_b").select("uid_a", "uid_b", "na", "nb", "ba", "bb")
+    met = sides.mapInArrow(partial(_promising, threshold=threshold, hashes=hashes), "uid_a bigint, uid_b bigint")
     both = met.join(reps.select(F.col("uid").alias("uid_b"), F.col("norm").alias("y")), "uid_b").join(reps.select(F.col("uid").alias("uid_a"), F.col("norm").alias("x")), "uid_a")
     links = both.select("uid_a", "uid_b", "x", "y").mapInArrow(partial(_verify, threshold=threshold, shingle=SHINGLE), "uid_a bigint, uid_b bigint, sim double")
     return links, members

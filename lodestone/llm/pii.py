@@ -175,7 +175,7 @@ def _names(s: str, lexicon: frozenset) -> Iterator[tuple[int, int]]:
                 pass
             elif gap == "-" and toks[j][0] == "L" and kind == "L":
                 words -= 1
-            elif gap == ", " and not comma and words == 1 and kind in "LI" and all(t[0] in "LP" for t in toks[i : j + 1]):
+            elif gap == ", " and not comma and words == 1 and kind in "LI" and all(t[0] in "LP" for t in toks[i : j + 1]) and s[toks[j + 1][1]].islower() == s[toks[j][1]].islower():
                 comma = True
             else:
                 break

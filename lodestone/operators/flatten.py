@@ -171,7 +171,24 @@ QUERIES = {
     "p3_regions": lambda spark, sf: flat_regions(_log(spark, sf)).select("prop_id", "region_idx", "key_visual_entity", "bbox_norm"),
     "p3_propositions": lambda spark, sf: flat_propositions(_log(spark, sf)).select("prop_id", "corpus_id", "prop_idx", "text", "grounded", "confidence", "line_no", F.col("n_regions").cast("bigint").alias("n_regions")),
 }
+_BOXES = (
+    _STANDING.replace("WITH rebuilt", "WITH RECURSIVE rebuilt")
+    + r""", node AS (
+  SELECT pid, region_idx, CASE WHEN json_valid(r.bbox_norm) THEN r.bbox_norm::JSON END AS j, []::BIGINT[] AS path FROM region
+  UNION ALL
+  SELECT pid, region_idx, json_extract(j, '$[*]')[i + 1], list_append(path, i) FROM node, LATERAL (SELECT unnest(range(json_array_length(j)::BIGINT)) AS i)
+  WHERE json_type(j) = 'ARRAY' AND json_array_length(j) > 0 AND len(list_filter(json_extract(j, '$[*]'), lambda x: json_type(x) <> 'ARRAY')) = 0
+), box AS (
+  SELECT pid, region_idx, path FROM node
+  WHERE json_type(j) = 'ARRAY' AND json_array_length(j) = 4 AND len(list_filter(json_extract(j, '$[*]'), lambda x: json_type(x) <> 'ARRAY')) > 0
+    AND len(list_filter(json_extract(j, '$[*]'), lambda x: NOT regexp_full_match(x::VARCHAR, '[\[\s]*-?\d+(\.\d+)?([eE][+-]?\d+)?[\]\s]*'))) = 0
+)
+SELECT pid AS prop_id, region_idx, CASE WHEN b.path IS NULL THEN -1 ELSE row_number() OVER (PARTITION BY pid, region_idx ORDER BY b.path) - 1 END::INT AS box_idx
+FROM region LEFT JOIN box b USING (pid, region_idx)
+"""
+)
 SQL = {
+    "p3_found": _BOXES,
     "p3_regions": _STANDING + "SELECT pid AS prop_id, region_idx, r.key_visual_entity AS key_visual_entity, r.bbox_norm AS bbox_norm FROM region",
     "p3_propositions": _STANDING + "SELECT pid AS prop_id, corpus_id, prop_idx, text, grounded, confidence, line_no, coalesce(len(list_filter(regions, lambda r: r IS NOT NULL)), 0)::BIGINT AS n_regions FROM standing",
 }

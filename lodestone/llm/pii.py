@@ -43,6 +43,7 @@ NAME_CUES = (
     "Name:;Name :;Nom :;Nombre:;Mr.;Mr;Ms.;Mrs.;Miss;Dr.;Prof.;Frau;Herr;Herrn;Mme;M.;Monsieur;Madame;Sr.;Sra.;Señor;Señora;c/o;Patient;holder:;Inhaber;a nombre de;est celui de;Según;Selon;Laut;said;signed by;Thanks to;sincerely,;regards,;السيد;السيدة;联系人：;担当は;ติดต่อ"
 ).split(";")
 STREETS_EN = "Street St\\.? Road Rd\\.? Lane Ln\\.? Avenue Ave\\.? Close Terrace Drive Court Crescent Square Row Place Boulevard Blvd\\.? Gardens Grove Mews Walk Way".split()
+STREETS_EN_PLAIN = [w.rstrip("?.\\") for w in STREETS_EN]
 STREETS_FR = "rue avenue boulevard place impasse chemin quai allée cours route".split()
 STREETS_DE = "gasse str\\. straße strasse allee weg platz ufer damm ring".split()
 STREETS_ES = "Avda\\. Avda Avenida Calle C/ Plaza Pza\\. Paseo".split()
@@ -69,6 +70,8 @@ _LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
 _LOCAL = r"(?<![a-z0-9._%+-])[a-z0-9](?:[a-z0-9._%+-]*[a-z0-9])?"
 #: at least one sign of an address: a real or bracketed at, or words for both at and dot
 _DISGUISED = re.compile(rf"{_LOCAL}(?P<at>{_AT})(?:{_LABEL}(?P<dot>{_DOT}|\.))+[a-z]{{2,}}(?![a-z0-9])|{_LOCAL}(?P<at>{_WORD_AT})(?:{_LABEL}(?P<dot>{_DOT}))+[a-z]{{2,}}(?![a-z0-9])", re.I)
+#: without any of these a text has no disguised address, and the costly pattern is not tried
+_AT_SIGNS = ("(at", "[at", "{at", "<at", "( at", "[ at", "(@", "[@", " @", "@ ", "@\n", "\n@", "(ät", "[ät", "arroba", "arobase", " dot ", "[dot", "(dot", "{dot", " punkt ", " punto ", "(punkt", "[punkt", "(punto", "[punto", "(point", "[point", "[.", "(.)")
 _SPELLED = re.compile(r"(?<!\w)(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r")(?:[\s-]+(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r")){5,}(?!\w)", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -80,10 +83,13 @@ def plain(text: str) -> tuple[str, list[int] | None]:
         # only inside words that also have Latin letters: Cyrillic and Greek words stay as they are
         s = re.sub(r"[\p{L}\p{N}._%+@-]*", lambda m: "".join(HOMOGLYPHS.get(c, c) for c in m.group()) if re.search(r"[a-zA-Z]", m.group()) else m.group(), s)
     edits: list[tuple[int, int, str]] = []
-    for m in _DISGUISED.finditer(s):
-        edits += [(*m.span("at"), "@")] + [(a, b, ".") for a, b in m.spans("dot")]
-    for m in _SPELLED.finditer(s):
-        edits.append((*m.span(), "".join(SPELLED[w.lower()] for w in re.findall(r"[^\W\d_]+", m.group()))))
+    low = s.lower()
+    if any(x in low for x in _AT_SIGNS):
+        for m in _DISGUISED.finditer(s):
+            edits += [(*m.span("at"), "@")] + [(a, b, ".") for a, b in m.spans("dot")]
+    if sum(map(low.count, SPELLED)) > 5:
+        for m in _SPELLED.finditer(s):
+            edits.append((*m.span(), "".join(SPELLED[w.lower()] for w in re.findall(r"[^\W\d_]+", m.group()))))
     edits = sorted(e for e in edits if s[e[0] : e[1]] != e[2])
     if not edits:
         return s, None
@@ -122,7 +128,10 @@ _ADDRESSES = [
     re.compile(r"(?<!\p{Han})\p{Han}{1,6}?[市区町村郡][\p{Han}ヶ]{1,10}?\d{1,3}丁目\d{1,3}番(?:地)?(?:\d{1,4}号)?"),
     re.compile(r"〒\d{3}-\d{4}\s*[\p{Han}\p{Hiragana}\p{Katakana}ヶー]{2,30}?\d{1,4}(?:-\d{1,4})*(?:番地|号)?"),
 ]
+#: words of which one must occur for the pattern of the same place to be tried
+_ADDRESS_SIGNS = [STREETS_EN_PLAIN, ["Box", "Postfach", "Apartado", "BP", "B.P"], STREETS_FR, [w.replace("\\", "") for w in STREETS_DE] + ["Allee", "Gasse", "Weg", "Platz"], ["Av", "Calle", "C/", "Pza", "Plaza", "Paseo"], ["号"], ["丁目"], ["〒"]]
 _NAME_TOKEN = re.compile(r"\p{Latin}[\p{Latin}\p{M}']*")
+_LATIN = re.compile(r"[\p{Latin}\p{M}]+")
 _NAME_CUE = re.compile(r"(?<!\p{L})(?:" + "|".join(map(re.escape, sorted(NAME_CUES, key=len, reverse=True))) + r")\s*$")
 _LABELLED = re.compile(r"(?:(?<!\p{L})Name ?: ?|联系人：|担当は)((?:\p{Lu}\. ?)*\p{Lu}[\p{Latin}'-]+(?:,? (?:\p{Lu}\.|(?:von|van|der|de|la) |\p{Lu}[\p{Latin}'-]+)){0,3})")
 _NOT_PERSON = re.compile(r"[ ](?:scale|syndrome|school|hall|quartet|street|prize|institute|college|test|house|museum|Skala|Schule|échelle)s?(?!\p{L})", re.I)
@@ -131,6 +140,8 @@ _NOT_PERSON = re.compile(r"[ ](?:scale|syndrome|school|hall|quartet|street|prize
 def _roots(word: str) -> list[str]:
     """The word and what is left of it without O' or Mac."""
     w = word.lower()
+    if "'" not in w and w[0] != "m":
+        return [w]
     return [w] + [w[len(p) :] for p in ("o'", "d'", "mac", "mc") if w.startswith(p) and len(w) > len(p) + 2]
 
 
@@ -150,6 +161,9 @@ def _preposition(s: str, toks: list, a: int, b: int, comma: bool, words: int) ->
 
 def _names(s: str, lexicon: frozenset) -> Iterator[tuple[int, int]]:
     """Maximal runs of lexicon words, initials and particles that make up a name."""
+    words_ = set(_LATIN.findall(s.lower()))
+    if lexicon.isdisjoint(words_) and not any(w[:2] in ("ma", "mc") and not lexicon.isdisjoint(_roots(w)) for w in words_):
+        return
     toks = []
     for m in _NAME_TOKEN.finditer(s):
         w, a, b = m.group(), m.start(), m.end()
@@ -210,7 +224,10 @@ def detect(text: str, lexicon: frozenset) -> list[tuple[str, int, int]]:
     if "@" in s:
         for m in list(_EMAIL.finditer(s)):
             take("EMAIL", *m.span())
-    for i, pattern in enumerate(_ADDRESSES):
+    digits = re.search(r"\d", s) is not None
+    for i, pattern in enumerate(_ADDRESSES if digits else ()):
+        if not any(x in s for x in _ADDRESS_SIGNS[i]):
+            continue
         for m in list(pattern.finditer(s)):
             a, b = m.span()
             if "¤" in s[a:b]:
@@ -226,14 +243,13 @@ def detect(text: str, lexicon: frozenset) -> list[tuple[str, int, int]]:
             if i == 0 and re.match(r"[ ]\p{Ll}", s[b : b + 2]) and not re.search(r"(?:[\p{Ll},:][ ]|[(])$", s[max(0, a - 2) : a]):
                 continue  # "94 Long Street scenes were ..."
             take("ADDRESS", a, b)
-    if any(c.isdigit() for c in s):
+    if digits:
         for m in list(_ID.finditer(s)):
             if sum(c.isdigit() for c in m.group(1)) >= 5 and "¤" not in m.group(1):
                 take("ID_NUMBER", *m.span(1))
         for m in list(_PHONE.finditer(s)):
             a, b = m.span()
-            digits = sum(c.isdigit() for c in m.group())
-            if not 7 <= digits <= 15 or "¤" in m.group():
+            if not 7 <= sum(c.isdigit() for c in m.group()) <= 15 or "¤" in m.group():
                 continue
             before = s[max(0, a - 90) : a]
             cue = None
@@ -273,8 +289,8 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if len(w) > 3:
                         note(w, 1, 1)
             s = _EMAIL.sub(lambda m: "¤" * len(m.group()), s)
-            for p in _ADDRESSES:
-                for m in p.finditer(s):
+            for p, signs in zip(_ADDRESSES, _ADDRESS_SIGNS):
+                for m in p.finditer(s) if any(x in s for x in signs) else ():
                     g = m.groupdict()
                     if t := g.get("town") or g.get("lined"):
                         note("\n" + t.lower(), 1, 1)

@@ -28,6 +28,7 @@ FUNCTION_WORDS = {
     "de": "der die das und im von den dem ein eine zu war mit auf ist",
     "es": "el la los las del y en un una que fueron por con de unas",
 }
+_FUNCTION = {k: v.split() for k, v in FUNCTION_WORDS.items()}
 #: Least relative frequency, among a language's tokens, of a learned entry; bounds each learned list by its inverse.
 FLOOR = 2e-6
 #: Thresholds of the ratios as published.
@@ -54,15 +55,16 @@ _FULL = set("。！？｡।॥؟")
 
 def language(text: str) -> str:
     """Language of a text: by script, within Latin by function words, ``xx`` where nothing tells."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    between = lambda lo, hi: int(((c >= lo) & (c <= hi)).sum())
-    kana, han, thai, deva, arab = between(0x3041, 0x30FF), between(0x4E00, 0x9FFF), between(0x0E01, 0x0E5B), between(0x0900, 0x097F), between(0x0600, 0x06FF)
-    latin = between(0x41, 0x24F)
+    if text.isascii():
+        kana = han = thai = deva = arab = latin = 0
+    else:
+        block = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) >> 6, minlength=0x280)  # runs of 64 characters
+        kana, han, thai, deva, arab, latin = (int(block[lo:hi].sum()) for lo, hi in ((0xC1, 0xC4), (0x138, 0x280), (0x38, 0x3A), (0x24, 0x26), (0x18, 0x1C), (0x01, 0x0A)))
     best = max((kana + han, "ja" if kana * 20 > han else "zh"), (thai, "th"), (deva, "hi"), (arab, "ar"))
     if best[0] * 4 > latin:
         return best[1] if best[0] else "xx"
-    words = Counter(re.findall(r"\p{L}+", text.lower()))
-    votes = {k: sum(words[w] for w in v.split()) for k, v in FUNCTION_WORDS.items()}
+    words = Counter(text.lower().split())
+    votes = {k: sum(words[w] for w in v) for k, v in _FUNCTION.items()}
     top = max(votes, key=lambda k: votes[k])
     return top if votes[top] else "xx"
 
@@ -83,7 +85,7 @@ def _starts_upper(word: str) -> bool:
 
 
 def _type(word: str) -> str:
-    return "##" if _NUMBER.match(word) else word.lower()
+    return "##" if not word[0].isalpha() and _NUMBER.match(word) else word.lower()
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +311,8 @@ def units(text: str, model: dict[str, Model]) -> list[tuple[int, int]]:
     lang = language(text)
     m = model.get(lang) or Model()
     out: list[tuple[int, int]] = []
-    upper, lower = sum(ch.isupper() for ch in text), sum(ch.islower() for ch in text)
+    chars = Counter(text)
+    upper, lower = (sum(n for ch, n in chars.items() if f(ch)) for f in (str.isupper, str.islower))
     no_case, capitals = not upper and lower > 0, upper > 4 * lower
     for line in _LINE.finditer(text):
         s, base = line.group(), line.start()

@@ -106,10 +106,15 @@ def run(spark: SparkSession, sf: str, k: int = TOP_K) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf: str) -> DataFrame:
-    """qrels (qid, did, rel): sub-documents of the query's corpus_id are relevant, of the same modality too: grade 2."""
-    m = spark.read.parquet(f"{sf}/meta.parquet").select("row", "corpus_id", "modality").distinct()
-    q = m.where("row % 100 = 0").select(F.concat(F.lit(QUERY_PREFIX), "row").alias("qid"), "corpus_id", F.col("modality").alias("qm"))
-    return q.join(m, "corpus_id").select("qid", F.concat(F.lit(CORPUS_PREFIX), "row").alias("did"), F.when(F.col("modality") == F.col("qm"), 2).otherwise(1).alias("rel"))
+    """qrels (qid, did, rel): propositions at most two places from the query's in its document, grade 2 at most one.
+
+    Joined on (document, place), so a document with a tenth of all rows gives no more judgements a row than others.
+    """
+    m = spark.read.parquet(f"{sf}/meta.parquet").select("row", "corpus_id", "prop_idx").distinct()
+    near = F.explode(F.array(*[F.lit(i) for i in range(-2, 3)]))
+    q = m.where("row % 100 = 0").select(F.concat(F.lit(QUERY_PREFIX), "row").alias("qid"), "corpus_id", F.col("prop_idx").alias("p"), near.alias("o")).withColumn("prop_idx", F.col("p") + F.col("o"))
+    found = q.join(m, ["corpus_id", "prop_idx"]).select("qid", F.concat(F.lit(CORPUS_PREFIX), "row").alias("did"), F.when(F.abs("o") <= 1, 2).otherwise(1).alias("rel"))
+    return found.groupBy("qid", "did").agg(F.max("rel").alias("rel"))
 
 
 def query_meta(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,10 +135,10 @@ RUN_SQL = (
   SELECT 'query-test-' || q.r AS qid, 'corpus-test-' || d.r AS did, list_inner_product(q.e, d.e) AS score FROM vec q, vec d WHERE q.r % 100 = 0
 ), run AS (
   SELECT qid, did, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, did DESC))::INT AS rank FROM scored QUALIFY rank <= 20
-), m AS (SELECT DISTINCT "row" AS r, corpus_id, modality FROM meta
+), m AS (SELECT DISTINCT "row" AS r, corpus_id, prop_idx FROM meta
 ), qrels_ AS (
-  SELECT 'query-test-' || q.r AS qid, 'corpus-test-' || d.r AS did, CASE WHEN d.modality = q.modality THEN 2 ELSE 1 END AS rel
-  FROM m q JOIN m d USING (corpus_id) WHERE q.r % 100 = 0
+  SELECT 'query-test-' || q.r AS qid, 'corpus-test-' || d.r AS did, max(CASE WHEN abs(q.prop_idx - d.prop_idx) <= 1 THEN 2 ELSE 1 END) AS rel
+  FROM m q JOIN m d USING (corpus_id) WHERE q.r % 100 = 0 AND abs(q.prop_idx - d.prop_idx) <= 2 GROUP BY 1, 2
 ), qmeta AS (
   SELECT DISTINCT 'query-test-' || "row" AS qid, coalesce(modality, 'Unknown') AS coarse, coalesce(source, 'Unknown') AS fine, coalesce(has_image, false) AS has_image FROM meta WHERE "row" % 100 = 0
 )"""

@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Texts are worked on in windows of so many characters, which bounds memory however long one is.
+WINDOW = 1 << 20
+
 #: Strength of a cut after these characters. 4 paragraph, 3 line, 2 sentence, 1 space or clause.
 _SENTENCE_END = ".!?。！？।؟…"
 _CLOSERS = "\"'”’»)]」』）】》"
@@ -41,12 +44,12 @@ def cut_strengths(codes: np.ndarray) -> np.ndarray:
     s[1:n][np.isin(codes, _table(_CLAUSE))[:-1] & (codes[:-1] > 0x2FF) & starts[1:]] = 1
     # the last mark before a run of closers and white space decides
     kind = np.zeros(n, np.int8)  # 1 sentence end, 2 line break, 3 two line breaks
-    idx = np.arange(n)
+    idx = np.arange(n, dtype=np.int32)
     plain = ~(space | end | close)
-    run = np.maximum.accumulate(np.where(plain, idx, -1))
-    last_end = np.maximum.accumulate(np.where(end, idx, -1))
-    last_wide = np.maximum.accumulate(np.where(wide, idx, -1))
-    last_space = np.maximum.accumulate(np.where(space, idx, -1))
+    run = np.maximum.accumulate(np.where(plain, idx, np.int32(-1)))
+    last_end = np.maximum.accumulate(np.where(end, idx, np.int32(-1)))
+    last_wide = np.maximum.accumulate(np.where(wide, idx, np.int32(-1)))
+    last_space = np.maximum.accumulate(np.where(space, idx, np.int32(-1)))
     breaks = np.cumsum(line & ~((codes == 10) & np.concatenate([[False], codes[:-1] == 13])))
     run_breaks = breaks - np.where(run >= 0, breaks[run], 0)
     kind[(last_end > run) & ((last_space > last_end) | (last_wide == last_end))] = 1
@@ -56,7 +59,7 @@ def cut_strengths(codes: np.ndarray) -> np.ndarray:
     return s
 
 
-def _visited(successor: np.ndarray, roots: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _visited(successor: np.ndarray, roots: np.ndarray) -> np.ndarray:
     """Nodes reachable from the roots along ``successor`` (terminal nodes point at themselves), by squaring."""
     seen = np.zeros(len(successor), bool)
     seen[roots] = True
@@ -81,34 +84,50 @@ def pieces(texts: list[str], limit: int, overlap: int) -> tuple[np.ndarray, np.n
         raise ValueError("overlap must be non-negative and below half the limit")
     out = [(np.zeros(0, np.int64),) * 3]
     for place, t in enumerate(texts):
-        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-        n = len(c)
-        if n <= limit:
+        if len(t) <= limit:
             continue
-        strength = cut_strengths(c).astype(np.int64)
-        # cut(e): where the piece starting at e - overlap ends; all positions at once
-        start = np.maximum(np.arange(n + 1) - overlap, 0)
-        start[0] = 0
-        last = np.minimum(start + limit, n)
-        first = np.maximum(start + limit - 2 * limit // 5, np.maximum(np.arange(n + 1), start + overlap) + 1)
-        first = np.minimum(first, last)
-        successor = _strongest(strength, first, last)
-        successor[last == n] = n
-        seen = _visited(successor, np.array([0]), last)
-        ends = np.flatnonzero(seen)
-        ends = ends[ends > 0]
-        begins = np.concatenate([[0], ends[:-1] - overlap])
+        begins, ends, at = [], [], 0
+        window = max(WINDOW, 8 * limit)
+        while True:
+            b, e = _window(t[at : at + window], limit, overlap)
+            last = at + window >= len(t)
+            keep = len(b) if last else len(b) - 1  # the window's last piece is cut again with what follows
+            begins.append(b[:keep] + at)
+            ends.append(e[:keep] + at)
+            if last:
+                break
+            at += int(b[keep])
+        begins, ends = np.concatenate(begins), np.concatenate(ends)
         out.append((np.full(len(ends), place), begins, ends))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _window(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the greedy pieces of one stretch; nodes are all its positions."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(c)
+    if n <= limit:
+        return np.zeros(1, np.int64), np.array([n])
+    strength = cut_strengths(c)
+    node = np.arange(n + 1, dtype=np.int32)
+    # successor of a cut: where the piece that starts ``overlap`` before it ends
+    start = np.maximum(node - overlap, 0)
+    last = np.minimum(start + limit, n)
+    first = np.minimum(np.maximum(start + limit - 2 * limit // 5, np.maximum(node, start + overlap) + 1), last)
+    successor = _strongest(strength, first, last)
+    successor[last == n] = n
+    ends = np.flatnonzero(_visited(successor, np.array([0])))
+    ends = ends[ends > 0]
+    return np.concatenate([[0], ends[:-1] - overlap]), ends
+
+
 def _strongest(strength: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """For each window [first, last] the place of its strongest cut, latest among equals; ``last`` where none is."""
     n = len(strength)
     out = last.copy()
     undecided = np.ones(len(first), bool)
     for level in (4, 3, 2, 1):
-        at = np.maximum.accumulate(np.where(strength >= level, np.arange(n), -1))[last]
+        at = np.maximum.accumulate(np.where(strength >= level, np.arange(n, dtype=np.int32), np.int32(-1)))[last]
         hit = undecided & (at >= first)
         out[hit] = at[hit]
         undecided &= ~hit

@@ -216,14 +216,22 @@ def detect(text: str, lexicon: frozenset) -> list[tuple[str, int, int]]:
     s, place = plain(text)
     hits: list[tuple[str, int, int]] = []
 
-    def take(kind: str, a: int, b: int) -> None:
-        nonlocal s
-        hits.append((kind, a, b))
-        s = s[:a] + "¤" * (b - a) + s[b:]
+    taken = 0
+
+    def mask() -> None:
+        """Blanks out what was found since the last call, so that later patterns pass over it; once for each pattern."""
+        nonlocal s, taken
+        if taken < len(hits):
+            parts, at = [], 0
+            for _, a, b in sorted(hits[taken:], key=lambda h: h[1]):
+                parts += [s[at:a], "¤" * (b - a)]
+                at = b
+            s, taken = "".join(parts) + s[at:], len(hits)
 
     if "@" in s:
         for m in list(_EMAIL.finditer(s)):
-            take("EMAIL", *m.span())
+            hits.append(("EMAIL", *m.span()))
+        mask()
     digits = re.search(r"\d", s) is not None
     for i, pattern in enumerate(_ADDRESSES if digits else ()):
         if not any(x in s for x in _ADDRESS_SIGNS[i]):
@@ -242,27 +250,36 @@ def detect(text: str, lexicon: frozenset) -> list[tuple[str, int, int]]:
                 b -= len(town) - town.index(" ")  # the next sentence's first word
             if i == 0 and re.match(r"[ ]\p{Ll}", s[b : b + 2]) and not re.search(r"(?:[\p{Ll},:][ ]|[(])$", s[max(0, a - 2) : a]):
                 continue  # "94 Long Street scenes were ..."
-            take("ADDRESS", a, b)
+            hits.append(("ADDRESS", a, b))
+        mask()
     if digits:
         for m in list(_ID.finditer(s)):
             if sum(c.isdigit() for c in m.group(1)) >= 5 and "¤" not in m.group(1):
-                take("ID_NUMBER", *m.span(1))
+                hits.append(("ID_NUMBER", *m.span(1)))
+        mask()
         for m in list(_PHONE.finditer(s)):
             a, b = m.span()
             if not 7 <= sum(c.isdigit() for c in m.group()) <= 15 or "¤" in m.group():
                 continue
-            before = s[max(0, a - 90) : a]
+            left = max(0, a - 90)
+            before = s[left:a]
+            for kind, x, y in reversed(hits):  # numbers just found on this stretch
+                if kind != "PHONE" or y <= left:
+                    break
+                x = max(x, left) - left
+                before = before[:x] + "¤" * (y - left - x) + before[y - left :]
             cue = None
             for cue in _PHONE_CUE.finditer(before, overlapped=True):
                 pass  # the nearest one counts
             # between cue and number another item may only stand before a conjunction
             if m.group()[0] == "+" or (cue and ("¤" not in cue.group() or _JOINED.search(before))):
-                take("PHONE", a, b)
-    for a, b in list(_names(s, lexicon)):
-        take("NAME", a, b)
+                hits.append(("PHONE", a, b))
+        mask()
+    hits += [("NAME", a, b) for a, b in _names(s, lexicon)]
+    mask()
     for m in list(_LABELLED.finditer(s)):
         if "¤" not in m.group(1):
-            take("NAME", *m.span(1))
+            hits.append(("NAME", *m.span(1)))
     if place is not None:
         hits = [(k, place[a], place[b - 1] + 1 if place[b] == place[b - 1] + 1 else place[b]) for k, a, b in hits]
     return sorted(hits, key=lambda h: h[1])

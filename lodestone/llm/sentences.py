@@ -8,6 +8,7 @@ scripts without periods have rules of their own.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -48,6 +49,9 @@ _NUMBER = re.compile(r"[\p{Nd}.,\-]+$")
 #: Quotes and brackets, closing by opening.
 PAIRS = {"“": "”", "«": "»", "„": "“", "「": "」", "『": "』", "《": "》", "(": ")", "（": "）", "[": "]", "【": "】", "‹": "›"}
 _CLOSING = set(PAIRS.values()) | {'"'}
+_QUOTE = re.compile("[" + re.escape("".join(sorted(_CLOSING | set(PAIRS)))) + "]")
+_SOLID = re.compile(r"\S")
+_GAP = re.compile("[ \t\xa0　]*")
 _BRACKETS = set("(（[【")
 _STRONG = set("!?。！？｡।॥؟")
 _FULL = set("。！？｡।॥؟")
@@ -114,8 +118,9 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if nxt == "." and s[e + 1 : e + 2] != ".":
                         row[1] += 1
                         prev = typ
-                        rest = s[e + 1 :].lstrip(" \t\xa0　")
-                        row[2] += bool(rest) and (rest[0] in ",;:" or rest[0].isdigit() or (rest[0].islower() and not _starts_upper(rest[:4])))
+                        gap = _GAP.match(s, e + 1).end()
+                        rest = s[gap : gap + 4]
+                        row[2] += bool(rest) and (rest[0] in ",;:" or rest[0].isdigit() or (rest[0].islower() and not _starts_upper(rest)))
                     elif nxt and nxt in _STRONG:
                         sure = True
         keys = list(types)
@@ -193,29 +198,37 @@ def learn(texts: DataFrame, text: str = "text") -> dict[str, Model]:
     return model
 
 
-def _spans(s: str) -> tuple[dict[int, int], dict[int, int]]:
-    """Matched quotes and brackets of a line: place of closing by opening and of opening by closing."""
+def _spans(s: str) -> dict[int, int]:
+    """Matched quotes and brackets of a line: place of the opening by that of the closing. Linear in the line."""
     stack: list[tuple[str, int]] = []
-    close: dict[int, int] = {}
-    for i, ch in enumerate(s):
-        if ch == '"':
-            if any(c == '"' for c, _ in stack):
-                while stack:
-                    c, j = stack.pop()
-                    if c == '"':
-                        close[j] = i
-                        break
-            else:
-                stack.append((ch, i))
-        elif ch in _CLOSING and any(PAIRS.get(c) == ch for c, _ in stack):
-            while stack:
+    waiting: Counter = Counter()  # closers that something on the stack waits for
+    opened: dict[int, int] = {}
+    for m in _QUOTE.finditer(s):
+        ch, i = m.group(), m.start()
+        if waiting[ch]:
+            while True:
                 c, j = stack.pop()
-                if PAIRS.get(c) == ch:
-                    close[j] = i
+                waiting[PAIRS.get(c, c)] -= 1
+                if PAIRS.get(c, c) == ch:
+                    opened[i] = j
                     break
-        elif ch in PAIRS:
+        elif ch == '"' or ch in PAIRS:
             stack.append((ch, i))
-    return close, {v: k for k, v in close.items()}
+            waiting[PAIRS.get(ch, ch)] += 1
+    return opened
+
+
+def _outer(opened: dict[int, int]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the outermost matched stretches, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for c in sorted(opened, reverse=True):
+        if not starts or opened[c] < starts[-1]:
+            if starts and c > starts[-1]:
+                continue
+            starts.append(opened[c])
+            ends.append(c)
+    return starts[::-1], ends[::-1]
 
 
 def _ends(s: str, at: int, m: Model, no_case: bool, capitals: bool) -> Iterator[int]:
@@ -224,10 +237,10 @@ def _ends(s: str, at: int, m: Model, no_case: bool, capitals: bool) -> Iterator[
     ``no_case``: the text has no capitals; ``capitals``: it has hardly anything else, so a capital tells nothing and
     only learned starters open sentences after marks that are not final for sure.
     """
-    close, opened = _spans(s)
+    opened = _spans(s)
+    starts, stops = _outer(opened)
     begin = at
     numbered = _NUMBERED.match(s, at)
-    inner = sorted(close.items())
     for r in _RUN.finditer(s, numbered.end() if numbered else at):
         i, e = r.start(), r.end()
         if i < begin:
@@ -245,15 +258,17 @@ def _ends(s: str, at: int, m: Model, no_case: bool, capitals: bool) -> Iterator[
                     e += 1
             else:
                 break
-        if any(o < i and c >= e for o, c in inner if o >= begin):
+        k = bisect_left(starts, i) - 1
+        if k >= 0 and stops[k] >= e:
             continue  # still inside a quotation or bracket
-        rest = s[e:].lstrip()
-        if not rest:
+        solid = _SOLID.search(s, e)
+        if not solid:
             continue
+        sign = solid.group()
         spaced = s[e].isspace()
         run = r.group()
         strong = any(ch in _STRONG for ch in run)
-        if rest[0] in ",;:、，；：،؛)）" or (rest[0] in "-–—" and not spaced):
+        if sign in ",;:、，；：،؛)）" or (sign in "-–—" and not spaced):
             continue
         word = _AFTER.match(s, e)
         nxt = word.group(1) if word else ""
@@ -288,7 +303,7 @@ def _ends(s: str, at: int, m: Model, no_case: bool, capitals: bool) -> Iterator[
                 yield e
                 begin = e
             continue
-        before = _BEFORE.search(s[begin:i]).group().lstrip("'’-.")
+        before = _BEFORE.search(s[max(begin, i - 64) : i]).group().lstrip("'’-.")
         if before and "ก" <= before[-1] <= "๛":
             continue  # no sentence ends in a period in Thai
         typ = _type(before) if before else ""

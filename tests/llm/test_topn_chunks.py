@@ -60,6 +60,14 @@ def test_pieces(limit, overlap):
         assert all(0 < e - b <= limit for b, e in got)
 
 
+def test_windows_change_nothing(monkeypatch):
+    r = random.Random(9)
+    t = "".join(r.choice(["some words here. ", "more\n", "x", " y, "]) for _ in range(3000))
+    whole = C.pieces([t], 60, 7)
+    monkeypatch.setattr(C, "WINDOW", 500)
+    assert all((a == b).all() for a, b in zip(whole, C.pieces([t], 60, 7)))
+
+
 def test_cuts_at_natural_places():
     t = "First sentence is here. Second one follows it. " * 5
     _, _, end = C.pieces([t], 60, 5)

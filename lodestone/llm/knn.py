@@ -218,8 +218,9 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, row: str = "row", emb
 
     Usable: exactly ``dim`` values, all finite, not all zero, and a row number; other rows give no result. Cosine
     similarity; equals go by lower row. Repeated rows count once. Equal vectors are one representative in the join
-    and come back afterwards, so a huge group of copies costs one vector. With one block,
-    or ``probes`` and ``margin`` that reach every block, the result is exact but for the 16-bit codes. An empty table, or one usable row, gives no rows. Columns of other names are ignored.
+    and come back afterwards, so a huge group of copies costs one vector. With one block, or ``probes`` and ``margin``
+    that reach every block, the result is exact but for the 16-bit codes. An empty table, or one usable row, gives no
+    rows. Columns of other names are ignored.
     """
     spark = vectors.sparkSession
     src = vectors.select(F.col(row).cast("bigint").alias("row"), F.col(embedding).cast("array<float>").alias("embedding"))
@@ -247,7 +248,8 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, row: str = "row", emb
     def join_block(table: pa.Table) -> pa.Table:
         return _block(table, k, dim)
 
-    near = sent.groupBy("tile").applyInArrow(join_block, "gid bigint, near array<struct<d: float, row: bigint>>")
+    parts = int(min(max(tiles.sum() // 2, 1), 1 << 15))  # about two tiles a task, however few shuffle partitions are set
+    near = sent.repartition(parts, "tile").groupBy("tile").applyInArrow(join_block, "gid bigint, near array<struct<d: float, row: bigint>>")
     heaps = near.groupBy("gid").agg(F.flatten(F.collect_list("near")).alias("near"))
     own = F.transform("rows", lambda r: F.struct(F.lit(-1.0).cast("float").alias("d"), r.alias("row")))
     # rows of the own group of copies come first; a row itself may be among them, hence one more than k

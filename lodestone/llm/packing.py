@@ -24,6 +24,7 @@ from lodestone.session import cut
 from .tokens import VOCABULARY, counted
 
 MAX_CAPACITY = 1 << 20
+MAX_PACKS = 1000
 #: Items of one size that one task ranks, about.
 BUCKET_ROWS = 100_000
 
@@ -107,12 +108,12 @@ def pack(documents: DataFrame, limits: DataFrame, doc_id: str = "doc_id", text:
     the id, so the result is the same for every partitioning. Empty tables give no rows.
     """
     spark = documents.sparkSession
-    packs = sorted({(r[0], int(r[1])) for r in limits.select("pack_name", "capacity_tokens").distinct().limit(1000).collect() if r[0] is not None and r[1] is not None and r[1] >= 1})
+    packs = sorted({(r[0], int(r[1])) for r in limits.select("pack_name", "capacity_tokens").distinct().limit(MAX_PACKS + 1).collect() if r[0] is not None and r[1] is not None and r[1] >= 1})
     shape = "pack_name string, container_id bigint, doc_id bigint, piece_no int, token_start bigint, n_tokens bigint"
     if not packs:
         return spark.createDataFrame([], shape)
-    if max(c for _, c in packs) > MAX_CAPACITY:
-        raise ValueError(f"capacities above {MAX_CAPACITY} are not supported")
+    if max(c for _, c in packs) > MAX_CAPACITY or len(packs) > MAX_PACKS:
+        raise ValueError(f"more than {MAX_PACKS} packs or a capacity above {MAX_CAPACITY}")
     src = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     sized = cut(src.mapInArrow(partial(counted, text="text", path=vocabulary), "doc_id bigint, h bigint, n_tokens bigint").distinct())
 
@@ -152,7 +153,7 @@ def fill_report(packed: DataFrame, limits: DataFrame) -> DataFrame:
     caps = limits.select("pack_name", "capacity_tokens").distinct()
     by = packed.groupBy("pack_name", "container_id").agg(F.sum("n_tokens").alias("used"))
     total = by.groupBy("pack_name").agg(F.count("*").alias("containers"), F.sum("used").alias("used_tokens"))
-    return total.join(F.broadcast(caps.limit(1000)), "pack_name").select("pack_name", "containers", "used_tokens", (1 - F.col("used_tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("unused_share"))
+    return total.join(caps, "pack_name").select("pack_name", "containers", "used_tokens", (1 - F.col("used_tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("unused_share"))
 
 
 def _tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

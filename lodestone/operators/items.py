@@ -24,9 +24,9 @@ SEARCH_PARTS = {
 
 
 def with_domain(items: DataFrame, domains: DataFrame) -> DataFrame:
-    """Adds coarse_domain by category; Unknown where the category is null or not listed. ``domains`` is a fixed small table."""
-    small = domains.select("category", F.col("coarse_domain").alias("__d")).dropDuplicates(["category"]).limit(10_000)
-    return items.join(F.broadcast(small), "category", "left").withColumn("coarse_domain", F.coalesce("__d", F.lit("Unknown"))).drop("__d")
+    """Adds coarse_domain by category; Unknown where the category is null or not listed. The optimiser sizes the join."""
+    known = domains.select("category", F.col("coarse_domain").alias("__d")).dropDuplicates(["category"])
+    return items.join(known, "category", "left").withColumn("coarse_domain", F.coalesce("__d", F.lit("Unknown"))).drop("__d")
 
 
 def query_items(queries: DataFrame, domains: DataFrame, instruction: str = "") -> DataFrame:

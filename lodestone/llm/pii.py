@@ -11,6 +11,7 @@ addresses and after titles and labels, and hardly otherwise.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -112,7 +113,13 @@ _PHONE = re.compile(r"(?<![\p{Latin}\p{N}_/.,-])(?:\+\d{1,3}[ .-]?(?:\d(?=[ .-])
 _CUE_GAP = r"(?:[^.!?。！？।؟\n]|(?<=(?<!\p{L})\p{Lu})\.|(?<=\bn)\.){0,60}"
 _PHONE_CUE = re.compile(r"(?:(?<!\p{L})(?:" + "|".join(c for c in PHONE_CUES if c.isascii() or c[0] in "térf" or "ü" in c or "é" in c or "ó" in c) + r")(?!\p{L})|(?:" + "|".join(c for c in PHONE_CUES if ord(c[0]) > 0x5FF) + r"))\.?" + _CUE_GAP + r"$", re.I)
 _JOINED = re.compile(r"¤\s?(?:[,;/&、，]|or|oder|ou|o|y|and|und|et|e|或|या|أو|หรือ)?\s?$")
-_ID = re.compile(r"(?:(?<!\p{L})(?:" + "|".join(map(re.escape, sorted((c for c in ID_CUES if ord(c[0]) < 0x600), key=len, reverse=True))) + r")(?!\p{L})|(?:" + "|".join(map(re.escape, sorted((c for c in ID_CUES if ord(c[0]) >= 0x600), key=len, reverse=True))) + r"))(?:\s*(?:no|nr|number|nº|n\.º|番号|号码|号|は|为|是|es|is|est|ist|lautet)(?!\p{L}))?[\s.:#：]*(?-i:((?:[A-Z]{1,3}[ -]?)?\d[\dA-Z]*(?:[ ./-]\d[\dA-Z]*)*(?:[ -]?[A-Z](?![A-Za-z0-9]))?))", re.I)
+#: a number with its letters, and a cue right before it
+_ID = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{1,3}[ -]?)?(\d[\dA-Z]*(?:[ ./-]\d[\dA-Z]*)*(?:[ -]?[A-Z](?![A-Za-z0-9]))?)")
+_ID_CUE = re.compile(
+    r"(?:(?<!\p{L})(?:" + "|".join(map(re.escape, sorted((c for c in ID_CUES if ord(c[0]) < 0x600), key=len, reverse=True))) + r")(?!\p{L})|(?:" + "|".join(map(re.escape, sorted((c for c in ID_CUES if ord(c[0]) >= 0x600), key=len, reverse=True))) + r"))"
+    r"(?:\s*(?:no|nr|number|nº|n\.º|番号|号码|号|は|为|是|es|is|est|ist|lautet)(?!\p{L}))?[\s.:#：]*$",
+    re.I,
+)
 
 _TOWN = r"\p{Lu}[\p{L}'-]+(?:[ ]\p{Lu}[\p{L}'-]+)?"
 _POST = r"(?:[A-Z]{1,2}[ -])?\d{4,6}"
@@ -133,6 +140,8 @@ _ADDRESS_SIGNS = [STREETS_EN_PLAIN, ["Box", "Postfach", "Apartado", "BP", "B.P"]
 _NAME_TOKEN = re.compile(r"\p{Latin}[\p{Latin}\p{M}']*")
 _LATIN = re.compile(r"[\p{Latin}\p{M}]+")
 _NAME_CUE = re.compile(r"(?<!\p{L})(?:" + "|".join(map(re.escape, sorted(NAME_CUES, key=len, reverse=True))) + r")\s*$")
+#: a capitalised word after a title or label
+_CUED = re.compile(r"(?<!\p{L})(?:" + "|".join(map(re.escape, sorted(NAME_CUES, key=len, reverse=True))) + r")\s*(\p{Lu}[\p{Latin}\p{M}']{2,})")
 _LABELLED = re.compile(r"(?:(?<!\p{L})Name ?: ?|联系人：|担当は)((?:\p{Lu}\. ?)*\p{Lu}[\p{Latin}'-]+(?:,? (?:\p{Lu}\.|(?:von|van|der|de|la) |\p{Lu}[\p{Latin}'-]+)){0,3})")
 _NOT_PERSON = re.compile(r"[ ](?:scale|syndrome|school|hall|quartet|street|prize|institute|college|test|house|museum|Skala|Schule|échelle)s?(?!\p{L})", re.I)
 
@@ -253,13 +262,17 @@ def detect(text: str, lexicon: frozenset) -> list[tuple[str, int, int]]:
             hits.append(("ADDRESS", a, b))
         mask()
     if digits:
-        for m in list(_ID.finditer(s)):
-            if sum(c.isdigit() for c in m.group(1)) >= 5 and "¤" not in m.group(1):
-                hits.append(("ID_NUMBER", *m.span(1)))
+        for m in _ID.finditer(s):
+            if m.end() - m.start() < 5 or sum(map(str.isdigit, m.group())) < 5:
+                continue
+            for a in dict.fromkeys((m.start(), m.start(1))):  # letters before the number may belong to the cue
+                if _ID_CUE.search(s[max(0, a - 48) : a]):
+                    hits.append(("ID_NUMBER", a, m.end()))
+                    break
         mask()
         for m in list(_PHONE.finditer(s)):
             a, b = m.span()
-            if not 7 <= sum(c.isdigit() for c in m.group()) <= 15 or "¤" in m.group():
+            if not 7 <= sum(map(str.isdigit, m.group())) <= 15 or "¤" in m.group():
                 continue
             left = max(0, a - 90)
             before = s[left:a]
@@ -293,6 +306,7 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, evidence, uses) of names and (newline + word, ...) of towns, added up within each batch."""
     for batch in batches:
         stat: dict[str, list[int]] = {}
+        words, named = Counter(), Counter()
 
         def note(w: str, evidence: int, uses: int) -> None:
             row = stat.setdefault(w, [0, 0])
@@ -301,20 +315,23 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         for text in batch.column(0).to_pylist():
             s, _ = plain(text)
-            for m in _EMAIL.finditer(s):
-                for w in re.split(r"[^a-z]+", re.split(r"[@+]", m.group())[0].lower()):
-                    if len(w) > 3:
-                        note(w, 1, 1)
-            s = _EMAIL.sub(lambda m: "¤" * len(m.group()), s)
+            if "@" in s:
+                for m in _EMAIL.finditer(s):
+                    for w in re.split(r"[^a-z]+", re.split(r"[@+]", m.group())[0].lower()):
+                        if len(w) > 3:
+                            note(w, 1, 1)
+                s = _EMAIL.sub(lambda m: "¤" * len(m.group()), s)
             for p, signs in zip(_ADDRESSES, _ADDRESS_SIGNS):
                 for m in p.finditer(s) if any(x in s for x in signs) else ():
                     g = m.groupdict()
                     if t := g.get("town") or g.get("lined"):
                         note("\n" + t.lower(), 1, 1)
-            for m in _NAME_TOKEN.finditer(s):
-                w = m.group()
-                if len(w) > 2 and w.isascii():
-                    note(_roots(w)[-1], int(w[0].isupper() and bool(_NAME_CUE.search(s[max(0, m.start() - 16) : m.start()]))), 1)
+            words.update(_LATIN.findall(s.lower()))
+            for m in _CUED.finditer(s):
+                named[_roots(m.group(1))[-1].rpartition("'")[2]] += 1
+        for w, n in words.items():
+            if len(w) > 2:
+                note(w, named.get(w, 0), n)
         cols = list(zip(*((k, *v) for k, v in stat.items()))) or [[], [], []]
         yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["word", "evidence", "uses"])
 

@@ -45,6 +45,8 @@ _TOKEN = re.compile(r"[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}'’.\-]*[\p{L}\p{M}\p{N}])
 _BEFORE = re.compile(r"[\p{L}\p{M}\p{N}.'’\-]*$")
 _AFTER = re.compile(r"[^\p{L}\p{N}]*?([\p{L}\p{N}](?:[\p{L}\p{M}\p{N}'’\-]*))")
 _THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๎])[  　\t]+(?=[ก-ฺเ-๎])")
+_FINAL = re.compile(r"(?<=[\p{L}\p{M}\p{N}])[!?。！？।؟]")
+_PERIOD = re.compile(r"(?<=[\p{L}\p{M}\p{N}])\.(?![.\p{L}\p{N}])")
 _NUMBER = re.compile(r"[\p{Nd}.,\-]+$")
 #: Quotes and brackets, closing by opening.
 PAIRS = {"“": "”", "«": "»", "„": "“", "「": "」", "『": "』", "《": "》", "(": ")", "（": "）", "[": "]", "【": "】", "‹": "›"}
@@ -93,38 +95,42 @@ def _type(word: str) -> str:
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of types and of (type with period, next type), added up within each batch."""
+    """Counts of types and of (type with period, next type), added up within each batch.
+
+    All words are counted in bulk; only periods and sure starts (of a line, after a final mark) are looked at one by one.
+    """
     for b in batches:
+        words: dict[str, Counter] = {}
         types: dict[tuple, list[int]] = {}
         pairs: Counter = Counter()
         for text in b.column(0).to_pylist():
             lang = language(text)
+            words.setdefault(lang, Counter()).update(_TOKEN.findall(text))
             for line in _LINE.finditer(text):
                 s = line.group()
                 at = m.end() if (m := _MARK.match(s)) else 0
-                sure = True  # the next token opens a sentence for sure
-                prev = None
-                numbered = _NUMBERED.match(s, at)
-                for t in _TOKEN.finditer(s, numbered.end() if numbered else at):
-                    w, e = t.group(), t.end()
-                    typ = _type(w)
+                if numbered := _NUMBERED.match(s, at):
+                    at = numbered.end()
+                for place in (at, *(m.end() for m in _FINAL.finditer(s, at))):
+                    if (t := _TOKEN.search(s, place)) and _starts_upper(t.group()):
+                        types.setdefault((lang, _type(t.group())), [0, 0, 0, 0])[3] += 1
+                for m in _PERIOD.finditer(s, at):
+                    i = m.start()
+                    before = _BEFORE.search(s[max(at, i - 64) : i]).group().lstrip("'’-.")
+                    if not before:
+                        continue
+                    typ = _type(before)
                     row = types.setdefault((lang, typ), [0, 0, 0, 0])
-                    row[0] += 1
-                    row[3] += sure and _starts_upper(w)
-                    if prev is not None and _starts_upper(w) and not w[0].isdigit():
-                        pairs[(lang, prev, typ)] += 1
-                    nxt = s[e : e + 1]
-                    prev, sure = None, False
-                    if nxt == "." and s[e + 1 : e + 2] != ".":
-                        row[1] += 1
-                        prev = typ
-                        gap = _GAP.match(s, e + 1).end()
-                        rest = s[gap : gap + 4]
-                        row[2] += bool(rest) and (rest[0] in ",;:" or rest[0].isdigit() or (rest[0].islower() and not _starts_upper(rest)))
-                    elif nxt and nxt in _STRONG:
-                        sure = True
-        keys = list(types)
-        rows = [(k[0], k[1], None, *types[k]) for k in keys] + [(k[0], k[1], k[2], n, 0, 0, 0) for k, n in pairs.items()]
+                    row[1] += 1
+                    gap = _GAP.match(s, i + 1).end()
+                    rest = s[gap : gap + 4]
+                    row[2] += bool(rest) and (rest[0] in ",;:" or rest[0].isdigit() or (rest[0].islower() and not _starts_upper(rest)))
+                    if (t := _TOKEN.search(s, i + 1)) and not t.group()[0].isdigit() and _starts_upper(t.group()):
+                        pairs[(lang, typ, _type(t.group()))] += 1
+        for lang, count in words.items():
+            for w, n in count.items():
+                types.setdefault((lang, _type(w)), [0, 0, 0, 0])[0] += n
+        rows = [(k[0], k[1], None, *v) for k, v in types.items()] + [(k[0], k[1], k[2], n, 0, 0, 0) for k, n in pairs.items()]
         cols = list(zip(*rows)) if rows else [[]] * 7
         kinds = [pa.string()] * 3 + [pa.int64()] * 4
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["lang", "a", "b", "total", "period", "mid", "start"])

@@ -24,6 +24,8 @@ MAX_BLOCKS = 16384
 BLOCK_SHARE = 0.25
 #: One unit of the 16-bit codes.
 CODE = np.float32(32767)
+#: More survivors than this many times k a query, and a tile is computed in float as a whole.
+CROWDED = 8
 #: A block is cut into tiles of about so many base rows.
 TILE_ROWS = 8192
 
@@ -173,9 +175,17 @@ def tile_top(query: np.ndarray, base: np.ndarray, qid: np.ndarray, bid: np.ndarr
                 if m > k:
                     floor = np.maximum(floor, np.partition(dot, m - k - 1, axis=1)[:, -k - 1] * qs[rows] - err)
                 a, b = np.nonzero(dot >= ((floor - err) / qs[rows])[:, None])
-            other = qid[i + a] != bid[j + b]
-            a, b = a[other], b[other]
-            exact = np.einsum("ij,ij->i", query[i + a].astype(np.float64), base[j + b].astype(np.float64))
+            if len(a) > CROWDED * k * n:
+                # vectors so alike that int8 cannot tell them apart: the whole tile in float
+                dense = query[rows].astype(np.float64) @ base[cols].astype(np.float64).T
+                dense[qid[rows, None] == bid[None, cols]] = -3
+                kth = np.partition(dense, max(m - k, 0), axis=1)[:, max(m - k, 0)]
+                a, b = np.nonzero((dense >= kth[:, None] - 1e-12) & (dense > -2.5))
+                exact = dense[a, b]
+            else:
+                other = qid[i + a] != bid[j + b]
+                a, b = a[other], b[other]
+                exact = np.einsum("ij,ij->i", query[i + a].astype(np.float64), base[j + b].astype(np.float64))
             keep_q, keep_b, keep_s = np.concatenate([keep_q, a]), np.concatenate([keep_b, b + j]), np.concatenate([keep_s, exact])
             order = np.lexsort((brow[keep_b], -keep_s, keep_q))
             keep_q, keep_b, keep_s = keep_q[order], keep_b[order], keep_s[order]

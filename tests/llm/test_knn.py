@@ -82,3 +82,14 @@ def test_bounds_hold():
     np.fill_diagonal(full, -9)
     want = np.sort(full, axis=1)[:, ::-1][:, :5]
     assert np.allclose(s.reshape(500, 5), want)
+
+
+def test_vectors_all_alike():
+    rng = np.random.default_rng(1)
+    x = (rng.normal(size=64) + 1e-3 * rng.normal(size=(400, 64))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(400)
+    q, b, s = knn.tile_top(x, x, ids, ids, ids, 5, step=100, width=130)
+    full = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(full, -9)
+    assert np.allclose(s.reshape(400, 5), np.sort(full, axis=1)[:, ::-1][:, :5], atol=1e-12)

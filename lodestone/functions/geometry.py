@@ -13,8 +13,9 @@ def box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 def clip_xywh(x: Column, y: Column, w: Column, h: Column, width: int, height: int, whole: str = "round") -> Column:
     """(x, y, w, h) -> corners inside the image; ``whole`` is "round" (half to even) or "truncate"."""
     i = (lambda c: F.bround(c).cast("int")) if whole == "round" else (lambda c: c.cast("int"))
-    inside = lambda c, top: F.greatest(F.lit(0), F.least(F.lit(top), c))
-    return box(inside(i(x), width), inside(i(y), height), inside(i(x + w), width), inside(i(y + h), height))
+    # limited before it is made whole: exponents give numbers beyond any int
+    inside = lambda c, top: i(F.greatest(F.lit(0.0), F.least(F.lit(float(top)), c)))
+    return box(inside(x, width), inside(y, height), inside(x + w, width), inside(y + h, height))
 
 
 def area(b: Column) -> Column:

@@ -82,25 +82,35 @@ def best_match(scores: DataFrame, keys: list[str], views: tuple[str, ...] = VIEW
     return first_by(scores, keys, [F.col("score").desc(), place.asc(), F.col("text_idx").asc(), F.col("region_id").asc()])
 
 
-# ---------------------------------------------------------------- catalogue: the plain boxes of the grounding log
+# ---------------------------------------------------------------- catalogue: the boxes of the grounding log
 W, H = 640, 480
 _FLAT = r"^\s*\[\s*-?\d+(\.\d+)?\s*(,\s*-?\d+(\.\d+)?\s*){3}\]\s*$"
 
 
-def _boxes(spark: SparkSession, sf: str) -> DataFrame:
-    """(prop_id, region_idx, x1..y2): boxes written as one plain list of four numbers."""
-    b = flat_boxes(spark.read.parquet(f"{sf}/doc_propositions.parquet"))
+def _boxes(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    """(prop_id, region_idx, x1..y2): boxes written as one plain list of four numbers, the part that BOX_SQL can split.
+
+    ``every``: all boxes that flat_boxes() finds, and region_idx is then the struct (region_idx, box_idx), in whose
+    order a proposition's boxes stand.
+    """
+    b = flat_boxes(spark.read.parquet(f"{sf}/doc_propositions.parquet")).where("box_idx >= 0")
+    if every:
+        return b.withColumn("region_idx", F.struct("region_idx", "box_idx")).select("prop_id", "region_idx", "x1", "y1", "x2", "y2")
     return b.where((F.col("box_idx") == 0) & F.col("bbox_norm").rlike(_FLAT)).select("prop_id", "region_idx", "x1", "y1", "x2", "y2")
 
 
-def _pixels(spark: SparkSession, sf: str) -> DataFrame:
-    b = _boxes(spark, sf).withColumn("b", G.norm_to_pixels(G.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]), W, H))
+def _clipped(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return _boxes(spark, sf, every).withColumn("b", G.clip_xywh(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], 800, 600)).select("prop_id", "region_idx", "b.*")
+
+
+def _pixels(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    b = _boxes(spark, sf, every).withColumn("b", G.norm_to_pixels(G.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]), W, H))
     return b.where("b IS NOT NULL").select("prop_id", "region_idx", "b.x1", "b.y1", "b.x2", "b.y2")
 
 
-def _annotations(spark: SparkSession, sf: str) -> DataFrame:
+def _annotations(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
     a = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    return _pixels(spark, sf).select(F.col("prop_id").alias("image"), F.col("region_idx").alias("ordinal"), "x1", "y1", "x2", "y2", a.alias("mask_area"), G.quality(F.lit(0.5), F.lit(0.25), a).alias("s"))
+    return _pixels(spark, sf, every).select(F.col("prop_id").alias("image"), F.col("region_idx").alias("ordinal"), "x1", "y1", "x2", "y2", a.alias("mask_area"), G.quality(F.lit(0.5), F.lit(0.25), a).alias("s"))
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,13 +119,45 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(nxt, ["prop_id", "region_idx"]).select("prop_id", "region_idx", rounded(G.iou(F.col("b"), F.col("b2"))).alias("iou"))
 
 
+def _every_pair(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlap of every two boxes of a proposition, the one that stands first on the left."""
+    p = _pixels(spark, sf, True).select("prop_id", F.col("region_idx").alias("at"), G.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]).alias("b"))
+    pairs = p.join(p.select("prop_id", F.col("at").alias("at2"), F.col("b").alias("b2")), "prop_id").where(F.col("at") < F.col("at2"))
+    return pairs.select("prop_id", "at.*", F.col("at2.region_idx").alias("other_region_idx"), F.col("at2.box_idx").alias("other_box_idx"), rounded(G.iou(F.col("b"), F.col("b2"))).alias("iou"))
+
+
+def _keyed(d: DataFrame, key: str = "region_idx") -> DataFrame:
+    """The struct (region_idx, box_idx) as two columns."""
+    return d.select(*[c for c in d.columns if c != key], f"{key}.*")
+
+
+def _scores(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return _annotations(spark, sf, every).select(F.col("image").alias("prop_id"), "ordinal", rounded(F.col("s")).alias("s"))
+
+
+def _counts(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return postprocess(_annotations(spark, sf, every)).select("image", F.size("kept").cast("bigint").alias("kept"), "removed_small", "removed_slender", F.col("removed_duplicate").cast("bigint").alias("removed_duplicate"))
+
+
+def _kept(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return postprocess(_annotations(spark, sf, every)).select("image", F.explode("kept").alias("k")).select("image", F.col("k.ordinal").alias("ordinal"))
+
+
+def _dedup(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return distinct_boxes(_pixels(spark, sf, every), "prop_id", "region_idx").select("prop_id", "region_idx")
+
+
+def _filtered(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    return _annotations(spark, sf, every).withColumn("v", verdict(G.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]), F.col("mask_area"))).groupBy("v").agg(F.count("*").alias("n"))
+
+
 def _matches(spark: SparkSession, sf: str) -> DataFrame:
     s = run(spark, sf).select(F.col("qid").alias("item"), F.col("did").alias("region_id"), F.element_at(F.array(*[F.lit(v) for v in VIEWS]), (F.col("rank") % 3 + 1)).alias("view"), (F.col("rank") % 4).alias("text_idx"), F.floor(F.col("score") * 4).alias("score"))
     return best_match(s, ["item"]).select("item", "region_id", "view", "text_idx", "score")
 
 
-def _union(spark: SparkSession, sf: str) -> DataFrame:
-    p = _pixels(spark, sf).groupBy("prop_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+def _union(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    p = _pixels(spark, sf, every).groupBy("prop_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
     w = G.widened(G.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]), 0.25, W, H)
     return p.withColumn("w", w).select("prop_id", "x1", "y1", "x2", "y2", F.col("w.x1").alias("wx1"), F.col("w.y1").alias("wy1"), F.col("w.x2").alias("wx2"), F.col("w.y2").alias("wy2"))
 
@@ -142,16 +184,26 @@ _NMS_SQL = (
 )
 
 QUERIES = {
-    "r1_clip_box": lambda spark, sf: _boxes(spark, sf).withColumn("b", G.clip_xywh(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], 800, 600)).select("prop_id", "region_idx", "b.*"),
+    "r1_clip_box": _clipped,
     "r2_box_iou": _pairs,
-    "r4_quality": lambda spark, sf: _annotations(spark, sf).select(F.col("image").alias("prop_id"), "ordinal", rounded(F.col("s")).alias("s")),
-    "r5_postprocess": lambda spark, sf: postprocess(_annotations(spark, sf)).select("image", F.size("kept").cast("bigint").alias("kept"), "removed_small", "removed_slender", F.col("removed_duplicate").cast("bigint").alias("removed_duplicate")),
-    "r3_greedy_nms": lambda spark, sf: postprocess(_annotations(spark, sf)).select("image", F.explode("kept").alias("k")).select("image", F.col("k.ordinal").alias("ordinal")),
-    "r6_dedup_boxes": lambda spark, sf: distinct_boxes(_pixels(spark, sf), "prop_id", "region_idx").select("prop_id", "region_idx"),
+    "r4_quality": _scores,
+    "r5_postprocess": _counts,
+    "r3_greedy_nms": _kept,
+    "r6_dedup_boxes": _dedup,
     "r8_norm_to_px": _pixels,
     "r10_union_box": _union,
     "r13_best_match": _matches,
-    "r17_region_filter": lambda spark, sf: _annotations(spark, sf).withColumn("v", verdict(G.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]), F.col("mask_area"))).groupBy("v").agg(F.count("*").alias("n")),
+    "r17_region_filter": _filtered,
+    # the same over every box; no SQL twins
+    "r1_clip_box_all": lambda spark, sf: _keyed(_clipped(spark, sf, True)),
+    "r2_box_iou_all": _every_pair,
+    "r4_quality_all": lambda spark, sf: _keyed(_scores(spark, sf, True), "ordinal"),
+    "r5_postprocess_all": lambda spark, sf: _counts(spark, sf, True),
+    "r3_greedy_nms_all": lambda spark, sf: _keyed(_kept(spark, sf, True), "ordinal"),
+    "r6_dedup_boxes_all": lambda spark, sf: _keyed(_dedup(spark, sf, True)),
+    "r8_norm_to_px_all": lambda spark, sf: _keyed(_pixels(spark, sf, True)),
+    "r10_union_box_all": lambda spark, sf: _union(spark, sf, True),
+    "r17_region_filter_all": lambda spark, sf: _filtered(spark, sf, True),
 }
 SQL = {
     "r1_clip_box": f"WITH {BOX_SQL} SELECT prop_id, region_idx, greatest(0, least(800, round_even(x1, 0)::INT)) AS x1, greatest(0, least(600, round_even(y1, 0)::INT)) AS y1, greatest(0, least(800, round_even(x1 + x2, 0)::INT)) AS x2, greatest(0, least(600, round_even(y1 + y2, 0)::INT)) AS y2 FROM b0",

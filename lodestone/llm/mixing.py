@@ -234,7 +234,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | str = "e
 
 
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return mix(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text"), spark.read.parquet(f"{sf}/mix_targets.parquet"))
+    """The largest mixture in which every source has its share."""
+    return mix(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text"), spark.read.parquet(f"{sf}/mix_targets.parquet"), total_tokens="reachable")
 
 
 QUERIES = {

@@ -97,6 +97,15 @@ def test_mix(spark):
     assert a.count() == 0 and all(x["tokens"] == 0 for x in b.collect())
 
 
+@needs_vocabulary
+def test_registered_mixture_has_its_shares(spark, tmp_path):
+    docs = [(i, "big", f"red green blue {i} " * 9) for i in range(600)] + [(1000 + i, "tiny", f"one two three {i} " * 9) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("big", 1.0, 2), ("tiny", 1.0, 2)], "source string, weight double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    for x in M.QUERIES["p8_shares"](spark, str(tmp_path)).collect():
+        assert x["actual_share"] == pytest.approx(x["target_share"], abs=0.02)
+
+
 def test_projected_gradient():
     import numpy as np
 

@@ -20,8 +20,8 @@ import regex as re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Least share of all words for an entry of the learned lexicon; bounds it by the inverse.
-FLOOR = 1e-6
+#: Entries that the learned lexicon may have, as it travels to every task; more are an error.
+MOST_NAMES = 1 << 20
 #: Least share of a word's uses that are evidence of a name.
 EVIDENCE = 0.15
 
@@ -142,7 +142,11 @@ _LATIN = re.compile(r"[\p{Latin}\p{M}]+")
 _NAME_CUE = re.compile(r"(?<!\p{L})(?:" + "|".join(map(re.escape, sorted(NAME_CUES, key=len, reverse=True))) + r")\s*$")
 #: a capitalised word after a title or label
 _CUED = re.compile(r"(?<!\p{L})(?:" + "|".join(map(re.escape, sorted(NAME_CUES, key=len, reverse=True))) + r")\s*(\p{Lu}[\p{Latin}\p{M}']{2,})")
-_LABELLED = re.compile(r"(?:(?<!\p{L})Name ?: ?|联系人：|担当は)((?:\p{Lu}\. ?)*\p{Lu}[\p{Latin}'-]+(?:,? (?:\p{Lu}\.|(?:von|van|der|de|la) |\p{Lu}[\p{Latin}'-]+)){0,3})")
+_LABELLED = re.compile(r"(?:(?<!\p{L})(?:Name|Nom|Nombre|[Hh]older) ?: ?|联系人：|担当は)((?:\p{Lu}\. ?)*\p{Lu}[\p{Latin}'-]+(?:,? (?:\p{Lu}\.|(?:von|van|der|de|la) |\p{Lu}[\p{Latin}'-]+)){0,3})")
+#: personal titles; after the last three of them a capitalised run is a name only if none stands before them (Ada Brill Sr. The)
+TITLES = r"Mr\.?|Ms\.?|Mrs\.?|Miss|Dr\.|Prof\.|Frau|Herrn?|Mme\.?|Monsieur|Madame|Señora?|(?<!\p{Lu}[\p{Latin}'-]*[ ]|\p{Lu}\.[ ]?)(?:Sra?\.|M\.)"
+_TITLED_WORD = r"(?!(?:Mr|Ms|Mrs|Miss|Dr|Prof|Frau|Herrn?|Mme|Monsieur|Madame|Sra?|Señora?)(?!\p{Latin}))\p{Lu}[\p{Latin}\p{M}'-]+"
+_TITLED = re.compile(rf"(?<!\p{{L}})(?P<title>{TITLES})(?:(?<=\.)[ ]?|[ ])(?P<run>(?:\p{{Lu}}\.[ ]?)*(?:(?:{'|'.join(sorted(PARTICLES))})[ ])*{_TITLED_WORD}(?:[ ](?:(?:\p{{Lu}}\.[ ]?|(?:{'|'.join(sorted(PARTICLES))})[ ])*{_TITLED_WORD})){{0,3}})")
 _NOT_PERSON = re.compile(r"[ ](?:scale|syndrome|school|hall|quartet|street|prize|institute|college|test|house|museum|Skala|Schule|échelle)s?(?!\p{L})", re.I)
 
 
@@ -168,17 +172,37 @@ def _preposition(s: str, toks: list, a: int, b: int, comma: bool, words: int) ->
     return word == "von" and s[max(0, toks[a][1] - 2) : toks[a][1]] == "¤ "
 
 
+def _titled(s: str, lexicon: frozenset) -> set[int]:
+    """Starts of the capitalised words right after a personal title, known or not.
+
+    German writes nouns with capitals and M. may be an initial, so after Frau, Herr and M. a run ends at its last known
+    word if it has any.
+    """
+    out: set[int] = set()
+    for m in _TITLED.finditer(s):
+        a, b = m.span("run")
+        if _NOT_PERSON.search(s, a, b):
+            continue
+        words = [w for w in _NAME_TOKEN.finditer(s, a, b) if w.group()[0].isupper() and len(w.group()) > 1]
+        if m.group("title")[:4] in ("Frau", "Herr", "M."):
+            known = [i for i, w in enumerate(words) if any(r in lexicon for r in _roots(w.group()))]
+            words = words[: known[-1] + 1] if known else words
+        out.update(w.start() for w in words)
+    return out
+
+
 def _names(s: str, lexicon: frozenset) -> Iterator[tuple[int, int]]:
-    """Maximal runs of lexicon words, initials and particles that make up a name."""
+    """Maximal runs of lexicon words, words after a title, initials and particles that make up a name."""
     words_ = set(_LATIN.findall(s.lower()))
-    if lexicon.isdisjoint(words_) and not any(w[:2] in ("ma", "mc") and not lexicon.isdisjoint(_roots(w)) for w in words_):
+    titled = _titled(s, lexicon)
+    if not titled and lexicon.isdisjoint(words_) and not any(w[:2] in ("ma", "mc") and not lexicon.isdisjoint(_roots(w)) for w in words_):
         return
     toks = []
     for m in _NAME_TOKEN.finditer(s):
         w, a, b = m.group(), m.start(), m.end()
         if len(w) == 1 and w.isupper() and s[b : b + 1] == ".":
             toks.append(("I", a, b + 1))
-        elif len(w) > 2 and any(r in lexicon for r in _roots(w)):
+        elif a in titled or (len(w) > 2 and any(r in lexicon for r in _roots(w))):
             toks.append(("L", a, b))
         elif w.lower() in PARTICLES and (w.islower() or w.isupper()):
             toks.append(("P", a, b))
@@ -332,6 +356,9 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, n in words.items():
             if len(w) > 2:
                 note(w, named.get(w, 0), n)
+        for w, n in named.items():
+            if len(w) > 2 and w not in words:  # what is left of a name without Mac is no word of this batch
+                note(w, n, n)
         cols = list(zip(*((k, *v) for k, v in stat.items()))) or [[], [], []]
         yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["word", "evidence", "uses"])
 
@@ -339,14 +366,14 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_lexicon(texts: DataFrame, text: str = "text") -> frozenset:
     """Words of personal names (and towns, marked by a leading newline), from all texts.
 
-    Counts are added up in the tasks before the shuffle. An entry needs three pieces of evidence, EVIDENCE of its uses
-    and FLOOR of all words, so the list has at most 1/FLOOR entries.
+    Counts are added up in the tasks before the shuffle. An entry needs three pieces of evidence and EVIDENCE of its
+    uses, however large the table; more than MOST_NAMES entries are an error.
     """
     counts = texts.select(text).where(F.col(text).isNotNull()).mapInArrow(_evidence, "word string, evidence bigint, uses bigint").groupBy("word").agg(F.sum("evidence").alias("evidence"), F.sum("uses").alias("uses"))
-    counts = counts.where("evidence > 0")
-    total = F.broadcast(counts.agg(F.sum("uses").alias("whole")))  # one row
-    kept = counts.crossJoin(total).where((F.col("evidence") >= 3) & (F.col("evidence") >= F.lit(EVIDENCE) * F.col("uses")) & (F.col("uses") >= F.lit(FLOOR) * F.col("whole")))
-    return frozenset(r[0] for r in kept.select("word").collect())
+    kept = counts.where((F.col("evidence") >= 3) & (F.col("evidence") >= F.lit(EVIDENCE) * F.col("uses"))).select("word").limit(MOST_NAMES + 1).collect()
+    if len(kept) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names learned")
+    return frozenset(r[0] for r in kept)
 
 
 def _spans(batches: Iterator[pa.RecordBatch], lexicon: frozenset) -> Iterator[pa.RecordBatch]:

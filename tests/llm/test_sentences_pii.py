@@ -105,3 +105,27 @@ def test_operator(spark):
     red = {r["doc_id"]: r["text"] for r in I.redact(df).collect()}
     assert red[1] == "Name: [NAME], write to [EMAIL] or [EMAIL]!" and red[9] is None and red[10] == ""
     assert I.find_pii(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Then Dr. Unheard Ofname spoke.", ["Unheard Ofname"]),
+        ("Mr. Vexley and Frau Quorn met Prof. Dr. J. Tullamar.", ["Vexley", "Quorn", "J. Tullamar"]),
+        ("Frau von Quorn, Mr. Vexley Brill", ["von Quorn", "Vexley Brill"]),
+        ("Frau Brill Kaffee", ["Brill"]),
+        ("Ada Brill Sr. The end. The Dr. Vexley Institute stands.", ["Ada Brill"]),
+        ("Nom : Vexley Quorn", ["Vexley Quorn"]),
+    ],
+)
+def test_names_after_titles_need_no_lexicon(text, want):
+    assert [t for k, t in hits(text) if k == "NAME"] == want
+
+
+def test_lexicon_does_not_depend_on_the_size_of_the_table(spark, monkeypatch):
+    rows = [("Thanks to Vexley for it.",)] * 3 + [("Patient MacAbernaught came.",)] * 3 + [(f"{'filler ' * 20000}",)] * 200
+    df = spark.createDataFrame(rows, "text string")
+    assert {"vexley", "abernaught"} <= I.learn_lexicon(df)
+    monkeypatch.setattr(I, "MOST_NAMES", 1)
+    with pytest.raises(ValueError):
+        I.learn_lexicon(df)

@@ -72,12 +72,13 @@ def _visited(successor: np.ndarray, roots: np.ndarray) -> np.ndarray:
         jump = nxt
 
 
-def pieces(texts: list[str], limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pieces(texts: list[str], limit: int, overlap: int, anywhere: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text place, start, end) of the pieces of texts longer than ``limit``, in order.
 
     A piece [start, end) has at most ``limit`` characters and the next one starts ``overlap`` characters before its
     end, so consecutive pieces share exactly that many. It ends at the strongest boundary in its last two fifths,
-    latest among equals, else wherever the limit falls. Nodes are positions of cuts; the successor of a cut is the
+    latest among equals, else wherever the limit falls; with ``anywhere`` at the latest boundary before those two fifths,
+    and wherever the limit falls only where a piece has no boundary at all that lets the next one advance. Nodes are positions of cuts; the successor of a cut is the
     cut that the piece starting ``overlap`` before it ends at.
     """
     if not 0 <= overlap < limit // 2:
@@ -89,7 +90,7 @@ def pieces(texts: list[str], limit: int, overlap: int) -> tuple[np.ndarray, np.n
         begins, ends, at = [], [], 0
         window = max(WINDOW, 8 * limit)
         while True:
-            b, e = _window(t[at : at + window], limit, overlap)
+            b, e = _window(t[at : at + window], limit, overlap, anywhere)
             last = at + window >= len(t)
             keep = len(b) if last else len(b) - 1  # the window's last piece is cut again with what follows
             begins.append(b[:keep] + at)
@@ -102,7 +103,7 @@ def pieces(texts: list[str], limit: int, overlap: int) -> tuple[np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _window(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+def _window(text: str, limit: int, overlap: int, anywhere: bool) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the greedy pieces of one stretch; nodes are all its positions."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(c)
@@ -113,8 +114,12 @@ def _window(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray
     # successor of a cut: where the piece that starts ``overlap`` before it ends
     start = np.maximum(node - overlap, 0)
     last = np.minimum(start + limit, n)
-    first = np.minimum(np.maximum(start + limit - 2 * limit // 5, np.maximum(node, start + overlap) + 1), last)
+    least = np.maximum(node, start + overlap) + 1
+    first = np.minimum(np.maximum(start + limit - 2 * limit // 5, least), last)
     successor = _strongest(strength, first, last)
+    if anywhere:
+        latest = np.maximum.accumulate(np.where(strength > 0, np.arange(n + 1, dtype=np.int32), np.int32(-1)))[last]
+        successor = np.where((strength[successor] == 0) & (latest >= least), latest, successor)
     successor[last == n] = n
     ends = np.flatnonzero(_visited(successor, np.array([0])))
     ends = ends[ends > 0]
@@ -138,7 +143,7 @@ def _cut(batches: Iterator[pa.RecordBatch], limit: int, overlap: int, step: int
     for b in batches:
         for lo in range(0, b.num_rows, step):
             keys, texts = b.column(0).slice(lo, step), b.column(1).slice(lo, step).to_pylist()
-            who, begin, end = pieces(texts, limit, overlap)
+            who, begin, end = pieces(texts, limit, overlap, anywhere=True)
             no = np.arange(len(who)) - np.searchsorted(who, who)
             cut = [texts[w][s:e] for w, s, e in zip(who.tolist(), begin.tolist(), end.tolist())]
             yield pa.record_batch([keys.take(pa.array(who)), pa.array(no.astype(np.int32)), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(cut, pa.string())], names=["item_key", "piece_no", "start_pos", "end_pos", "piece"])

@@ -81,3 +81,20 @@ def test_operator(spark):
     assert C.split_oversized(df.limit(0), "k", "t", 100, 10).count() == 0
     with pytest.raises(ValueError):
         C.pieces(["x" * 50], 10, 5)
+
+
+def test_no_cut_inside_a_run_that_has_a_boundary_before_it(spark, monkeypatch):
+    r = random.Random(5)
+    t = "".join(r.choice(["word ", "two words. ", "x" * 70 + " ", "\n", "y" * 130 + " "]) for _ in range(400))
+    df = spark.createDataFrame([("a", t)], "k string, t string")
+    rows = C.split_oversized(df, "k", "t", 100, 10).orderBy("piece_no").collect()
+    strength = C.cut_strengths(np.frombuffer(t.encode("utf-32-le"), np.uint32))
+    assert "".join(x["piece"][10 if k else 0 :] for k, x in enumerate(rows)) == t
+    ends, last = [x["end_pos"] for x in rows], 0
+    for x in rows[:-1]:
+        least = max(last, x["start_pos"] + 10) + 1
+        assert strength[x["end_pos"]] or not strength[least : x["start_pos"] + 101].any()
+        assert len(x["piece"]) <= 100
+        last = x["end_pos"]
+    monkeypatch.setattr(C, "WINDOW", 800)
+    assert [int(e) for e in C.pieces([t], 100, 10, anywhere=True)[2]] == ends

@@ -64,15 +64,18 @@ def _plain_chars() -> dict[int, str]:
 
 
 _GLYPH = re.compile("[" + "".join(HOMOGLYPHS) + "]")
-_AT = r"(?:\s*[\[({<]\s*(?:at|@|ät|arroba|arobase)\s*[\])}>]\s*|\s+@\s*|\s*@\s+|@)"
+_BRACKETED_AT = r"[\[({<]\s*(?:at|@|ät|arroba|arobase)\s*[\])}>]"
+_BRACKETED_DOT = r"[\[({]\s*(?:dot|punkt|point|punto|\.)\s*[\])}]"
+_WORD_DOT = r"(?:dot|punkt|punto)"
+_AT = rf"(?:\s*{_BRACKETED_AT}\s*|\s+@\s*|\s*@\s+|@)"
 _WORD_AT = r"\s+(?:at|arroba|arobase)\s+"
-_DOT = r"(?:\s*[\[({]\s*(?:dot|punkt|point|punto|\.)\s*[\])}]\s*|\s+(?:dot|punkt|punto)\s+)"
+_DOT = rf"(?:\s*{_BRACKETED_DOT}\s*|\s+{_WORD_DOT}\s+)"
 _LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
 _LOCAL = r"(?<![a-z0-9._%+-])[a-z0-9](?:[a-z0-9._%+-]*[a-z0-9])?"
 #: at least one sign of an address: a real or bracketed at, or words for both at and dot
 _DISGUISED = re.compile(rf"{_LOCAL}(?P<at>{_AT})(?:{_LABEL}(?P<dot>{_DOT}|\.))+[a-z]{{2,}}(?![a-z0-9])|{_LOCAL}(?P<at>{_WORD_AT})(?:{_LABEL}(?P<dot>{_DOT}))+[a-z]{{2,}}(?![a-z0-9])", re.I)
 #: without any of these a text has no disguised address, and the costly pattern is not tried
-_AT_SIGNS = ("(at", "[at", "{at", "<at", "( at", "[ at", "(@", "[@", " @", "@ ", "@\n", "\n@", "(ät", "[ät", "arroba", "arobase", " dot ", "[dot", "(dot", "{dot", " punkt ", " punto ", "(punkt", "[punkt", "(punto", "[punto", "(point", "[point", "[.", "(.)")
+_AT_SIGN = re.compile(rf"\s@|@\s|{_BRACKETED_AT}|{_BRACKETED_DOT}|\s{_WORD_DOT}\s", re.I)
 _SPELLED = re.compile(r"(?<!\w)(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r")(?:[\s-]+(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r")){5,}(?!\w)", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -85,7 +88,7 @@ def plain(text: str) -> tuple[str, list[int] | None]:
         s = re.sub(r"[\p{L}\p{N}._%+@-]*", lambda m: "".join(HOMOGLYPHS.get(c, c) for c in m.group()) if re.search(r"[a-zA-Z]", m.group()) else m.group(), s)
     edits: list[tuple[int, int, str]] = []
     low = s.lower()
-    if any(x in low for x in _AT_SIGNS):
+    if _AT_SIGN.search(s):
         for m in _DISGUISED.finditer(s):
             edits += [(*m.span("at"), "@")] + [(a, b, ".") for a, b in m.spans("dot")]
     if sum(map(low.count, SPELLED)) > 5:
@@ -136,7 +139,10 @@ _ADDRESSES = [
     re.compile(r"〒\d{3}-\d{4}\s*[\p{Han}\p{Hiragana}\p{Katakana}ヶー]{2,30}?\d{1,4}(?:-\d{1,4})*(?:番地|号)?"),
 ]
 #: words of which one must occur for the pattern of the same place to be tried
-_ADDRESS_SIGNS = [STREETS_EN_PLAIN, ["Box", "Postfach", "Apartado", "BP", "B.P"], STREETS_FR, [w.replace("\\", "") for w in STREETS_DE] + ["Allee", "Gasse", "Weg", "Platz"], ["Av", "Calle", "C/", "Pza", "Plaza", "Paseo"], ["号"], ["丁目"], ["〒"]]
+_ADDRESS_SIGNS = [STREETS_EN_PLAIN, ["Box", "Postfach", "Apartado", "BP", "B.P"], STREETS_FR, [w.replace("\\", "") for w in STREETS_DE], ["Av", "Calle", "C/", "Pza", "Plaza", "Paseo"], ["号"], ["丁目"], ["〒"]]
+#: with folded words for patterns without regard to case
+_FOLDED = [bool(p.flags & re.I) for p in _ADDRESSES]
+_ADDRESS_SIGNS = [[w.casefold() for w in signs] if folded else signs for signs, folded in zip(_ADDRESS_SIGNS, _FOLDED)]
 _NAME_TOKEN = re.compile(r"\p{Latin}[\p{Latin}\p{M}']*")
 _LATIN = re.compile(r"[\p{Latin}\p{M}]+")
 _NAME_CUE = re.compile(r"(?<!\p{L})(?:" + "|".join(map(re.escape, sorted(NAME_CUES, key=len, reverse=True))) + r")\s*$")
@@ -244,6 +250,13 @@ def _names(s: str, lexicon: frozenset) -> Iterator[tuple[int, int]]:
         i = j + 1
 
 
+def _may_hold(s: str, i: int) -> bool:
+    """Whether ``s`` has a sign of the i-th address pattern; without one the pattern is not tried."""
+    if _FOLDED[i]:
+        s = s.casefold()
+    return any(x in s for x in _ADDRESS_SIGNS[i])
+
+
 def detect(text: str, lexicon: frozenset) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the items of one text, in order, without overlaps; positions in the source text."""
     s, place = plain(text)
@@ -267,7 +280,7 @@ def detect(text: str, lexicon: frozenset) -> list[tuple[str, int, int]]:
         mask()
     digits = re.search(r"\d", s) is not None
     for i, pattern in enumerate(_ADDRESSES if digits else ()):
-        if not any(x in s for x in _ADDRESS_SIGNS[i]):
+        if not _may_hold(s, i):
             continue
         for m in list(pattern.finditer(s)):
             a, b = m.span()
@@ -345,8 +358,8 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if len(w) > 3:
                             note(w, 1, 1)
                 s = _EMAIL.sub(lambda m: "¤" * len(m.group()), s)
-            for p, signs in zip(_ADDRESSES, _ADDRESS_SIGNS):
-                for m in p.finditer(s) if any(x in s for x in signs) else ():
+            for i, p in enumerate(_ADDRESSES):
+                for m in p.finditer(s) if _may_hold(s, i) else ():
                     g = m.groupdict()
                     if t := g.get("town") or g.get("lined"):
                         note("\n" + t.lower(), 1, 1)

@@ -129,3 +129,13 @@ def test_lexicon_does_not_depend_on_the_size_of_the_table(spark, monkeypatch):
     monkeypatch.setattr(I, "MOST_NAMES", 1)
     with pytest.raises(ValueError):
         I.learn_lexicon(df)
+
+
+@pytest.mark.parametrize("street", ["Karl-Marx-Straße 12", "Hafen-Str. 5", "Georg-Brauchle-Ring 3", "Alter-Damm 7", "Nord-Ufer 9", "HAUPTSTRASSE 4", "HAUPTSTRAßE 4"])
+def test_german_streets_in_any_case(street):
+    assert ("ADDRESS", street) in hits(f"Sie wohnt in {street}, sagt man.")
+
+
+@pytest.mark.parametrize("mail", ["ada { at } shop.example", "ada < at > shop.example", "ada{@}shop.example", "ada@shop ( point ) example", "ada [\tAT\t] shop.example"])
+def test_disguised_addresses_in_any_brackets(mail):
+    assert hits(f"Write to {mail} now") == [("EMAIL", mail)]

@@ -117,6 +117,17 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("qid", "did").agg(F.max("rel").alias("rel"))
 
 
+def judged_all(spark: SparkSession, sf: str) -> DataFrame:
+    """qrels (qid, did, rel): all sub-documents of the query's document, grade 2 if of its modality too.
+
+    A hot document gives each of its queries as many judgements as it has rows.
+    """
+    m = spark.read.parquet(f"{sf}/meta.parquet").select("row", "corpus_id", "modality").distinct()
+    q = m.where("row % 100 = 0").select(F.concat(F.lit(QUERY_PREFIX), "row").alias("qid"), "corpus_id", F.col("modality").alias("qm"))
+    found = q.join(m, "corpus_id").select("qid", F.concat(F.lit(CORPUS_PREFIX), "row").alias("did"), F.when(F.col("modality") == F.col("qm"), 2).otherwise(1).alias("rel"))
+    return found.groupBy("qid", "did").agg(F.max("rel").alias("rel"))
+
+
 def query_meta(spark: SparkSession, sf: str) -> DataFrame:
     """(qid, coarse, fine, has_image) of the queries."""
     m = spark.read.parquet(f"{sf}/meta.parquet").where("row % 100 = 0").select("row", "modality", "source", "has_image").distinct()

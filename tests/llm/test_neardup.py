@@ -68,3 +68,49 @@ def test_copies_cost_nothing(spark):
 def test_empty(spark):
     links, members = N.near_duplicates(spark.createDataFrame([], "id string, text string"))
     assert links.count() == members.count() == 0
+
+
+def test_blocks_of_hot_keys_and_no_sketch_change_nothing(spark):
+    r = random.Random(3)
+    rows = texts()[:40]
+    base = rows[0][1].split()
+    for k in range(40):  # variants of one text: they share most keys
+        w = base[:]
+        w[r.randrange(len(w))] = f"variant{k}number"
+        rows.append((f"v{k}", " ".join(w)))
+    df = spark.createDataFrame(rows, "id string, text string")
+    pairs = lambda **kw: {(r["uid_a"], r["uid_b"]) for r in N.near_duplicates(df, **kw)[0].collect()}
+    whole = pairs()
+    assert whole == pairs(block=4) == pairs(block=4, sigmas=None) and len(whole) > 300
+
+
+def test_groups_are_components(spark):
+    rows = texts() + [("n", None), ("copy", texts()[0][1].upper()), ("lone", "y" * 40 + "some other letters that nobody else has in a text of eighty characters at least")]
+    df = spark.createDataFrame(rows + rows[:3], "id string, text string")
+    links, members = N.near_duplicates(df)
+    of, root = {}, {}
+    for r in members.collect():
+        of.setdefault(r["uid"], []).append(r["id"])
+        root[r["uid"]] = r["uid"]
+
+    def find(u):
+        while root[u] != u:
+            u = root[u]
+        return u
+
+    edges = [(r["uid_a"], r["uid_b"]) for r in links.collect()]
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    least = {}
+    for u, ids in of.items():
+        least[find(u)] = min([*ids, least.get(find(u), min(ids))])
+    want = {(i, least[find(u)], sum(u in e for e in edges)) for u, ids in of.items() for i in ids}
+    assert {tuple(r) for r in N.groups(df).collect()} == want
+    assert N.groups(df.limit(0)).count() == 0
+
+
+def test_long_chain_settles(spark):
+    n = 60
+    chain = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(n)], "uid_a string, uid_b string")
+    assert {tuple(r) for r in N.components(chain).collect()} == {(f"{i:03}", "000") for i in range(n + 1)}

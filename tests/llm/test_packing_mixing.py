@@ -16,31 +16,41 @@ needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no
 
 
 
-def test_runs_equal_one_by_one():
+def brute(sizes, capacity):
+    gaps, count = [], 0
+    for s in sorted(sizes, reverse=True):
+        i = bisect_left(gaps, s)
+        count += i == len(gaps)
+        left = (gaps.pop(i) if i < len(gaps) else capacity) - s
+        if left:
+            insort(gaps, left)
+    return count
+
+
+def test_sweeps_against_one_by_one(spark):
     r = random.Random(1)
-    for capacity in (10, 64, 100):
-        for _ in range(30):
-            sizes = [r.randint(1, capacity) for _ in range(r.randint(0, 300))]
-            hist = {s: sizes.count(s) for s in set(sizes)}
-            moves, opened = P.best_fit(hist, capacity)
-            load, seen = {}, {}
-            for s, rank, n, first in moves:
-                for i in range(n):
-                    load[first + i] = load.get(first + i, 0) + s
-                    seen.setdefault(s, []).append(rank + i)
-            assert all(sorted(v) == list(range(hist[s])) for s, v in seen.items()) and set(seen) == set(hist)
-            assert all(v <= capacity for v in load.values()) and set(load) == set(range(opened))
-            gaps, count = [], 0
-            for s in sorted(sizes, reverse=True):
-                i = bisect_left(gaps, s)
-                if i == len(gaps):
-                    count += 1
-                    left = capacity - s
-                else:
-                    left = gaps.pop(i) - s
-                if left:
-                    insort(gaps, left)
-            assert opened == count
+    caps = [(0, 10), (1, 64), (2, 100)]
+    rows = [(p, c, i, 0, 0, r.randint(1, c) if i % 3 else r.randint(1, max(1, c // 8))) for p, c in caps for i in range(400)]
+    items = spark.createDataFrame(rows, "pack_no int, capacity long, doc_id long, h long, piece_no int, n_tokens long")
+    placed, opened = P._fill(items, [(str(p), c) for p, c in caps], 3)
+    got = placed.collect()
+    assert sorted((x["pack_no"], x["doc_id"]) for x in got) == sorted((x[0], x[2]) for x in rows)
+    for p, c in caps:
+        load = {}
+        for x in got:
+            if x["pack_no"] == p:
+                load[x["container_id"]] = load.get(x["container_id"], 0) + x["n_tokens"]
+        sizes = [x[5] for x in rows if x[0] == p]
+        assert max(load.values()) <= c and set(load) <= set(range(opened[p]))
+        assert len(load) <= 1.03 * brute(sizes, c) + 1
+        assert brute(sizes, c) == P.best_fit({s: sizes.count(s) for s in set(sizes)}, c)
+
+
+def test_sweep_matches_successors(spark):
+    docs = spark.createDataFrame([(0, 100, i, 0, 0, n) for i, n in enumerate([30, 30, 40, 50])], "pack_no int, capacity long, doc_id long, h long, piece_no int, n_tokens long")
+    gaps = spark.createDataFrame([(0, 7, 29, 100), (0, 1, 31, 100), (0, 2, 45, 100), (0, 3, 99, 100)], "pack_no int, container_id long, room long, capacity long")
+    out = {x["doc_id"]: x["container_id"] for x in P.sweep(docs, gaps, F.lit(30), F.lit(50)).collect()}
+    assert out[2] == 2 and out[3] == 3 and sorted([out[0] or 0, out[1] or 0]) == [0, 1]
 
 
 @needs_vocabulary

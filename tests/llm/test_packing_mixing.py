@@ -116,12 +116,32 @@ def test_registered_mixture_has_its_shares(spark, tmp_path):
         assert x["actual_share"] == pytest.approx(x["target_share"], abs=0.02)
 
 
-def test_projected_gradient():
+def test_projected_gradient(spark):
     import numpy as np
 
-    m = np.array([[1, 0], [0, 1], [0.5, 0.5]])
-    t, cap = np.array([100.0, 1000.0, 50.0]), np.array([2.0, 1.0, 1.0])
-    x = M.fit_rates(m, t, cap, np.array([150.0, 300.0]))
-    assert (x >= 0).all() and (x <= cap).all() and m.T @ (x * t) == pytest.approx([150, 300], rel=1e-4)
-    x = M.fit_rates(m, t, cap, np.array([5000.0, 300.0]))
+    rows = [(100, 2.0, [1.0, 0.0]), (1000, 1.0, [0.0, 1.0]), (50, 1.0, [0.5, 0.5])]
+    docs = spark.createDataFrame(rows, "n_tokens long, cap double, p array<float>")
+    p, cap, n = np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), np.array([float(r[0]) for r in rows])
+    supply = p.T @ n
+
+    def fitted(target):
+        x = M.step_rates(p, cap, M.fit_rates(docs, supply, np.array(target), steps=200, close=1e-6))[0]
+        assert (x >= 0).all() and (x <= cap).all()
+        return x
+
+    assert p.T @ (fitted([150.0, 300.0]) * n) == pytest.approx([150, 300], rel=1e-3)
+    x = fitted([5000.0, 300.0])
     assert x[0] == pytest.approx(2) and x[2] == pytest.approx(1)
+
+
+@needs_vocabulary
+def test_held_sources_and_unlabelled_documents(spark):
+    rows = [(i, "a", f"red green blue {i} " * 5) for i in range(200)] + [(500 + i, None, f"red green {i} blue " * 5) for i in range(20)] + [(900, "b", "one two three")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 1.0, None), ("b", 1.0, 3)], "source string, weight double, max_repeats int")
+    mixture, shares = M.mix(docs, targets)
+    got = {x["source"]: x for x in shares.collect()}
+    assert got["b"]["held_by_cap"] and got["b"]["max_repeats"] == 3 and not got["a"]["held_by_cap"]
+    m = mixture.collect()
+    assert {x["source"] for x in m if x["doc_id"] >= 500 and x["doc_id"] < 900} == {"a"}
+    assert max(x["repeats"] for x in m if x["source"] == "a") <= 2

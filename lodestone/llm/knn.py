@@ -28,6 +28,8 @@ CODE = np.float32(32767)
 CROWDED = 8
 #: A block is cut into tiles of about so many base rows.
 TILE_ROWS = 8192
+#: A block of more tiles than this is split again around centroids of its own, of at least so many sample rows each.
+MOST_TILES, SPLIT_SAMPLE = 8, 8
 
 
 def _units(col: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +103,30 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> tup
     return c, np.bincount(near, minlength=k) / len(x)
 
 
+def split_hot(x: np.ndarray, centroids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of more than MOST_TILES tiles are split around centroids of their own, until none can be: centroids, shares.
+
+    Otherwise every query of a hot block would meet all of its tiles, which is the square of its size. What stays whole
+    is a block whose sample cannot be told apart any further.
+    """
+    done: list[np.ndarray] = []
+    parts = [(centroids, x)]
+    while parts:
+        c, own = parts.pop()
+        near = np.concatenate([(own[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(own), 4096)]) if len(own) else np.zeros(0, np.int64)
+        for j in range(len(c)):
+            mine = own[near == j]
+            tiles = len(mine) / len(x) * n / TILE_ROWS
+            k = int(min(-(-tiles // (MOST_TILES / 2)), len(mine) // SPLIT_SAMPLE))
+            if tiles <= MOST_TILES or k < 2 or len(mine) == len(own) and len(c) > 1:
+                done.append(c[j : j + 1])
+                continue
+            parts.append((fit_centroids(mine, k)[0], mine))
+    c = np.concatenate(done)
+    near = np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)])
+    return c, np.bincount(near, minlength=len(c)) / len(x)
+
+
 def _spread(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, tiles: np.ndarray, probes: int, margin: float) -> Iterator[pa.RecordBatch]:
     """Sends each vector to its own block, and as query to near blocks whose centroid is almost as similar.
 
@@ -229,21 +255,24 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, row: str = "row", emb
     Usable: exactly ``dim`` values, all finite, not all zero, and a row number; other rows give no result. Cosine
     similarity; equals go by lower row. Repeated rows count once. Equal vectors are one representative in the join
     and come back afterwards, so a huge group of copies costs one vector. With one block, or ``probes`` and ``margin``
-    that reach every block, the result is exact but for the 16-bit codes. An empty table, or one usable row, gives no
-    rows. Columns of other names are ignored.
+    that reach every block, the result is exact but for the 16-bit codes. Groups are told apart by a 64-bit hash of the
+    codes. An empty table, or one usable row, gives no rows. Columns of other names are ignored.
     """
     spark = vectors.sparkSession
     src = vectors.select(F.col(row).cast("bigint").alias("row"), F.col(embedding).cast("array<float>").alias("embedding"))
     n = src.count()
     k_blocks = blocks or int(min(MAX_BLOCKS, max(1, round(BLOCK_SHARE * n**0.5))))
     m = max(1, -(-n // SAMPLE_ROWS))
-    picked = src.where(F.pmod(F.xxhash64("row"), F.lit(m)) == 0).limit(SAMPLE_ROWS) if m > 1 else src
+    # about SAMPLE_ROWS rows, the same ones for every layout of the table; of repeated row numbers one
+    picked = src.where(F.pmod(F.xxhash64("row"), F.lit(m)) == 0).dropDuplicates(["row"]) if m > 1 else src
     sample = picked.mapInArrow(partial(_pack, dim=dim), "row bigint, unit binary").select("unit").toArrow()
     x = _matrix(sample.column(0), dim)
     if not len(x):
         return spark.createDataFrame([], "row_a bigint, row_b bigint, sim double, rank_no int")
     x = x[np.lexsort(x.T[:4])]  # the same centroids whatever order the sample came in
     centroids, share = fit_centroids(x, k_blocks)
+    if (share * n > MOST_TILES * TILE_ROWS).any() and k_blocks > 1:
+        centroids, share = split_hot(x, centroids, n)
     tiles = np.maximum(1, np.ceil(share * n / TILE_ROWS)).astype(np.int64)
 
     packed = src.mapInArrow(partial(_pack, dim=dim), "row bigint, unit binary").withColumn("gid", F.xxhash64("unit"))

@@ -17,6 +17,7 @@ from functools import lru_cache, partial
 
 import pyarrow as pa
 import regex as re
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 MOST_NAMES = 1 << 20
 #: Least share of a word's uses that are evidence of a name.
 EVIDENCE = 0.15
+#: A cue is looked for so many characters before an identity number, a phone number or a name in lower case.
+ID_BACK, PHONE_BACK, NAME_BACK = 48, 90, 24
 
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 
@@ -245,7 +248,7 @@ def _names(s: str, lexicon: frozenset) -> Iterator[tuple[int, int]]:
             found = s[start:end]
             lone = words == 1 and all(t[0] != "I" for t in toks[a : b + 1])
             lower = not any(c.isupper() for c in found)
-            if not _NOT_PERSON.match(s, end) and not (lone and lower and not _NAME_CUE.search(s[max(0, start - 24) : start])):
+            if not _NOT_PERSON.match(s, end) and not (lone and lower and not _NAME_CUE.search(s[max(0, start - NAME_BACK) : start])):
                 yield start, end
         i = j + 1
 
@@ -303,7 +306,7 @@ def detect(text: str, lexicon: frozenset) -> list[tuple[str, int, int]]:
             if m.end() - m.start() < 5 or sum(map(str.isdigit, m.group())) < 5:
                 continue
             for a in dict.fromkeys((m.start(), m.start(1))):  # letters before the number may belong to the cue
-                if _ID_CUE.search(s[max(0, a - 48) : a]):
+                if _ID_CUE.search(s[max(0, a - ID_BACK) : a]):
                     hits.append(("ID_NUMBER", a, m.end()))
                     break
         mask()
@@ -311,7 +314,7 @@ def detect(text: str, lexicon: frozenset) -> list[tuple[str, int, int]]:
             a, b = m.span()
             if not 7 <= sum(map(str.isdigit, m.group())) <= 15 or "¤" in m.group():
                 continue
-            left = max(0, a - 90)
+            left = max(0, a - PHONE_BACK)
             before = s[left:a]
             for kind, x, y in reversed(hits):  # numbers just found on this stretch
                 if kind != "PHONE" or y <= left:
@@ -389,10 +392,10 @@ def learn_lexicon(texts: DataFrame, text: str = "text") -> frozenset:
     return frozenset(r[0] for r in kept)
 
 
-def _spans(batches: Iterator[pa.RecordBatch], lexicon: frozenset) -> Iterator[pa.RecordBatch]:
+def _spans(batches: Iterator[pa.RecordBatch], lexicon: Broadcast) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, texts = b.column(0), b.column(1).to_pylist()
-        rows = [(i, *h) for i, t in enumerate(texts) for h in detect(t, lexicon)]
+        rows = [(i, *h) for i, t in enumerate(texts) for h in detect(t, lexicon.value)]
         cols = list(zip(*rows)) if rows else [[]] * 4
         yield pa.record_batch([ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc_id", "kind", "start_pos", "end_pos"])
 
@@ -406,9 +409,9 @@ def redact_text(text: str, hits: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def _redacted(batches: Iterator[pa.RecordBatch], lexicon: frozenset) -> Iterator[pa.RecordBatch]:
+def _redacted(batches: Iterator[pa.RecordBatch], lexicon: Broadcast) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [None if t is None else redact_text(t, detect(t, lexicon)) for t in b.column(1).to_pylist()]
+        texts = [None if t is None else redact_text(t, detect(t, lexicon.value)) for t in b.column(1).to_pylist()]
         yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
 
@@ -419,14 +422,17 @@ def find_pii(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     (id, text) rows count once. Texts are read whole. Empty in, empty out.
     """
     src = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0).distinct()
-    words = learn_lexicon(src) if lexicon is None else lexicon
+    words = src.sparkSession.sparkContext.broadcast(learn_lexicon(src) if lexicon is None else lexicon)
     return src.mapInArrow(partial(_spans, lexicon=words), "doc_id bigint, kind string, start_pos int, end_pos int")
 
 
 def redact(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lexicon: frozenset | None = None) -> DataFrame:
-    """(doc_id, text): every row with items replaced by [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] or [NAME]."""
+    """(doc_id, text): every row with items replaced by [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] or [NAME].
+
+    The lexicon is learned as ``find_pii`` does it, so both find the same items. Null texts stay null, rows stay rows.
+    """
     src = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    words = learn_lexicon(src) if lexicon is None else lexicon
+    words = src.sparkSession.sparkContext.broadcast(learn_lexicon(src.where(F.length("text") > 0).distinct()) if lexicon is None else lexicon)
     return src.mapInArrow(partial(_redacted, lexicon=words), "doc_id bigint, text string")
 
 

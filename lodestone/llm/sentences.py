@@ -17,6 +17,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import regex as re
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +31,12 @@ FUNCTION_WORDS = {
     "es": "el la los las del y en un una que fueron por con de unas",
 }
 _FUNCTION = {k: v.split() for k, v in FUNCTION_WORDS.items()}
-#: Least relative frequency, among a language's tokens, of a learned entry; bounds each learned list by its inverse.
-FLOOR = 2e-6
+#: Uses that a learned entry needs, however large the table is; the ratios decide the rest.
+LEAST = 3
+#: Entries that may be learned, as they travel to every task; more are an error.
+MOST_LEARNED = 1 << 20
+#: A word before a period is looked at no further back than this; a longer one is no abbreviation.
+LOOK_BACK = 64
 #: Thresholds of the ratios as published.
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 #: An abbreviation goes on in mid-sentence in at least this share of its uses.
@@ -116,7 +121,7 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         types.setdefault((lang, _type(t.group())), [0, 0, 0, 0])[3] += 1
                 for m in _PERIOD.finditer(s, at):
                     i = m.start()
-                    before = _BEFORE.search(s[max(at, i - 64) : i]).group().lstrip("'’-.")
+                    before = _BEFORE.search(s[max(at, i - LOOK_BACK) : i]).group().lstrip("'’-.")
                     if not before:
                         continue
                     typ = _type(before)
@@ -164,15 +169,15 @@ class Model:
 def learn(texts: DataFrame, text: str = "text") -> dict[str, Model]:
     """Abbreviations, starters and collocations of each language from all documents.
 
-    Counts are added up in the tasks before the shuffle. The lists that reach the driver hold no entry rarer than
-    FLOOR of the language's tokens, so none can have more than 1/FLOOR entries.
+    Counts are added up in the tasks before the shuffle. An entry needs LEAST uses and the ratios, whatever the size of
+    the table; more than MOST_LEARNED entries are an error.
     """
     counts = texts.select(text).where(F.col(text).isNotNull()).mapInArrow(_observe, "lang string, a string, b string, total bigint, period bigint, mid bigint, start bigint")
     counts = cut(counts.groupBy("lang", "a", "b").agg(*[F.sum(c).alias(c) for c in ("total", "period", "mid", "start")]))
     types = counts.where("b IS NULL").drop("b")
     whole = F.broadcast(types.groupBy("lang").agg(F.sum("total").alias("N"), F.sum("period").alias("P"), F.sum("start").alias("S")))  # a row for each language
     t = types.join(whole, "lang")
-    enough = lambda c: F.col(c) >= F.greatest(F.lit(3.0), F.lit(FLOOR) * F.col("N"))
+    enough = lambda c: F.col(c) >= LEAST
     starters = t.where(enough("start") & (F.col("a") != "##")).where((_ratio(F.col("total"), F.col("S"), F.col("start"), F.col("N")) >= STARTER) & (_share("start", "total") > _share("S", "N")) & (_share("start", "total") > 0.02)).select("lang", "a")
     pairs = counts.where("b IS NOT NULL").select("lang", "a", "b", F.col("total").alias("ab"))
     # followers in upper case that do not open sentences
@@ -195,7 +200,10 @@ def learn(texts: DataFrame, text: str = "text") -> dict[str, Model]:
     coll = keyed.join(first, ["lang", "a"]).join(second, ["lang", "b"]).join(whole, "lang").where(enough("ab") & (_ratio(F.col("ca"), F.col("cb"), F.col("ab"), F.col("N")) >= COLLOCATION) & (_share("ab", "ca") > _share("cb", "N")) & (F.col("ab") * 2 > F.col("cb")))
     model: dict[str, Model] = {}
     found = short.select("lang", F.lit("a").alias("k"), "a", F.lit("").alias("b")).unionByName(starters.select("lang", F.lit("s").alias("k"), "a", F.lit("").alias("b"))).unionByName(coll.select("lang", F.lit("c").alias("k"), "a", "b"))
-    for lang, k, a, b in found.collect():
+    entries = found.limit(MOST_LEARNED + 1).collect()
+    if len(entries) > MOST_LEARNED:
+        raise ValueError(f"more than {MOST_LEARNED} entries learned")
+    for lang, k, a, b in entries:
         m = model.setdefault(lang, Model())
         if k == "c":
             m.collocations.add((a, b))
@@ -309,7 +317,7 @@ def _ends(s: str, at: int, m: Model, no_case: bool, capitals: bool) -> Iterator[
                 yield e
                 begin = e
             continue
-        before = _BEFORE.search(s[max(begin, i - 64) : i]).group().lstrip("'’-.")
+        before = _BEFORE.search(s[max(begin, i - LOOK_BACK) : i]).group().lstrip("'’-.")
         if before and "ก" <= before[-1] <= "๛":
             continue  # no sentence ends in a period in Thai
         typ = _type(before) if before else ""
@@ -352,9 +360,9 @@ def units(text: str, model: dict[str, Model]) -> list[tuple[int, int]]:
     return out
 
 
-def _split(batches: Iterator[pa.RecordBatch], model: dict[str, Model]) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [units(t, model) for t in b.column(1).to_pylist()]
+        found = [units(t, model.value) for t in b.column(1).to_pylist()]
         n = np.array([len(f) for f in found], np.int64)
         flat = np.array([p for f in found for p in f], np.int32).reshape(-1, 2)
         yield pa.record_batch([b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["id", "start_pos", "end_pos"])
@@ -369,7 +377,7 @@ def sentences(texts: DataFrame, id_col: str = "id", text_col: str = "text", mode
     src = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
     if model is None:
         model = learn(src)
-    return src.mapInArrow(partial(_split, model=model), "id string, start_pos int, end_pos int")
+    return src.mapInArrow(partial(_split, model=src.sparkSession.sparkContext.broadcast(model)), "id string, start_pos int, end_pos int")
 
 
 QUERIES = {"p4_found": lambda spark, sf: sentences(spark.read.parquet(f"{sf}/corpus.parquet").select("id", "text"))}

@@ -93,3 +93,28 @@ def test_vectors_all_alike():
     full = x.astype(np.float64) @ x.astype(np.float64).T
     np.fill_diagonal(full, -9)
     assert np.allclose(s.reshape(400, 5), np.sort(full, axis=1)[:, ::-1][:, :5], atol=1e-12)
+
+
+def test_hot_block_is_split(spark, monkeypatch):
+    """A third of the rows almost equal: a row is sent to a bounded number of tiles, and neighbours are still found."""
+    monkeypatch.setattr(knn, "TILE_ROWS", 64)
+    rng = np.random.default_rng(4)
+
+    def data(n):
+        x = rng.normal(size=(n, 64))
+        x[: n // 3] = rng.normal(size=64) + 0.05 * rng.normal(size=(n // 3, 64))
+        return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+    sent = {}
+    for n in (3000, 12000):
+        x = data(n)
+        c, share = knn.fit_centroids(x, 20)
+        hot = np.ceil(share * n / knn.TILE_ROWS).max()
+        c, share = knn.split_hot(x, c, n)
+        tiles = np.maximum(1, np.ceil(share * n / knn.TILE_ROWS))
+        assert share.sum() == 1 or abs(share.sum() - 1) < 1e-9
+        assert tiles.max() < hot
+        s = x @ c.T
+        near = np.argsort(-s, axis=1)[:, :8]
+        sent[n] = tiles[near].sum() / n
+    assert sent[12000] < 2 * sent[3000]  # not four times

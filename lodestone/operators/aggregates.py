@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.vector import inner_product, rounded
-from lodestone.plans.ranking import numbered
+from lodestone.plans.ranking import numbered, running
 
 from .retrieval import RUN_SQL, run, vectors
 
@@ -63,8 +63,8 @@ def finalise(chunks: DataFrame, rows: DataFrame) -> DataFrame:
     last = first_by(chunks, ["chunk_idx"], [F.col("line_no").desc()])
     held = rows.groupBy("chunk_idx").agg(F.count("*").alias("held"))
     good = last.join(held, "chunk_idx").where("n = held")
-    offset = good.select("chunk_idx", (F.sum("n").over(Window.orderBy("chunk_idx")) - F.col("n")).alias("__o"))  # a row for each chunk
-    return rows.join(offset, "chunk_idx").withColumn("global_row", F.col("__o") + F.col("pos")).drop("__o")
+    offset = running(good.select("chunk_idx", "n"), "n", "chunk_idx", out="__begin").select("chunk_idx", "__begin")
+    return rows.join(offset, "chunk_idx").withColumn("global_row", F.col("__begin") + F.col("pos")).drop("__begin")
 
 
 def latest_checkpoint(paths: DataFrame, path: str = "path") -> DataFrame:
@@ -95,11 +95,23 @@ def _minmax(spark: SparkSession, sf: str) -> DataFrame:
     return minmax(run(spark, sf).select("qid", "did", "score"), "qid", "score").select("qid", "did", rounded(F.col("scaled")).alias("scaled"))
 
 
-def _finalise(spark: SparkSession, sf: str) -> DataFrame:
+def max_chunk(chunks: DataFrame) -> DataFrame:
+    """(chunk_idx): the highest chunk so far; null where there is none."""
+    return chunks.agg(F.max("chunk_idx").alias("chunk_idx"))
+
+
+def _manifest(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Shards of 500 rows and a manifest with every fault: older lines with other counts, lost shards, wrong counts."""
     rows = _meta(spark, sf).groupBy("row").agg(F.min("prop_id").alias("prop_id")).select(F.floor(F.col("row") / 500).alias("chunk_idx"), (F.col("row") % 500).alias("p"), "prop_id")
     rows = numbered(rows, ["chunk_idx"], F.col("p"), F.lit(0))
-    chunks = rows.groupBy("chunk_idx").agg(F.count("*").alias("n")).withColumn("line_no", F.col("chunk_idx"))
-    return finalise(chunks, rows).select("chunk_idx", "pos", "prop_id", "global_row")
+    said = rows.groupBy("chunk_idx").agg(F.count("*").alias("n"))
+    last = said.select("chunk_idx", (F.col("chunk_idx") * 2 + 1).alias("line_no"), F.when(F.col("chunk_idx") % 7 == 3, F.col("n") + 1).otherwise(F.col("n")).alias("n"))
+    older = said.select("chunk_idx", (F.col("chunk_idx") * 2).alias("line_no"), (F.col("n") - 1).alias("n"))
+    return last.unionByName(older).unionByName(last), rows.where("chunk_idx % 11 <> 5")
+
+
+def _finalise(spark: SparkSession, sf: str) -> DataFrame:
+    return finalise(*_manifest(spark, sf)).select("chunk_idx", "pos", "prop_id", "global_row")
 
 
 _PQ = "pq AS (SELECT DISTINCT * FROM per_query)"
@@ -127,6 +139,7 @@ QUERIES = {
     "v7_minmax": _minmax,
     "v9_cache_consistency": _consistency,
     "k7_finalize": _finalise,
+    "w11_max_chunk": lambda spark, sf: max_chunk(_manifest(spark, sf)[0]),
 }
 SQL = {
     "a3_bucket_counts": f"WITH {_PQ} SELECT rank_bucket, count(*) AS n FROM pq GROUP BY 1",
@@ -149,6 +162,7 @@ SELECT coarse_domain, qid, ndcg_at_10 FROM one QUALIFY row_number() OVER (PARTIT
     "w10_latest_checkpoint": r"SELECT max(try_cast(regexp_extract(image.path, '(\d+)\.[^.]+$', 1) AS BIGINT)) AS step FROM corpus",
     "v7_minmax": f"WITH {RUN_SQL}, b AS (SELECT qid, min(score) AS lo, max(score) AS hi FROM run GROUP BY qid) SELECT qid, did, {_FIVE('CASE WHEN hi - lo < 1e-6 THEN 0e0 ELSE (score - lo) / (hi - lo) END')} AS scaled FROM run JOIN b USING (qid)",
     "v9_cache_consistency": f"WITH {RUN_SQL}, x AS (SELECT abs(list_inner_product(q.e, d.e) - score) AS diff FROM run JOIN vec q ON 'query-test-' || q.r = qid JOIN vec d ON 'corpus-test-' || d.r = did) SELECT count(*) AS pairs, count_if(diff > 1e-3)::BIGINT AS mismatches, {_FIVE('max(diff)')} AS max_abs_diff FROM x",
-    "k7_finalize": """WITH r AS (SELECT "row" AS r, min(prop_id) AS prop_id FROM meta GROUP BY 1)
-SELECT (r // 500)::BIGINT AS chunk_idx, row_number() OVER (PARTITION BY r // 500 ORDER BY r) - 1 AS pos, prop_id, row_number() OVER (ORDER BY r) - 1 AS global_row FROM r""",
+    "k7_finalize": """WITH r AS (SELECT "row" AS r, min(prop_id) AS prop_id FROM meta GROUP BY 1), good AS (SELECT * FROM r WHERE (r // 500) % 11 <> 5 AND (r // 500) % 7 <> 3)
+SELECT (r // 500)::BIGINT AS chunk_idx, row_number() OVER (PARTITION BY r // 500 ORDER BY r) - 1 AS pos, prop_id, row_number() OVER (ORDER BY r) - 1 AS global_row FROM good""",
+    "w11_max_chunk": 'SELECT max("row" // 500)::BIGINT AS chunk_idx FROM meta',
 }

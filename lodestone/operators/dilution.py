@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.vector import inner_product, rounded
+from lodestone.session import cut
 
-from .aggregates import first_by
 from .encoders import Encoder, HashEncoder, encode
 from .items import judgements
 from .metrics import per_query
@@ -24,6 +24,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(inner_product(a, b), F.sqrt(inner_product(a, a) * inner_product(b, b)))
 
 
+#: The labels of both classifications and their conditions.
 def classify_v1(gold_doc: Column, top_doc: Column, gold_sent: Column, top_sent: Column) -> Column:
     return F.when(gold_sent < LOW_SIM, "C_noise").when((gold_sent > top_sent) & (gold_doc < top_doc), "A_dilution").when(gold_sent < top_sent, "B_misalign").otherwise("other")
 
@@ -32,17 +33,6 @@ def classify_v2(full: Column, sent: Column, top: Column) -> Column:
     return F.when((sent > full) & (sent > top), "dilution_winning").when(sent > full, "dilution_partial").otherwise("no_dilution")
 
 
-def _best_sentence(pairs: DataFrame, corpus: DataFrame, query_vecs: DataFrame, encoder: Encoder) -> DataFrame:
-    """(qid, did, n_sents, best_sim, best_text) of each (qid, did): sentences are encoded once for each document."""
-    docs = corpus.join(pairs.select("did").distinct(), "did", "left_semi")
-    sents = docs.select("did", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
-    vecs = encode(sents.select(F.concat("did", F.lit("__s"), "pos").alias("id"), F.col("sentence").alias("text"), F.lit(None).cast("binary").alias("image")), encoder)
-    vecs = sents.withColumn("id", F.concat("did", F.lit("__s"), "pos")).join(vecs, "id")
-    scored = pairs.join(vecs, "did").join(query_vecs, "qid").withColumn("sim", F.coalesce(cosine(F.col("qe"), F.col("embedding")), F.lit(-1.0)))
-    best = first_by(scored, ["qid", "did"], [F.col("sim").desc(), F.col("pos").asc()]).select("qid", "did", F.col("sim").alias("best_sim"), F.col("sentence").alias("best_text"))
-    return scored.groupBy("qid", "did").agg(F.count("*").alias("n_sents")).join(best, ["qid", "did"])
-
-
 def dilution(zero: DataFrame, run: DataFrame, qrels: DataFrame, corpus: DataFrame, query_vecs: DataFrame, doc_vecs: DataFrame, encoder: Encoder, top: int = TOP) -> DataFrame:
     """One row for each zero-score query with both classifications.
 
@@ -50,17 +40,29 @@ def dilution(zero: DataFrame, run: DataFrame, qrels: DataFrame, corpus: DataFram
     (qid, qe), ``doc_vecs`` (did, de). Similarities that do not exist are -1. Equal similarities keep the document of
     smaller id and its earlier sentence.
     """
-    gold = qrels.join(zero, "qid", "left_semi").select("qid", "did").distinct()
-    ranked = run.join(zero, "qid", "left_semi").where(F.col("rank") <= top)
-    g = _best_sentence(gold, corpus, query_vecs, encoder)
-    t = _best_sentence(ranked.select("qid", "did"), corpus, query_vecs, encoder)
-    full = gold.join(query_vecs, "qid").join(doc_vecs, "did").groupBy("qid").agg(F.max(cosine(F.col("qe"), F.col("de"))).alias("gold_doc"))
-    gbest = first_by(g, ["qid"], [F.col("best_sim").desc(), F.col("did").asc()]).select("qid", F.col("best_sim").alias("gold_sent"), F.col("did").alias("best_sent_did"), F.substring("best_text", 1, 300).alias("best_sent_text"))
-    n_g, n_t = g.groupBy("qid").agg(F.sum("n_sents").alias("n_gold_sents")), t.groupBy("qid").agg(F.sum("n_sents").alias("n_top_sents"), F.max("best_sim").alias("top_sent"))
-    top_doc = ranked.groupBy("qid").agg(F.max("score").alias("top_doc"))
-    d = zero.select("qid")
-    for part in (full, gbest, n_g, n_t, top_doc):
-        d = d.join(part, "qid", "left")
+    gold = qrels.join(zero, "qid", "left_semi").select("qid", "did", F.lit(True).alias("gold"), F.lit(None).cast("double").alias("score"))
+    ranked = run.join(zero, "qid", "left_semi").where(F.col("rank") <= top).select("qid", "did", F.lit(False).alias("gold"), "score")
+    # one row for each pair that is gold, on top or both: everything below is scored once
+    pairs = gold.unionByName(ranked).groupBy("qid", "did").agg(F.max("gold").alias("gold"), F.max("score").alias("score"), F.bool_or(~F.col("gold")).alias("top"))
+    docs = corpus.join(pairs.select("did").distinct(), "did", "left_semi")
+    sents = docs.select("did", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    texts = F.concat_ws("__s", "did", F.col("pos").cast("string"))
+    vecs = encode(sents.select(texts.alias("id"), F.col("sentence").alias("text"), F.lit(None).cast("binary").alias("image")), encoder)
+    at = F.substring_index("id", "__s", -1)
+    parts = vecs.select(F.expr("left(id, length(id) - length(substring_index(id, '__s', -1)) - 3)").alias("did"), at.cast("int").alias("pos"), "embedding")
+    asked = pairs.join(query_vecs, "qid")
+    scored = asked.join(parts, "did").withColumn("sim", F.coalesce(cosine(F.col("qe"), F.col("embedding")), F.lit(-1.0)))
+    # of equal similarities the earlier sentence
+    per = scored.groupBy("qid", "did").agg(F.count("*").alias("n"), F.max(F.struct("sim", (-F.col("pos")).alias("p"))).alias("m"))
+    whole = asked.join(doc_vecs, "did", "left").select("qid", "did", "gold", "top", "score", F.when(F.col("gold"), cosine(F.col("qe"), F.col("de"))).alias("full"))
+    both = whole.join(per, ["qid", "did"], "left").withColumn("sim", F.col("m.sim"))
+    best = F.min(F.when(F.col("gold") & F.col("sim").isNotNull(), F.struct((-F.col("sim")).alias("s"), "did", (-F.col("m.p")).alias("pos"))))
+    d = both.groupBy("qid").agg(
+        F.max("full").alias("gold_doc"), F.max(F.when(F.col("top"), F.col("score"))).alias("top_doc"), F.max(F.when(F.col("gold"), F.col("sim"))).alias("gold_sent"), F.max(F.when(F.col("top"), F.col("sim"))).alias("top_sent"),
+        F.sum(F.when(F.col("gold"), F.col("n"))).alias("n_gold_sents"), F.sum(F.when(F.col("top"), F.col("n"))).alias("n_top_sents"), best.alias("b"),
+    )
+    said = sents.select(F.col("did").alias("best_sent_did"), F.col("pos").alias("best_pos"), F.substring("sentence", 1, 300).alias("best_sent_text"))
+    d = zero.select("qid").join(d, "qid", "left").withColumn("best_sent_did", F.col("b.did")).withColumn("best_pos", F.col("b.pos")).drop("b").join(said, ["best_sent_did", "best_pos"], "left").drop("best_pos")
     d = d.fillna(-1.0, ["gold_doc", "gold_sent", "top_doc", "top_sent"]).fillna(0, ["n_gold_sents", "n_top_sents"])
     c = {n: F.col(n) for n in ("gold_doc", "top_doc", "gold_sent", "top_sent")}
     return d.withColumn("class_v1", classify_v1(c["gold_doc"], c["top_doc"], c["gold_sent"], c["top_sent"])).withColumn("class_v2", classify_v2(c["gold_doc"], c["gold_sent"], c["top_doc"]))
@@ -76,13 +78,13 @@ def _items(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
 def _text_run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     q, c, rels = _items(spark, sf)
     e = HashEncoder()
-    qv, cv = encode(q, e), encode(c, e)
-    return retrieve(qv, cv, 10, cosine=True), rels, c, qv, cv
+    qv, cv = cut(encode(q, e)), cut(encode(c, e))
+    return cut(retrieve(qv, cv, 10, cosine=True)), rels, c, qv, cv
 
 
 def _dilution(spark: SparkSession, sf: str) -> DataFrame:
     run, rels, c, qv, cv = _text_run(spark, sf)
-    zero = per_query(run, rels, (10,)).where("ndcg = 0").select("qid")
+    zero = cut(per_query(run, rels, (10,)).where("ndcg = 0").select("qid"))
     return dilution(zero, run, rels, c.select(F.col("id").alias("did"), "text"), qv.select(F.col("id").alias("qid"), F.col("embedding").alias("qe")), cv.select(F.col("id").alias("did"), F.col("embedding").alias("de")), HashEncoder())
 
 

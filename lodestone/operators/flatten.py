@@ -5,8 +5,6 @@ Arrow-buffer flattening: list offsets and parent indices give the child arrays,
 
 from __future__ import annotations
 
-import json
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,69 +13,139 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: One flat list of four plain JSON numbers, the common case; everything else goes through the JSON reader.
 _NUM = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
-_FLAT = rf"^[ \t\r\n]*\[[ \t\r\n]*({_NUM})[ \t\r\n]*,[ \t\r\n]*({_NUM})[ \t\r\n]*,[ \t\r\n]*({_NUM})[ \t\r\n]*,[ \t\r\n]*({_NUM})[ \t\r\n]*\][ \t\r\n]*$"
+_WS = r"[ \t\r\n]*"
+#: Stands for a member that is neither a list nor a number; no JSON text can hold it.
+_ELSE = "\x01"
+_TOKEN = rf"^{_WS}(?:{_NUM}|{_ELSE}){_WS}$"
+_STRING = r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"'
+_VALUE = rf"(?:{_ELSE}|{_NUM}|\[[\[\]0-9eE+.,\- \t\r\n{_ELSE}]*\])"
+_PAIR = rf"{_WS}{_ELSE}{_WS}:{_WS}{_VALUE}{_WS}"
+_OBJECT = rf"\{{(?:{_PAIR}(?:,{_PAIR})*|{_WS})\}}"
+_OPEN, _CLOSE, _COMMA = (ord(c) for c in "[],")
+
+
+def _lists_only(raw: pa.Array) -> pa.Array:
+    """The texts with strings, objects and words replaced by a mark; null where other characters are left."""
+    plain = r"^[\[\]0-9eE+.,\- \t\r\n]*$"
+    odd = pc.invert(pc.fill_null(pc.match_substring_regex(raw, plain), True))
+    if pc.any(odd).as_py():
+        at = pa.array(np.flatnonzero(odd.to_numpy(zero_copy_only=False)))
+        t = raw.take(at)
+        t = pc.if_else(pc.match_substring(t, _ELSE), pa.scalar(None, t.type), t)
+        t = pc.replace_substring_regex(pc.replace_substring_regex(t, _STRING, _ELSE), r"true|false|null|NaN|-?Infinity", _ELSE)
+        while True:  # innermost objects first
+            new = pc.replace_substring_regex(t, _OBJECT, _ELSE)
+            if new.equals(t):
+                break
+            t = new
+        t = pc.if_else(pc.match_substring_regex(t, rf"^[\[\]0-9eE+.,\- \t\r\n{_ELSE}]*$"), t, pa.scalar(None, t.type))
+        raw = pc.replace_with_mask(raw, odd, t)
+    return raw
+
+
+def _stretches(c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+    """The byte stretches [lo, hi) as strings."""
+    size = hi - lo
+    off = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    flat = np.repeat(lo - off[:-1], size) + np.arange(off[-1])
+    return pa.Array.from_buffers(pa.large_string(), len(lo), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(c[flat].tobytes())])
+
+
+def _scan(raw: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the texts that are one JSON list; places of their brackets and commas; depth and text of each sign."""
+    raw = raw.cast(pa.large_string())
+    off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    c = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    off = off - off[0]
+    at = np.flatnonzero((c == _OPEN) | (c == _CLOSE) | (c == _COMMA))
+    if not len(at):
+        return c, at, at, at
+    kind = c[at]
+    text = np.searchsorted(off, at, "right") - 1
+    first = np.concatenate([[True], text[1:] != text[:-1]])
+    last = np.concatenate([first[1:], [True]])
+    run = np.cumsum((kind == _OPEN).astype(np.int64) - (kind == _CLOSE))
+    start = (run - (kind == _OPEN) + (kind == _CLOSE))[first]
+    depth = run - np.repeat(start, np.diff(np.append(np.flatnonzero(first), len(at))))
+    # between two signs lies white space, or a member where one is due
+    after = np.where(last, off[text + 1], np.append(at[1:], 0))
+    between = _stretches(c, at + 1, after)
+    blank = pc.match_substring_regex(between, rf"^{_WS}$").to_numpy(zero_copy_only=False)
+    token = pc.match_substring_regex(between, _TOKEN).to_numpy(zero_copy_only=False)
+    nxt = np.append(kind[1:], 0)
+    due = (kind != _CLOSE) & (nxt != _OPEN)
+    good = np.where(due, token | (blank & (kind == _OPEN) & (nxt == _CLOSE)), blank)
+    good &= (kind != _CLOSE) | (nxt != _OPEN) | last
+    good &= np.where(last, (depth == 0) & (kind == _CLOSE) & blank, depth > 0)
+    lead = pc.match_substring_regex(_stretches(c, off[text[first]], at[first]), rf"^{_WS}$").to_numpy(zero_copy_only=False)
+    good[first] &= lead & (kind[first] == _OPEN)
+    bad = np.zeros(len(raw), bool)
+    bad[text[~good]] = True
+    keep = ~bad[text]
+    return c, at[keep], (depth + (kind == _CLOSE))[keep], text[keep]
 
 
-def _number(x: object) -> float | None:
-    """A JSON number, or one wrapped in lists of one member."""
-    while isinstance(x, list) and len(x) == 1:
-        x = x[0]
-    if isinstance(x, bool) or not isinstance(x, (int, float)):
-        return None
-    try:
-        return float(x)
-    except OverflowError:
-        return math.inf if x > 0 else -math.inf
-
+def _parse(raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Boxes of a column of raw ``bbox_norm`` texts: (count per text, all boxes one after another as rows of four).
 
-def boxes_of(raw: str | None) -> list[tuple[float, float, float, float]]:
-    """Boxes of one raw ``bbox_norm`` text in reading order.
+    A list of exactly four members, not all of them lists, each a JSON number or a number wrapped in lists of one member,
+    is a box; a non-empty list whose members are all lists is searched member by member, to any depth; anything else
+    holds none, nor does a text that is no JSON.
 
-    A list of exactly four members, not all of them lists, each a number or a wrapped number, is a box; a non-empty
-    list whose members are all lists is searched member by member, to any depth; anything else holds none.
+    All texts are scanned at once in their Arrow buffer: depths are running sums over brackets, the members of a list lie
+    between its commas, and what is searched follows by pointer doubling from each list to its parent. No text becomes
+    an object, and depth costs only logarithmically.
     """
-    if raw is None:
-        return []
-    try:
-        top = json.loads(raw, parse_constant=lambda _: None)
-    except (ValueError, RecursionError):
-        return []
-    out: list[tuple[float, float, float, float]] = []
-    todo = [top]
-    while todo:
-        x = todo.pop()
-        if not isinstance(x, list) or not x:
-            continue
-        if all(isinstance(m, list) for m in x):
-            todo.extend(reversed(x))
-        elif len(x) == 4:
-            n = [_number(m) for m in x]
-            if None not in n:
-                out.append(tuple(n))
-    return out
+    n = len(raw)
+    none = np.zeros(n, np.int64), np.zeros((0, 4))
+    if not n:
+        return none
+    c, at, depth, text = _scan(_lists_only(raw))
+    if not len(at):
+        return none
+    # sorted by depth, the signs of a list follow each other: opening, commas, closing
+    order = np.argsort(depth, kind="stable")
+    kind = c[at[order]]
+    first, last = np.flatnonzero(kind == _OPEN), np.flatnonzero(kind == _CLOSE)
+    by = np.argsort(at[order][first])
+    first, last = first[by], last[by]
+    begin, level, owner = at[order][first], depth[order][first], text[order][first]
+    commas = last - first - 1
+    # the parent is the latest list of one level less; lists are in the order of their openings
+    key = level * (len(c) + 1) + begin
+    rank = np.argsort(key, kind="stable")
+    parent = np.arange(len(begin))
+    inner = level > 1
+    parent[inner] = rank[np.searchsorted(key[rank], key[inner] - (len(c) + 1)) - 1]
+    lists = np.bincount(parent[inner], minlength=len(begin))
+    short = np.flatnonzero((commas == 0) & (lists == 0))
+    empty = np.zeros(len(begin), bool)
+    empty[short] = pc.match_substring_regex(_stretches(c, begin[short] + 1, at[order][last[short]]), rf"^{_WS}$").to_numpy(zero_copy_only=False)
+    members = np.where(empty, 0, commas + 1)
+    only = (members > 0) & (lists == members)
+    reached = np.where(inner, only[parent], True)
+    up = parent
+    while True:
+        reached = reached & reached[up]
+        further = up[up]
+        if np.array_equal(further, up):
+            break
+        up = further
+    cand = np.flatnonzero(reached & (members == 4) & (lists < 4))
+    if not len(cand):
+        return none
+    signs = at[order][first[cand][:, None] + np.arange(5)]
+    member = _stretches(c, signs[:, :-1].ravel() + 1, signs[:, 1:].ravel())
+    number = pc.match_substring_regex(member, rf"^[\[ \t\r\n]*{_NUM}[\] \t\r\n]*$")
+    value = pc.cast(pc.replace_substring_regex(pc.if_else(number, member, pa.scalar("0", pa.large_string())), r"[\[\] \t\r\n]", ""), pa.float64()).to_numpy(zero_copy_only=False)
+    good = number.to_numpy(zero_copy_only=False).reshape(-1, 4).all(1)
+    return np.bincount(owner[cand][good], minlength=n), value.reshape(-1, 4)[good]
 
 
-def _parse(raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Boxes of a string column: (count per text, all boxes one after another as rows of four)."""
-    n = len(raw)
-    count = np.zeros(n, np.int64)
-    flat = pc.fill_null(pc.match_substring_regex(raw, _FLAT), False).to_numpy(zero_copy_only=False).astype(bool)
-    rest = np.flatnonzero(~flat & np.asarray(raw.is_valid()))
-    hard = [boxes_of(t) for t in raw.take(pa.array(rest)).to_pylist()]
-    count[flat] = 1
-    count[rest] = [len(h) for h in hard]
-    start = np.cumsum(count) - count
-    out = np.zeros((int(count.sum()), 4))
-    if flat.any():
-        body = pc.replace_substring_regex(raw.filter(pa.array(flat)), r"[\[\] \t\r\n]", "")
-        parts = pc.list_flatten(pc.split_pattern(body, ","))
-        out[start[flat]] = pc.cast(parts, pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, 4)
-    if (many := count[rest]).any():
-        at = np.repeat(start[rest], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        out[at] = np.array([b for h in hard for b in h])
-    return count, out
+def boxes_of(raw: str | None) -> list[tuple[float, float, float, float]]:
+    """Boxes of one raw ``bbox_norm`` text in reading order."""
+    return [tuple(b) for b in _parse(pa.array([raw], pa.string()))[1].tolist()]
 
 
 def _column(b: pa.RecordBatch, name: str) -> pa.Array:
@@ -171,24 +239,25 @@ QUERIES = {
     "p3_regions": lambda spark, sf: flat_regions(_log(spark, sf)).select("prop_id", "region_idx", "key_visual_entity", "bbox_norm"),
     "p3_propositions": lambda spark, sf: flat_propositions(_log(spark, sf)).select("prop_id", "corpus_id", "prop_idx", "text", "grounded", "confidence", "line_no", F.col("n_regions").cast("bigint").alias("n_regions")),
 }
-_BOXES = (
-    _STANDING.replace("WITH rebuilt", "WITH RECURSIVE rebuilt")
+#: Tables region (pid, region_idx, r), box (pid, region_idx, path, v: four numbers) and boxes (prop_id, region_idx, box_idx, v).
+BOXES_SQL = (
+    _STANDING.strip().removeprefix("WITH ")
     + r""", node AS (
   SELECT pid, region_idx, CASE WHEN json_valid(r.bbox_norm) THEN r.bbox_norm::JSON END AS j, []::BIGINT[] AS path FROM region
   UNION ALL
   SELECT pid, region_idx, json_extract(j, '$[*]')[i + 1], list_append(path, i) FROM node, LATERAL (SELECT unnest(range(json_array_length(j)::BIGINT)) AS i)
   WHERE json_type(j) = 'ARRAY' AND json_array_length(j) > 0 AND len(list_filter(json_extract(j, '$[*]'), lambda x: json_type(x) <> 'ARRAY')) = 0
 ), box AS (
-  SELECT pid, region_idx, path FROM node
+  SELECT pid, region_idx, path, list_transform(json_extract(j, '$[*]'), lambda x: regexp_replace(x::VARCHAR, '[\[\]\s]', '', 'g')) AS v FROM node
   WHERE json_type(j) = 'ARRAY' AND json_array_length(j) = 4 AND len(list_filter(json_extract(j, '$[*]'), lambda x: json_type(x) <> 'ARRAY')) > 0
     AND len(list_filter(json_extract(j, '$[*]'), lambda x: NOT regexp_full_match(x::VARCHAR, '[\[\s]*-?\d+(\.\d+)?([eE][+-]?\d+)?[\]\s]*'))) = 0
-)
-SELECT pid AS prop_id, region_idx, CASE WHEN b.path IS NULL THEN -1 ELSE row_number() OVER (PARTITION BY pid, region_idx ORDER BY b.path) - 1 END::INT AS box_idx
-FROM region LEFT JOIN box b USING (pid, region_idx)
-"""
+), boxes AS (
+  SELECT pid AS prop_id, region_idx, (row_number() OVER (PARTITION BY pid, region_idx ORDER BY path) - 1)::INT AS box_idx, v::DOUBLE[] AS v FROM box
+)"""
 )
 SQL = {
-    "p3_found": _BOXES,
+    "p3_found": f"WITH RECURSIVE {BOXES_SQL} SELECT pid AS prop_id, r.region_idx, coalesce(box_idx, -1)::INT AS box_idx FROM region r LEFT JOIN boxes b ON b.prop_id = r.pid AND b.region_idx = r.region_idx",
+    "p3_boxes": f"WITH RECURSIVE {BOXES_SQL} SELECT prop_id, region_idx, box_idx, v[1] AS x1, v[2] AS y1, v[3] AS x2, v[4] AS y2 FROM boxes",
     "p3_regions": _STANDING + "SELECT pid AS prop_id, region_idx, r.key_visual_entity AS key_visual_entity, r.bbox_norm AS bbox_norm FROM region",
     "p3_propositions": _STANDING + "SELECT pid AS prop_id, corpus_id, prop_idx, text, grounded, confidence, line_no, coalesce(len(list_filter(regions, lambda r: r IS NOT NULL)), 0)::BIGINT AS n_regions FROM standing",
 }

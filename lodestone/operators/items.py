@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.plans.ranking import picked
 
 #: Instruction constant and default modality of items.
 DEFAULT_MODALITY = "image,text"
@@ -87,16 +88,43 @@ def matches_domain(item_id: Column, domain: Column, wanted: list[str]) -> Column
 
 
 def at_positions(items: DataFrame, order: list[Column], wanted: list[int]) -> DataFrame:
-    """Rows at the wanted 0-based positions of the ordered items; positions out of range are skipped.
+    """Rows at the wanted 0-based positions of the ordered items; positions out of range are skipped."""
+    return picked(items, order, wanted)
 
-    The order is total only up to the last wanted position: a top-n, not a sort of everything.
+
+def corpus_row(corpus: DataFrame, item_id: str) -> DataFrame:
+    """The corpus row of an id, or an error where there is none or it has no image."""
+    row = corpus.where(F.col("id") == item_id).orderBy(F.col("image").isNull()).limit(1)
+    found = row.select((F.col("image.bytes").isNotNull() | F.col("image.path").isNotNull()).alias("image")).collect()
+    if not found:
+        raise LookupError(f"no corpus row {item_id!r}")
+    if not found[0]["image"]:
+        raise LookupError(f"corpus row {item_id!r} has no image")
+    return row
+
+
+def count_corpus(corpus: DataFrame) -> int:
+    """Number of different corpus ids."""
+    return corpus.select("id").where("id IS NOT NULL").distinct().count()
+
+
+def first_items(items: DataFrame, n: int | None, order: str = "id") -> DataFrame:
+    """The first ``n`` items by ``order`` (all without a number): a top-n, not a sort."""
+    return items if n is None else items.orderBy(order).limit(n)
+
+
+def judged_items(qrels: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Judgements of the queries that have predictions."""
+    return qrels.join(predicted.select("qid").distinct(), "qid", "left_semi")
+
+
+def id_prefix(ids: DataFrame, candidates: list[str], col: str = "id") -> str:
+    """The prefix that the ids of a table carry: the first of ``candidates`` that its least id starts with, or none.
+
+    One row decides, as all ids of a table are written alike; the least one, so that every layout gives the same.
     """
-    want = sorted({i for i in wanted if i >= 0})
-    if not want:
-        return items.limit(0).withColumn("pos", F.lit(0))
-    head = items.orderBy(*order).limit(want[-1] + 1)
-    pos = F.row_number().over(Window.orderBy(*order)) - 1  # at most want[-1] + 1 rows
-    return head.withColumn("pos", pos).where(F.col("pos").isin(want))
+    least = ids.agg(F.min(col)).collect()[0][0]
+    return next((p for p in candidates if least is not None and least.startswith(p)), "")
 
 
 def gold_set(qrels: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -127,6 +155,11 @@ _C = "c AS (SELECT DISTINCT id, modality, text, (image.bytes IS NOT NULL OR imag
 _DOMAIN_CASE = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(b, '{p}')" for p in parts)} THEN '{d}'" for d, parts in DOMAIN_PARTS.items()) + " ELSE 'Other' END"
 
 QUERIES = {
+    "s5_count_corpus": lambda spark, sf: spark.createDataFrame([(count_corpus(_t(spark, sf, "corpus")),)], "n bigint"),
+    "s16_corpus_row": lambda spark, sf: corpus_row(_t(spark, sf, "corpus"), _t(spark, sf, "corpus").where("image.path IS NOT NULL").agg(F.min("id")).collect()[0][0]).select("id"),
+    "f7_id_prefix": lambda spark, sf: spark.createDataFrame([(id_prefix(_t(spark, sf, "per_query"), [T.CORPUS_PREFIX, T.QUERY_PREFIX], "qid"),)], "prefix string"),
+    "p7_predicted_qrels": lambda spark, sf: judged_items(judgements(_t(spark, sf, "qrels"), _t(spark, sf, "queries")), _t(spark, sf, "per_query")).select("qid", "did", "rel"),
+    "w7_first_items": lambda spark, sf: first_items(_t(spark, sf, "corpus").where("id IS NOT NULL").select("id").distinct(), 50),
     "sel1_query_items": lambda spark, sf: query_items(_t(spark, sf, "queries"), _t(spark, sf, "domain_map")).drop("instruction"),
     "sel2_corpus_items": lambda spark, sf: corpus_items(_t(spark, sf, "corpus")),
     "sel3_domain_filter": lambda spark, sf: query_items(_t(spark, sf, "queries"), _t(spark, sf, "domain_map")).where(F.col("coarse_domain").isin("Art", "Medicine")).select("id", "coarse_domain"),
@@ -147,7 +180,7 @@ QUERIES = {
     "j7_docs_grounding": lambda spark, sf: _t(spark, sf, "corpus").select(F.col("id").alias("corpus_id")).distinct().join(_t(spark, sf, "doc_propositions").select("corpus_id", "line_no").distinct().groupBy("corpus_id").agg(F.count("*").alias("lines")), "corpus_id", "left").select("corpus_id", F.coalesce("lines", F.lit(0)).alias("lines")),
     "u1_union": lambda spark, sf: _t(spark, sf, "qrels").select("corpus_id").union(_t(spark, sf, "meta").select("corpus_id")).distinct(),
     "u2_intersect": lambda spark, sf: _t(spark, sf, "qrels").select("corpus_id").intersect(_t(spark, sf, "corpus").select("id")),
-    "u3_except": lambda spark, sf: _t(spark, sf, "corpus").select("id").subtract(_t(spark, sf, "meta").select("corpus_id")),
+    "u3_except": lambda spark, sf: _t(spark, sf, "qrels").select("corpus_id").subtract(_t(spark, sf, "corpus").select("id")),
     "f1_split_sentences": lambda spark, sf: _t(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")),
     "f2_slugify": lambda spark, sf: _t(spark, sf, "documents").select("doc_id", T.slug(F.col("source")).alias("slug")),
     "f4_md5_key": lambda spark, sf: _t(spark, sf, "corpus").select("id", T.text_key(F.lit("document"), F.col("text")).alias("key")).distinct(),
@@ -161,6 +194,12 @@ QUERIES = {
     "f9_fallback_chain": lambda spark, sf: _t(spark, sf, "queries").select("id", F.posexplode(T.propositions_or_text(F.col("options"), F.col("answer"), F.col("text"))).alias("pos", "unit")).distinct(),
 }
 SQL = {
+    "s5_count_corpus": "SELECT count(DISTINCT id) AS n FROM corpus",
+    "s16_corpus_row": "SELECT min(id) AS id FROM corpus WHERE image.path IS NOT NULL",
+    "f7_id_prefix": "SELECT CASE WHEN starts_with(min(qid), 'corpus-test-') THEN 'corpus-test-' WHEN starts_with(min(qid), 'query-test-') THEN 'query-test-' ELSE '' END AS prefix FROM per_query",
+    "p7_predicted_qrels": """SELECT 'query-test-' || query_id AS qid, 'corpus-test-' || corpus_id AS did, max(coalesce(score, 1))::INT AS rel FROM qrels
+WHERE query_id IN (SELECT id FROM queries WHERE id IS NOT NULL) AND 'query-test-' || query_id IN (SELECT qid FROM per_query) GROUP BY 1, 2""",
+    "w7_first_items": "SELECT DISTINCT id FROM corpus WHERE id IS NOT NULL ORDER BY id LIMIT 50",
     "sel1_query_items": """SELECT DISTINCT 'query-test-' || id AS id, id AS source_id, text, coalesce(modality, 'image,text') AS modality, q.category, coalesce(coarse_domain, 'Unknown') AS coarse_domain FROM queries q LEFT JOIN domain_map d ON q.category = d.category WHERE id IS NOT NULL""",
     "sel2_corpus_items": "SELECT DISTINCT 'corpus-test-' || id AS id, id AS source_id, text, coalesce(modality, 'image,text') AS modality FROM corpus WHERE id IS NOT NULL",
     "sel3_domain_filter": "SELECT DISTINCT ON (id, text, modality, q.category) 'query-test-' || id AS id, coarse_domain FROM queries q JOIN domain_map d ON q.category = d.category WHERE coarse_domain IN ('Art', 'Medicine') AND id IS NOT NULL",
@@ -181,7 +220,7 @@ SQL = {
     "j7_docs_grounding": "SELECT c.id AS corpus_id, count(l.line_no) AS lines FROM (SELECT DISTINCT id FROM corpus) c LEFT JOIN (SELECT DISTINCT corpus_id, line_no FROM doc_propositions) l ON l.corpus_id = c.id GROUP BY 1",
     "u1_union": "SELECT corpus_id FROM qrels UNION SELECT corpus_id FROM meta",
     "u2_intersect": "SELECT corpus_id FROM qrels INTERSECT SELECT id FROM corpus",
-    "u3_except": "SELECT id FROM corpus EXCEPT SELECT corpus_id FROM meta",
+    "u3_except": "SELECT corpus_id FROM qrels EXCEPT SELECT id FROM corpus",
     "f1_split_sentences": rf"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(text, chr(13), ''), '([.!?]){_WS}+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s, ' ' || chr(9) || '-#*>')), lambda s: length(s) >= 15) AS parts FROM documents)
 SELECT doc_id, (i - 1)::INT AS pos, parts[i] AS sentence FROM p, LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i)""",
     "f2_slugify": "SELECT doc_id, trim(regexp_replace(replace(lower(source), '/', '-'), '[^a-z0-9._-]+', '-', 'g'), '-') AS slug FROM documents",

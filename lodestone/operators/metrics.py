@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.vector import rounded
 
-from .retrieval import RUN_SQL, judged, judged_all, query_meta, run
+from .retrieval import RUN_SQL, judged, query_meta, run
 
-CUTS = (1, 3, 5, 10, 20)
+#: Metric cut-offs.
+CUTS = (1, 3, 5, 10, 20, 100)
 #: Rank buckets of a diagnosis, upper ends inclusive.
 BUCKETS = ((1, "1"), (5, "2-5"), (10, "6-10"), (50, "11-50"))
 
@@ -95,26 +96,26 @@ def diagnose(run_: DataFrame, qrels: DataFrame, groups: DataFrame) -> DataFrame:
     return d.select("qid", F.coalesce("coarse", F.lit("Unknown")).alias("coarse"), F.coalesce("fine", F.lit("Unknown")).alias("fine"), F.coalesce("has_image", F.lit(False)).alias("has_image"), "n_gold", "ndcg_at_10", F.coalesce("r", F.lit(-1)).alias("best_gold_rank"), rank_bucket(F.col("r")).alias("rank_bucket"))
 
 
-def _pq(spark: SparkSession, sf: str, qrels=judged) -> DataFrame:
-    return per_query(run(spark, sf), qrels(spark, sf))
+def _pq(spark: SparkSession, sf: str) -> DataFrame:
+    return per_query(run(spark, sf), judged(spark, sf))
 
 
-def _one(metric: str, qrels=judged):
-    return lambda spark, sf: _pq(spark, sf, qrels).select("qid", "k", rounded(F.col(metric)).alias(metric))
+def _one(metric: str):
+    return lambda spark, sf: _pq(spark, sf).select("qid", "k", rounded(F.col(metric)).alias(metric))
 
 
-def _report(spark: SparkSession, sf: str, qrels=judged) -> DataFrame:
-    r = report(_pq(spark, sf, qrels), query_meta(spark, sf))
+def _report(spark: SparkSession, sf: str) -> DataFrame:
+    r = report(_pq(spark, sf), query_meta(spark, sf))
     return r.select("level", "grp", "k", "num_queries", *[rounded(F.col(c)).alias(c) for c in ("ndcg", "map", "recall", "precision")])
 
 
-def _diagnosis(spark: SparkSession, sf: str, qrels=judged) -> DataFrame:
-    return diagnose(run(spark, sf), qrels(spark, sf), query_meta(spark, sf))
+def _diagnosis(spark: SparkSession, sf: str) -> DataFrame:
+    return diagnose(run(spark, sf), judged(spark, sf), query_meta(spark, sf))
 
 
 METRIC_SQL = (
     RUN_SQL
-    + """, ks AS (SELECT unnest([1, 3, 5, 10, 20])::INT AS k
+    + """, ks AS (SELECT unnest([1, 3, 5, 10, 20, 100])::INT AS k
 ), ideal AS (
   SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, did) AS i FROM qrels_
 ), tot AS (SELECT qid, sum(CASE WHEN rel >= 1 THEN 1 ELSE 0 END) AS n_rel FROM qrels_ GROUP BY qid
@@ -150,10 +151,6 @@ QUERIES = {
     "m7_rank_bucket": lambda spark, sf: _diagnosis(spark, sf).select("qid", "n_gold", "best_gold_rank", "rank_bucket"),
     "a2_metric_report": _report,
     "m5_per_query": _diagnosis,
-    # the same over all sub-documents of a query's document, hot ones too; no SQL twins
-    **{f"{k}_all": _one(c, judged_all) for k, c in (("m1_ndcg", "ndcg"), ("m2_map", "map"), ("m3_recall", "recall"), ("m4_precision", "precision"))},
-    "a2_metric_report_all": lambda spark, sf: _report(spark, sf, judged_all),
-    "m5_per_query_all": lambda spark, sf: _diagnosis(spark, sf, judged_all),
 }
 SQL = {
     **{k: f"WITH {METRIC_SQL} SELECT qid, k, floor({c} * 1.0e5 + 0.5e0) / 1.0e5 AS {c} FROM pq" for k, c in (("m1_ndcg", "ndcg"), ("m2_map", "map"), ("m3_recall", "recall"), ("m4_precision", "precision"))},

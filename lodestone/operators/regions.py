@@ -11,7 +11,7 @@ from lodestone.functions import geometry as G
 from lodestone.functions.vector import rounded
 
 from .aggregates import first_by
-from .flatten import flat_boxes
+from .flatten import BOXES_SQL, flat_boxes
 from .retrieval import RUN_SQL, run
 
 
@@ -84,71 +84,55 @@ def best_match(scores: DataFrame, keys: list[str], views: tuple[str, ...] = VIEW
 
 # ---------------------------------------------------------------- catalogue: the boxes of the grounding log
 W, H = 640, 480
-_FLAT = r"^\s*\[\s*-?\d+(\.\d+)?\s*(,\s*-?\d+(\.\d+)?\s*){3}\]\s*$"
 
 
-def _boxes(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    """(prop_id, region_idx, x1..y2): boxes written as one plain list of four numbers, the part that BOX_SQL can split.
-
-    ``every``: all boxes that flat_boxes() finds, and region_idx is then the struct (region_idx, box_idx), in whose
-    order a proposition's boxes stand.
-    """
-    b = flat_boxes(spark.read.parquet(f"{sf}/doc_propositions.parquet")).where("box_idx >= 0")
-    if every:
-        return b.withColumn("region_idx", F.struct("region_idx", "box_idx")).select("prop_id", "region_idx", "x1", "y1", "x2", "y2")
-    return b.where((F.col("box_idx") == 0) & F.col("bbox_norm").rlike(_FLAT)).select("prop_id", "region_idx", "x1", "y1", "x2", "y2")
+def _boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """(prop_id, region_idx, box_idx, x1..y2): every box of every standing line."""
+    return flat_boxes(spark.read.parquet(f"{sf}/doc_propositions.parquet")).where("box_idx >= 0").select("prop_id", "region_idx", "box_idx", "x1", "y1", "x2", "y2")
 
 
-def _clipped(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    return _boxes(spark, sf, every).withColumn("b", G.clip_xywh(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], 800, 600)).select("prop_id", "region_idx", "b.*")
+def _clipped(spark: SparkSession, sf: str) -> DataFrame:
+    return _boxes(spark, sf).withColumn("b", G.clip_xywh(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], 800, 600)).select("prop_id", "region_idx", "box_idx", "b.*")
 
 
-def _pixels(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    b = _boxes(spark, sf, every).withColumn("b", G.norm_to_pixels(G.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]), W, H))
-    return b.where("b IS NOT NULL").select("prop_id", "region_idx", "b.x1", "b.y1", "b.x2", "b.y2")
+def _pixels(spark: SparkSession, sf: str) -> DataFrame:
+    b = _boxes(spark, sf).withColumn("b", G.norm_to_pixels(G.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]), W, H))
+    return b.where("b IS NOT NULL").select("prop_id", "region_idx", "box_idx", "b.x1", "b.y1", "b.x2", "b.y2")
 
 
-def _annotations(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+def _annotations(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes as annotations of their proposition; the ordinal is the pair of places, in whose order boxes stand."""
     a = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    return _pixels(spark, sf, every).select(F.col("prop_id").alias("image"), F.col("region_idx").alias("ordinal"), "x1", "y1", "x2", "y2", a.alias("mask_area"), G.quality(F.lit(0.5), F.lit(0.25), a).alias("s"))
+    place = F.struct("region_idx", "box_idx")
+    return _pixels(spark, sf).select(F.col("prop_id").alias("image"), place.alias("ordinal"), "x1", "y1", "x2", "y2", a.alias("mask_area"), G.quality(F.lit(0.5), F.lit(0.25), a).alias("s"))
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    p = _pixels(spark, sf).select("prop_id", "region_idx", G.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]).alias("b"))
-    nxt = p.select("prop_id", (F.col("region_idx") - 1).alias("region_idx"), F.col("b").alias("b2"))
-    return p.join(nxt, ["prop_id", "region_idx"]).select("prop_id", "region_idx", rounded(G.iou(F.col("b"), F.col("b2"))).alias("iou"))
-
-
-def _every_pair(spark: SparkSession, sf: str) -> DataFrame:
     """Overlap of every two boxes of a proposition, the one that stands first on the left."""
-    p = _pixels(spark, sf, True).select("prop_id", F.col("region_idx").alias("at"), G.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]).alias("b"))
+    p = _pixels(spark, sf).select("prop_id", F.struct("region_idx", "box_idx").alias("at"), G.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]).alias("b"))
     pairs = p.join(p.select("prop_id", F.col("at").alias("at2"), F.col("b").alias("b2")), "prop_id").where(F.col("at") < F.col("at2"))
     return pairs.select("prop_id", "at.*", F.col("at2.region_idx").alias("other_region_idx"), F.col("at2.box_idx").alias("other_box_idx"), rounded(G.iou(F.col("b"), F.col("b2"))).alias("iou"))
 
 
-def _keyed(d: DataFrame, key: str = "region_idx") -> DataFrame:
-    """The struct (region_idx, box_idx) as two columns."""
-    return d.select(*[c for c in d.columns if c != key], f"{key}.*")
-
-
-def _scores(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    return _annotations(spark, sf, every).select(F.col("image").alias("prop_id"), "ordinal", rounded(F.col("s")).alias("s"))
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _annotations(spark, sf).select(F.col("image").alias("prop_id"), "ordinal.*", rounded(F.col("s")).alias("s"))
 
 
-def _counts(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    return postprocess(_annotations(spark, sf, every)).select("image", F.size("kept").cast("bigint").alias("kept"), "removed_small", "removed_slender", F.col("removed_duplicate").cast("bigint").alias("removed_duplicate"))
+def _counts(spark: SparkSession, sf: str) -> DataFrame:
+    return postprocess(_annotations(spark, sf)).select("image", F.size("kept").cast("bigint").alias("kept"), "removed_small", "removed_slender", F.col("removed_duplicate").cast("bigint").alias("removed_duplicate"))
 
 
-def _kept(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    return postprocess(_annotations(spark, sf, every)).select("image", F.explode("kept").alias("k")).select("image", F.col("k.ordinal").alias("ordinal"))
+def _kept(spark: SparkSession, sf: str) -> DataFrame:
+    return postprocess(_annotations(spark, sf)).select("image", F.explode("kept").alias("k")).select("image", "k.ordinal.*")
 
 
-def _dedup(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    return distinct_boxes(_pixels(spark, sf, every), "prop_id", "region_idx").select("prop_id", "region_idx")
+def _dedup(spark: SparkSession, sf: str) -> DataFrame:
+    places = _pixels(spark, sf).withColumn("at", F.struct("region_idx", "box_idx"))
+    return distinct_boxes(places, "prop_id", "at").select("prop_id", "at.*")
 
 
-def _filtered(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    return _annotations(spark, sf, every).withColumn("v", verdict(G.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]), F.col("mask_area"))).groupBy("v").agg(F.count("*").alias("n"))
+def _filtered(spark: SparkSession, sf: str) -> DataFrame:
+    return _annotations(spark, sf).withColumn("v", verdict(G.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]), F.col("mask_area"))).groupBy("v").agg(F.count("*").alias("n"))
 
 
 def _matches(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,28 +140,23 @@ def _matches(spark: SparkSession, sf: str) -> DataFrame:
     return best_match(s, ["item"]).select("item", "region_id", "view", "text_idx", "score")
 
 
-def _union(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    p = _pixels(spark, sf, every).groupBy("prop_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+def _union(spark: SparkSession, sf: str) -> DataFrame:
+    p = _pixels(spark, sf).groupBy("prop_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
     w = G.widened(G.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]), 0.25, W, H)
     return p.withColumn("w", w).select("prop_id", "x1", "y1", "x2", "y2", F.col("w.x1").alias("wx1"), F.col("w.y1").alias("wy1"), F.col("w.x2").alias("wx2"), F.col("w.y2").alias("wy2"))
 
 
 _P = lambda c, lo_hi, size: f"round_even(greatest(0e0, least({size}::DOUBLE, {lo_hi}({c}1, {c}2) / 1000.0e0 * {size})), 0)::INT"
-BOX_SQL = rf"""
-rebuilt AS (SELECT *, coalesce(CASE WHEN trim(prop_id) <> '' THEN prop_id END, corpus_id || '_p' || prop_idx) AS pid FROM doc_propositions
-), standing AS (SELECT * FROM rebuilt WHERE pid IS NOT NULL AND line_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pid ORDER BY line_no DESC) = 1
-), region AS (SELECT pid, (u.i - 1)::INT AS region_idx, regions[u.i].bbox_norm AS raw FROM standing, LATERAL (SELECT unnest(range(1, len(regions) + 1)) AS i) u WHERE regions[u.i] IS NOT NULL
-), four AS (SELECT pid AS prop_id, region_idx, string_split(regexp_replace(raw, '[\[\]\s]', '', 'g'), ',')::DOUBLE[] AS v FROM region WHERE regexp_full_match(raw, '{_FLAT.strip("^$")}')
-), b0 AS (SELECT prop_id, region_idx, v[1] AS x1, v[2] AS y1, v[3] AS x2, v[4] AS y2 FROM four
-), b1 AS (SELECT prop_id, region_idx, {_P("x", "least", W)} AS a, {_P("x", "greatest", W)} AS c, {_P("y", "least", H)} AS b, {_P("y", "greatest", H)} AS d FROM b0
-), px AS (SELECT * FROM (SELECT prop_id, region_idx, a AS x1, b AS y1, CASE WHEN c <= a THEN least({W}, a + 1) ELSE c END AS x2, CASE WHEN d <= b THEN least({H}, b + 1) ELSE d END AS y2 FROM b1) WHERE x2 > x1 AND y2 > y1
+BOX_SQL = f"""{BOXES_SQL}, b0 AS (SELECT prop_id, region_idx, box_idx, v[1] AS x1, v[2] AS y1, v[3] AS x2, v[4] AS y2 FROM boxes
+), b1 AS (SELECT prop_id, region_idx, box_idx, {_P("x", "least", W)} AS a, {_P("x", "greatest", W)} AS c, {_P("y", "least", H)} AS b, {_P("y", "greatest", H)} AS d FROM b0
+), px AS (SELECT * FROM (SELECT prop_id, region_idx, box_idx, a AS x1, b AS y1, CASE WHEN c <= a THEN least({W}, a + 1) ELSE c END AS x2, CASE WHEN d <= b THEN least({H}, b + 1) ELSE d END AS y2 FROM b1) WHERE x2 > x1 AND y2 > y1
 ), ann AS (SELECT *, (x2 - x1) * (y2 - y1) AS ar, greatest((x2 - x1) * 1e0 / greatest(y2 - y1, 1), (y2 - y1) * 1e0 / greatest(x2 - x1, 1)) AS aspect FROM px
 ), vd AS (SELECT *, CASE WHEN x2 - x1 < 12 OR y2 - y1 < 12 OR ar < 180 THEN 'small' WHEN aspect > 10 THEN 'slender' END AS v, 0.5e0 + 0.25e0 + ln(ar + 1e0) * 0.01e0 AS s FROM ann)"""
 _IOU = "coalesce(greatest(least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1), 0) * greatest(least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1), 0) * 1.0e0 / nullif(({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1) + ({b}.x2 - {b}.x1) * ({b}.y2 - {b}.y1) - greatest(least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1), 0) * greatest(least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1), 0), 0), 0e0)"
 _NMS_SQL = (
     BOX_SQL
     + f""", lists AS (
-  SELECT prop_id, list({{'s': s, 'ordinal': region_idx, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY s DESC, region_idx) FILTER (v IS NULL) AS r, (count(*) FILTER (v = 'small'))::BIGINT AS removed_small, (count(*) FILTER (v = 'slender'))::BIGINT AS removed_slender FROM vd GROUP BY prop_id
+  SELECT prop_id, list({{'s': s, 'ordinal': {{'region_idx': region_idx, 'box_idx': box_idx}}, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY s DESC, region_idx, box_idx) FILTER (v IS NULL) AS r, (count(*) FILTER (v = 'small'))::BIGINT AS removed_small, (count(*) FILTER (v = 'slender'))::BIGINT AS removed_slender FROM vd GROUP BY prop_id
 ), kept AS (
   SELECT prop_id, removed_small, removed_slender, len(coalesce(r, [])) AS n, CASE WHEN r IS NULL THEN [] ELSE list_reduce(list_prepend(r[1:0], list_transform(r, lambda e: [e])), lambda acc, e: CASE WHEN len(acc) >= 30 OR len(list_filter(acc, lambda k: {_IOU.format(a="k", b="e[1]")} >= 0.65)) > 0 THEN acc ELSE list_concat(acc, e) END) END AS k FROM lists
 )"""
@@ -194,28 +173,18 @@ QUERIES = {
     "r10_union_box": _union,
     "r13_best_match": _matches,
     "r17_region_filter": _filtered,
-    # the same over every box; no SQL twins
-    "r1_clip_box_all": lambda spark, sf: _keyed(_clipped(spark, sf, True)),
-    "r2_box_iou_all": _every_pair,
-    "r4_quality_all": lambda spark, sf: _keyed(_scores(spark, sf, True), "ordinal"),
-    "r5_postprocess_all": lambda spark, sf: _counts(spark, sf, True),
-    "r3_greedy_nms_all": lambda spark, sf: _keyed(_kept(spark, sf, True), "ordinal"),
-    "r6_dedup_boxes_all": lambda spark, sf: _keyed(_dedup(spark, sf, True)),
-    "r8_norm_to_px_all": lambda spark, sf: _keyed(_pixels(spark, sf, True)),
-    "r10_union_box_all": lambda spark, sf: _union(spark, sf, True),
-    "r17_region_filter_all": lambda spark, sf: _filtered(spark, sf, True),
 }
 SQL = {
-    "r1_clip_box": f"WITH {BOX_SQL} SELECT prop_id, region_idx, greatest(0, least(800, round_even(x1, 0)::INT)) AS x1, greatest(0, least(600, round_even(y1, 0)::INT)) AS y1, greatest(0, least(800, round_even(x1 + x2, 0)::INT)) AS x2, greatest(0, least(600, round_even(y1 + y2, 0)::INT)) AS y2 FROM b0",
-    "r2_box_iou": f"WITH {BOX_SQL} SELECT p.prop_id, p.region_idx, floor({_IOU.format(a='p', b='n')} * 1.0e5 + 0.5e0) / 1.0e5 AS iou FROM px p JOIN px n ON n.prop_id = p.prop_id AND n.region_idx = p.region_idx + 1",
-    "r4_quality": f"WITH {BOX_SQL} SELECT prop_id, region_idx AS ordinal, floor(s * 1.0e5 + 0.5e0) / 1.0e5 AS s FROM vd",
-    "r5_postprocess": f"WITH {_NMS_SQL} SELECT prop_id AS image, len(k) AS kept, removed_small, removed_slender, (CASE WHEN len(k) < 30 THEN n - len(k) ELSE 0 END)::BIGINT AS removed_duplicate FROM kept",
-    "r3_greedy_nms": f"WITH {_NMS_SQL} SELECT prop_id AS image, unnest(k).ordinal AS ordinal FROM kept",
-    "r6_dedup_boxes": f"WITH {BOX_SQL} SELECT prop_id, min(region_idx) AS region_idx FROM px GROUP BY prop_id, x1, y1, x2, y2",
-    "r8_norm_to_px": f"WITH {BOX_SQL} SELECT prop_id, region_idx, x1, y1, x2, y2 FROM px",
-    "r10_union_box": f"""WITH {BOX_SQL}, u AS (SELECT prop_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM px GROUP BY 1), d AS (SELECT *, trunc((x2 - x1) * 0.25e0)::INT AS dx, trunc((y2 - y1) * 0.25e0)::INT AS dy FROM u)
+    "r1_clip_box": f"WITH RECURSIVE {BOX_SQL} SELECT prop_id, region_idx, box_idx, greatest(0, least(800, round_even(x1, 0)::INT)) AS x1, greatest(0, least(600, round_even(y1, 0)::INT)) AS y1, greatest(0, least(800, round_even(x1 + x2, 0)::INT)) AS x2, greatest(0, least(600, round_even(y1 + y2, 0)::INT)) AS y2 FROM b0",
+    "r2_box_iou": f"WITH RECURSIVE {BOX_SQL} SELECT p.prop_id, p.region_idx, p.box_idx, n.region_idx AS other_region_idx, n.box_idx AS other_box_idx, floor({_IOU.format(a='p', b='n')} * 1.0e5 + 0.5e0) / 1.0e5 AS iou FROM px p JOIN px n ON n.prop_id = p.prop_id AND (p.region_idx < n.region_idx OR (p.region_idx = n.region_idx AND p.box_idx < n.box_idx))",
+    "r4_quality": f"WITH RECURSIVE {BOX_SQL} SELECT prop_id, region_idx, box_idx, floor(s * 1.0e5 + 0.5e0) / 1.0e5 AS s FROM vd",
+    "r5_postprocess": f"WITH RECURSIVE {_NMS_SQL} SELECT prop_id AS image, len(k) AS kept, removed_small, removed_slender, (CASE WHEN len(k) < 30 THEN n - len(k) ELSE 0 END)::BIGINT AS removed_duplicate FROM kept",
+    "r3_greedy_nms": f"WITH RECURSIVE {_NMS_SQL} SELECT image, o.region_idx AS region_idx, o.box_idx AS box_idx FROM (SELECT prop_id AS image, unnest(k).ordinal AS o FROM kept)",
+    "r6_dedup_boxes": f"WITH RECURSIVE {BOX_SQL} SELECT prop_id, place.region_idx AS region_idx, place.box_idx AS box_idx FROM (SELECT prop_id, min({{'region_idx': region_idx, 'box_idx': box_idx}}) AS place FROM px GROUP BY prop_id, x1, y1, x2, y2)",
+    "r8_norm_to_px": f"WITH RECURSIVE {BOX_SQL} SELECT prop_id, region_idx, box_idx, x1, y1, x2, y2 FROM px",
+    "r10_union_box": f"""WITH RECURSIVE {BOX_SQL}, u AS (SELECT prop_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM px GROUP BY 1), d AS (SELECT *, trunc((x2 - x1) * 0.25e0)::INT AS dx, trunc((y2 - y1) * 0.25e0)::INT AS dy FROM u)
 SELECT prop_id, x1, y1, x2, y2, greatest(0, x1 - dx) AS wx1, greatest(0, y1 - dy) AS wy1, least({W}, x2 + dx) AS wx2, least({H}, y2 + dy) AS wy2 FROM d""",
     "r13_best_match": f"""WITH {RUN_SQL}, s AS (SELECT qid AS item, did AS region_id, (['masked', 'box', 'context'])[rank % 3 + 1] AS view, rank % 3 AS vo, (rank % 4)::INT AS text_idx, floor(score * 4)::BIGINT AS score FROM run)
 SELECT item, region_id, view, text_idx, score FROM s QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, vo, text_idx, region_id) = 1""",
-    "r17_region_filter": f"WITH {BOX_SQL} SELECT v, count(*) AS n FROM vd GROUP BY 1",
+    "r17_region_filter": f"WITH RECURSIVE {BOX_SQL} SELECT v, count(*) AS n FROM vd GROUP BY 1",
 }

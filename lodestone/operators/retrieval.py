@@ -16,6 +16,8 @@ from lodestone.functions.text import CORPUS_PREFIX, QUERY_PREFIX
 #: Query vectors that may travel with the task closure, in bytes; more are cut into blocks and joined by block.
 CLOSURE_BYTES = 8 << 20
 BLOCK_QUERIES = 1024
+#: Documents of one tile of the blocked join, about.
+TILE_DOCUMENTS = 65536
 
 
 def _dense(col: pa.Array, dim: int) -> np.ndarray:
@@ -32,12 +34,12 @@ def _ordered_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return s
 
 
-def _best(qid: np.ndarray, q: np.ndarray, did: np.ndarray, d: np.ndarray, k: int, cosine: bool) -> pa.RecordBatch:
-    """Candidates for the k best of each query in one block; every tie with the k-th is kept."""
+def _best(qid: np.ndarray, q: np.ndarray, did: np.ndarray, d: np.ndarray, k: int | None, cosine: bool) -> pa.RecordBatch:
+    """Candidates for the k best of each query in one block; every tie with the k-th is kept. Without k, all pairs."""
     score = q @ d.T
     if cosine:
         score /= np.sqrt(np.outer((q * q).sum(1), (d * d).sum(1)))
-    kth = np.partition(score, score.shape[1] - k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(q), -np.inf)
+    kth = np.partition(score, score.shape[1] - k, axis=1)[:, -k] if k and score.shape[1] > k else np.full(len(q), -np.inf)
     a, b = np.nonzero(score >= kth[:, None] - 1e-9)
     s = _ordered_dot(q[a], d[b])
     if cosine:
@@ -45,7 +47,7 @@ def _best(qid: np.ndarray, q: np.ndarray, did: np.ndarray, d: np.ndarray, k: int
     return pa.record_batch([pa.array(qid[a]), pa.array(did[b]), pa.array(s)], names=["qid", "did", "score"])
 
 
-def _score(batches: Iterator[pa.RecordBatch], qid: np.ndarray, q: np.ndarray, k: int, cosine: bool) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], qid: np.ndarray, q: np.ndarray, k: int | None, cosine: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         did, d = b.column(0).to_numpy(zero_copy_only=False), _dense(b.column(1), q.shape[1])
         if len(did):
@@ -53,13 +55,14 @@ def _score(batches: Iterator[pa.RecordBatch], qid: np.ndarray, q: np.ndarray, k:
                 yield _best(qid[i : i + BLOCK_QUERIES], q[i : i + BLOCK_QUERIES], did, d, k, cosine)
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 100, dim: int = 64, cosine: bool = False, tiles: int = 64, closure_bytes: int = CLOSURE_BYTES) -> DataFrame:
+def retrieve(queries: DataFrame, corpus: DataFrame, k: int | None = 100, dim: int = 64, cosine: bool = False, tiles: int | None = None, closure_bytes: int = CLOSURE_BYTES) -> DataFrame:
     """(qid, did, score, rank): the ``k`` documents of highest inner product for every query, equals by larger id.
 
     Both inputs are (id string, embedding array). Vectors that are not usable take no part; neither do null ids. Exact;
     ``cosine`` divides by the norms. A small query set rides along with the scan of the corpus, whose tasks send k rows
     for each query; a larger one (measured against ``closure_bytes``) is cut into blocks that meet tiles of the corpus
-    in an equi-join on (block, tile).
+    in an equi-join on (block, tile), both of bounded size: there are as many tiles as the corpus needs, or ``tiles``.
+    Without ``k`` every pair comes back, and no rank.
     """
     spark = queries.sparkSession
     good = lambda df: df.where(F.col("id").isNotNull() & V.usable(F.col("embedding"), dim)).select("id", "embedding")
@@ -69,10 +72,11 @@ def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 100, dim: int = 64,
     shape = "qid string, did string, score double"
     if head.num_rows <= room:
         if not head.num_rows:
-            return spark.createDataFrame([], shape + ", rank int")
+            return spark.createDataFrame([], shape + (", rank int" if k else ""))
         found = d.mapInArrow(partial(_score, qid=head.column(0).to_numpy(), q=_dense(head.column(1), dim), k=k, cosine=cosine), shape)
     else:
         blocks = max(1, -(-q.count() // BLOCK_QUERIES))
+        tiles = tiles or max(1, -(-d.count() // TILE_DOCUMENTS))
         qb = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
         db = d.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
@@ -84,12 +88,16 @@ def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 100, dim: int = 64,
             return pa.Table.from_batches([_best(qi, q0, di[i : i + 8192], d0[i : i + 8192], k, cosine) for i in range(0, len(di), 8192)])
 
         found = qb.groupBy("block", "tile").cogroup(db.groupBy("block", "tile")).applyInArrow(join, shape)
+    if k is None:
+        return found.distinct()
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("did").desc())
+    # repeated documents share a dense rank: pruned before the shuffle, they are folded after it
+    found = found.withColumn("dense", F.dense_rank().over(w)).where(F.col("dense") <= k).drop("dense")
     return found.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 # ---------------------------------------------------------------- the run used by the query catalogue
-TOP_K, DIM = 20, 64
+TOP_K, DIM = 100, 64
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,18 +114,6 @@ def run(spark: SparkSession, sf: str, k: int = TOP_K) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf: str) -> DataFrame:
-    """qrels (qid, did, rel): propositions at most two places from the query's in its document, grade 2 at most one.
-
-    Joined on (document, place), so a document with a tenth of all rows gives no more judgements a row than others.
-    """
-    m = spark.read.parquet(f"{sf}/meta.parquet").select("row", "corpus_id", "prop_idx").distinct()
-    near = F.explode(F.array(*[F.lit(i) for i in range(-2, 3)]))
-    q = m.where("row % 100 = 0").select(F.concat(F.lit(QUERY_PREFIX), "row").alias("qid"), "corpus_id", F.col("prop_idx").alias("p"), near.alias("o")).withColumn("prop_idx", F.col("p") + F.col("o"))
-    found = q.join(m, ["corpus_id", "prop_idx"]).select("qid", F.concat(F.lit(CORPUS_PREFIX), "row").alias("did"), F.when(F.abs("o") <= 1, 2).otherwise(1).alias("rel"))
-    return found.groupBy("qid", "did").agg(F.max("rel").alias("rel"))
-
-
-def judged_all(spark: SparkSession, sf: str) -> DataFrame:
     """qrels (qid, did, rel): all sub-documents of the query's document, grade 2 if of its modality too.
 
     A hot document gives each of its queries as many judgements as it has rows.
@@ -145,11 +141,11 @@ RUN_SQL = (
     + """, scored AS (
   SELECT 'query-test-' || q.r AS qid, 'corpus-test-' || d.r AS did, list_inner_product(q.e, d.e) AS score FROM vec q, vec d WHERE q.r % 100 = 0
 ), run AS (
-  SELECT qid, did, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, did DESC))::INT AS rank FROM scored QUALIFY rank <= 20
-), m AS (SELECT DISTINCT "row" AS r, corpus_id, prop_idx FROM meta
+  SELECT qid, did, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, did DESC))::INT AS rank FROM scored QUALIFY rank <= 100
+), m AS (SELECT DISTINCT "row" AS r, corpus_id, modality FROM meta
 ), qrels_ AS (
-  SELECT 'query-test-' || q.r AS qid, 'corpus-test-' || d.r AS did, max(CASE WHEN abs(q.prop_idx - d.prop_idx) <= 1 THEN 2 ELSE 1 END) AS rel
-  FROM m q JOIN m d USING (corpus_id) WHERE q.r % 100 = 0 AND abs(q.prop_idx - d.prop_idx) <= 2 GROUP BY 1, 2
+  SELECT 'query-test-' || q.r AS qid, 'corpus-test-' || d.r AS did, max(CASE WHEN q.modality = d.modality THEN 2 ELSE 1 END) AS rel
+  FROM m q JOIN m d USING (corpus_id) WHERE q.r % 100 = 0 GROUP BY 1, 2
 ), qmeta AS (
   SELECT DISTINCT 'query-test-' || "row" AS qid, coalesce(modality, 'Unknown') AS coarse, coalesce(source, 'Unknown') AS fine, coalesce(has_image, false) AS has_image FROM meta WHERE "row" % 100 = 0
 )"""
@@ -160,7 +156,7 @@ def _inner(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     q = e.where("vec_id % 100 = 0").select(F.concat(F.lit(QUERY_PREFIX), "vec_id").alias("id"), "embedding")
     c = e.select(F.concat(F.lit(CORPUS_PREFIX), "vec_id").alias("id"), "embedding")
-    return retrieve(q, c, 1 << 20).select("qid", "did", "score")
+    return retrieve(q, c, None).select("qid", "did", "score")
 
 
 QUERIES = {

@@ -17,6 +17,7 @@ def build_session(master: str = "local[*]", app: str = "lodestone", **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -28,13 +29,16 @@ def build_session(master: str = "local[*]", app: str = "lodestone", **conf: str)
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``; a private folder is made only where that is unset (tests).
+    A cluster names it in ``spark.checkpoint.dir``; a private folder is made only in a local session without it (tests).
+    Old checkpoints go when nothing refers to them any more (``spark.cleaner.referenceTracking.cleanCheckpoints``).
     """
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
         return have
     named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not (sc.master.startswith("local[") or sc.master == "local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-ckpt-"))
     return sc.getCheckpointDir()
 

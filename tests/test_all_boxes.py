@@ -22,24 +22,24 @@ def rows(spark, sf, name, *cols):
 ALL = [(0, 0), (1, 0), (1, 1), (3, 0), (4, 0)]
 
 
-@pytest.mark.parametrize("name", ["r1_clip_box_all", "r4_quality_all", "r8_norm_to_px_all"])
+@pytest.mark.parametrize("name", ["r1_clip_box", "r4_quality", "r8_norm_to_px"])
 def test_every_box_enters(spark, sf, name):
     assert rows(spark, sf, name, "region_idx", "box_idx") == ALL
 
 
 def test_every_pair(spark, sf):
-    got = rows(spark, sf, "r2_box_iou_all", "region_idx", "box_idx", "other_region_idx", "other_box_idx", "iou")
+    got = rows(spark, sf, "r2_box_iou", "region_idx", "box_idx", "other_region_idx", "other_box_idx", "iou")
     assert [g[:4] for g in got] == [(*a, *b) for i, a in enumerate(ALL) for b in ALL[i + 1 :]]
     assert {g[:4] for g in got if g[4] == 1} == {(0, 0, 1, 0), (0, 0, 3, 0), (1, 0, 3, 0)}
 
 
 def test_suppression_filter_union(spark, sf):
-    assert rows(spark, sf, "r6_dedup_boxes_all", "region_idx", "box_idx") == [(0, 0), (1, 1), (4, 0)]
-    assert rows(spark, sf, "r3_greedy_nms_all", "region_idx", "box_idx") == [(0, 0), (1, 1)]
-    assert rows(spark, sf, "r5_postprocess_all", "kept", "removed_small", "removed_slender", "removed_duplicate") == [(2, 1, 0, 2)]
-    assert {(r["v"], r["n"]) for r in catalogue.queries()["r17_region_filter_all"](spark, sf).collect()} == {(None, 4), ("small", 1)}
-    assert rows(spark, sf, "r10_union_box_all", "x1", "y1", "x2", "y2") == [(0, 0, 640, 432)]
+    assert rows(spark, sf, "r6_dedup_boxes", "region_idx", "box_idx") == [(0, 0), (1, 1), (4, 0)]
+    assert rows(spark, sf, "r3_greedy_nms", "region_idx", "box_idx") == [(0, 0), (1, 1)]
+    assert rows(spark, sf, "r5_postprocess", "kept", "removed_small", "removed_slender", "removed_duplicate") == [(2, 1, 0, 2)]
+    assert {(r["v"], r["n"]) for r in catalogue.queries()["r17_region_filter"](spark, sf).collect()} == {(None, 4), ("small", 1)}
+    assert rows(spark, sf, "r10_union_box", "x1", "y1", "x2", "y2") == [(0, 0, 640, 432)]
 
 
 def test_clip_beyond_int(spark, sf):
-    assert (4, 0, 800) in rows(spark, sf, "r1_clip_box_all", "region_idx", "box_idx", "x2")
+    assert (4, 0, 800) in rows(spark, sf, "r1_clip_box", "region_idx", "box_idx", "x2")

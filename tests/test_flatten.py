@@ -31,6 +31,14 @@ LOG = "line_no long, corpus_id string, prop_id string, prop_idx int, text string
         ("[900,900,1,1]", 1),
         ("[01,2,3,4]", 0),
         ("[" * 2000 + "]" * 2000, 0),
+        ("[" * 100_000 + "[1,2,3,4]" + "]" * 100_000, 1),
+        ("[[1,2,3,4],[1,2,3,4]", 0),
+        ("[1,2,3,4] [1,2,3,4]", 0),
+        ("[1,2,3,4,]", 0),
+        ("[[1,2,3,4]5]", 0),
+        ('[["a]", 1, 2, 3], [1, 2, 3, 4]]', 1),
+        ('[[{"x": [1, 2], "y": {}}, 1, 2, 3], [1, 2, 3, 4]]', 1),
+        ('[[{"x"}, 1, 2, 3], [1, 2, 3, 4]]', 0),
     ],
 )
 def test_boxes(spark, raw, n):

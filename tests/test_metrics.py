@@ -66,6 +66,6 @@ def test_whole_document_is_judged(spark, tmp_path):
     rows = [(i, "hot", i, "text" if i % 2 else "image", "s", False) for i in range(201)]
     spark.createDataFrame(rows, "row long, corpus_id string, prop_idx int, modality string, source string, has_image boolean").write.parquet(f"{tmp_path}/meta.parquet")
     spark.createDataFrame([(i, [1.0 + i] + [1.0] * 63) for i in range(201)], "row long, embedding array<float>").write.parquet(f"{tmp_path}/subdoc_vectors.parquet")
-    assert {r["n_gold"] for r in catalogue.queries()["m5_per_query_all"](spark, str(tmp_path)).collect()} == {201}
-    recall = catalogue.queries()["m3_recall_all"](spark, str(tmp_path)).where("k = 20").collect()
+    assert {r["n_gold"] for r in catalogue.queries()["m5_per_query"](spark, str(tmp_path)).collect()} == {201}
+    recall = catalogue.queries()["m3_recall"](spark, str(tmp_path)).where("k = 20").collect()
     assert {round(r["recall"], 5) for r in recall} == {round(20 / 201, 5)}

@@ -6,7 +6,23 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["lodestone.operators.flatten", "lodestone.operators.retrieval", "lodestone.operators.metrics", "lodestone.operators.items", "lodestone.operators.aggregates", "lodestone.operators.dilution", "lodestone.operators.benchmark", "lodestone.operators.regions", "lodestone.operators.relevance", "lodestone.operators.subdocs", "lodestone.operators.decompose", "lodestone.sources.io", "lodestone.streaming.ingest"]
+MODULES = [
+    "lodestone.operators.flatten",
+    "lodestone.operators.retrieval",
+    "lodestone.operators.metrics",
+    "lodestone.operators.items",
+    "lodestone.operators.aggregates",
+    "lodestone.operators.dilution",
+    "lodestone.operators.benchmark",
+    "lodestone.operators.regions",
+    "lodestone.operators.relevance",
+    "lodestone.operators.subdocs",
+    "lodestone.operators.decompose",
+    "lodestone.operators.encoders",
+    "lodestone.sources.io",
+    "lodestone.sources.shards",
+    "lodestone.streaming.ingest",
+]
 
 
 def _modules() -> list:

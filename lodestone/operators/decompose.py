@@ -15,7 +15,7 @@ from lodestone.functions.vector import inner_product, rounded, sigmoid
 
 from .dilution import cosine
 from .encoders import Encoder, HashEncoder, encode
-from .regions import VIEWS, best_match, distinct_boxes
+from .regions import VIEWS, best_match, distinct_boxes, views
 
 
 def _call(batches: Iterator[pa.RecordBatch], model: Callable[[list[str]], list[str]]) -> Iterator[pa.RecordBatch]:
@@ -75,6 +75,49 @@ def ground(documents: DataFrame, units: DataFrame, done: DataFrame, model: Calla
     return a.select("corpus_id", "prop_id", "prop_idx", "text", "a.grounded", F.coalesce("a.regions", F.array()).alias("regions"), "a.confidence", "a.reason", F.coalesce("error", bad).alias("error"))
 
 
+def _segment(batches: Iterator[pa.RecordBatch], segmenter: Callable[[bytes], list[dict]]) -> Iterator[pa.RecordBatch]:
+    names = ["x", "y", "w", "h", "area", "score"]
+    for b in batches:
+        rows = []
+        for image, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            try:
+                found = segmenter(raw) if raw is not None else []
+            except Exception:  # noqa: BLE001 - a broken image has no segments
+                found = []
+            rows += [(image, i, *(float(s[n]) for n in names)) for i, s in enumerate(found)]
+        cols = list(zip(*rows)) or [[]] * 8
+        yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.float64()) for c in cols[2:])], names=["image", "ordinal", *names])
+
+
+def segment(images: DataFrame, segmenter: Callable[[bytes], list[dict]]) -> DataFrame:
+    """Annotations (image, ordinal, x, y, w, h, area, score) of images (image, bytes) by a plugged-in segmenter."""
+    return images.select("image", "bytes").mapInArrow(partial(_segment, segmenter=segmenter), "image string, ordinal int, x double, y double, w double, h double, area double, score double")
+
+
+def region_experiment(images: DataFrame, texts: DataFrame, segmenter: Callable[[bytes], list[dict]], crop: Callable[[bytes, tuple, bool], bytes], encoder: Encoder, width: int, height: int, logits: bool = False) -> DataFrame:
+    """Best text of every region, from segmentation to match: (item, region_id, view, text_idx, text, score, raw_score).
+
+    ``images`` (image, bytes), ``texts`` (item, text_idx, text) with item = image; ``crop`` cuts a view out of an image.
+    """
+    found = candidates(segment(images, segmenter), width, height)
+    seen = views(found.select("image", "region_id", "x1", "y1", "x2", "y2"), width, height).join(images.select("image", "bytes"), "image")
+
+    def cropped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = [x.to_pylist() for x in b.columns]
+            pixels = [crop(raw, box, masked) for raw, *box, masked in zip(c[1], c[2], c[3], c[4], c[5], c[6])]
+            yield pa.record_batch([b.column(0), pa.array([None] * len(pixels), pa.string()), pa.array(pixels, pa.binary())], names=["id", "text", "image"])
+
+    key = F.concat_ws("|", "image", F.col("region_id").cast("string"), "view")
+    items = seen.select(key.alias("id"), "bytes", "x1", "y1", "x2", "y2", "masked").mapInArrow(cropped, "id string, text string, image binary")
+    r = encode(items, encoder)
+    part = lambda i: F.regexp_extract("id", r"^(.*)\|(\d+)\|(\w+)$", i)
+    regions = r.select(part(1).alias("item"), part(2).cast("int").alias("region_id"), part(3).alias("view"), "embedding")
+    t = encode(texts.select(F.concat_ws("|", "item", F.col("text_idx").cast("string")).alias("id"), "text", F.lit(None).cast("binary").alias("image")), encoder)
+    t = texts.withColumn("id", F.concat_ws("|", "item", F.col("text_idx").cast("string"))).join(t, "id").drop("id")
+    return match(regions, t, logits=logits)
+
+
 def candidates(annotations: DataFrame, width: int, height: int, min_area: int = 100, max_share: float = 0.7) -> DataFrame:
     """(image, region_id, x1..y2, area, score) of segments (image, ordinal, x, y, w, h, area, score).
 

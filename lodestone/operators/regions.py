@@ -71,6 +71,22 @@ def postprocess(annotations: DataFrame, config: RegionConfig = RegionConfig()) -
     return out.select("image", "n.kept", "removed_small", "removed_slender", F.col("n.duplicates").alias("removed_duplicate"))
 
 
+def views(regions: DataFrame, width: int, height: int, share: float = 0.25) -> DataFrame:
+    """Rows (.., view, x1..y2, masked) of regions (.., x1..y2): the box with all outside the mask blanked, the box, its context."""
+    b = G.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    wide = G.widened(b, share, width, height)
+    each = F.array(*[F.struct(F.lit(v).alias("view"), (wide if v == "context" else b).alias("b"), F.lit(v == "masked").alias("masked")) for v in VIEWS])
+    keep = [c for c in regions.columns if c not in ("x1", "y1", "x2", "y2")]
+    return regions.select(*keep, F.explode(each).alias("v")).select(*keep, "v.view", "v.b.*", "v.masked")
+
+
+def focus_view(mode: str, b: Column, width: int, height: int, margin: float = 0.25) -> Column:
+    """What of an image is shown for a focus box: the crop, the crop with its context, or all with the rest blurred."""
+    whole = G.box(F.lit(0), F.lit(0), F.lit(width), F.lit(height))
+    shown = {"crop": b, "context_crop": G.widened(b, margin, width, height), "brb": whole}[mode]
+    return F.struct(shown.alias("shown"), F.when(F.lit(mode == "brb"), b).alias("sharp"))
+
+
 def distinct_boxes(boxes: DataFrame, group: str, order: str) -> DataFrame:
     """First of every identical box of a group."""
     return first_by(boxes, [group, "x1", "y1", "x2", "y2"], [F.col(order)])
@@ -135,6 +151,13 @@ def _filtered(spark: SparkSession, sf: str) -> DataFrame:
     return _annotations(spark, sf).withColumn("v", verdict(G.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]), F.col("mask_area"))).groupBy("v").agg(F.count("*").alias("n"))
 
 
+def _focus(spark: SparkSession, sf: str) -> DataFrame:
+    p = _pixels(spark, sf).groupBy("prop_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    b = G.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), focus_view(m, b, W, H).alias("f")) for m in ("crop", "context_crop", "brb")])
+    return p.select("prop_id", F.explode(modes).alias("m")).select("prop_id", "m.mode", "m.f.shown.*", F.col("m.f.sharp.x1").alias("sharp_x1"))
+
+
 def _matches(spark: SparkSession, sf: str) -> DataFrame:
     s = run(spark, sf).select(F.col("qid").alias("item"), F.col("did").alias("region_id"), F.element_at(F.array(*[F.lit(v) for v in VIEWS]), (F.col("rank") % 3 + 1)).alias("view"), (F.col("rank") % 4).alias("text_idx"), F.floor(F.col("score") * 4).alias("score"))
     return best_match(s, ["item"]).select("item", "region_id", "view", "text_idx", "score")
@@ -171,6 +194,8 @@ QUERIES = {
     "r6_dedup_boxes": _dedup,
     "r8_norm_to_px": _pixels,
     "r10_union_box": _union,
+    "r7_views": lambda spark, sf: views(_pixels(spark, sf), W, H),
+    "r12_focus": _focus,
     "r13_best_match": _matches,
     "r17_region_filter": _filtered,
 }
@@ -184,6 +209,12 @@ SQL = {
     "r8_norm_to_px": f"WITH RECURSIVE {BOX_SQL} SELECT prop_id, region_idx, box_idx, x1, y1, x2, y2 FROM px",
     "r10_union_box": f"""WITH RECURSIVE {BOX_SQL}, u AS (SELECT prop_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM px GROUP BY 1), d AS (SELECT *, trunc((x2 - x1) * 0.25e0)::INT AS dx, trunc((y2 - y1) * 0.25e0)::INT AS dy FROM u)
 SELECT prop_id, x1, y1, x2, y2, greatest(0, x1 - dx) AS wx1, greatest(0, y1 - dy) AS wy1, least({W}, x2 + dx) AS wx2, least({H}, y2 + dy) AS wy2 FROM d""",
+    "r7_views": f"""WITH RECURSIVE {BOX_SQL}, d AS (SELECT *, trunc((x2 - x1) * 0.25e0)::INT AS dx, trunc((y2 - y1) * 0.25e0)::INT AS dy FROM px)
+SELECT prop_id, region_idx, box_idx, 'masked' AS view, x1, y1, x2, y2, true AS masked FROM px UNION ALL SELECT prop_id, region_idx, box_idx, 'box', x1, y1, x2, y2, false FROM px
+UNION ALL SELECT prop_id, region_idx, box_idx, 'context', greatest(0, x1 - dx), greatest(0, y1 - dy), least({W}, x2 + dx), least({H}, y2 + dy), false FROM d""",
+    "r12_focus": f"""WITH RECURSIVE {BOX_SQL}, u AS (SELECT prop_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM px GROUP BY 1), d AS (SELECT *, trunc((x2 - x1) * 0.25e0)::INT AS dx, trunc((y2 - y1) * 0.25e0)::INT AS dy FROM u)
+SELECT prop_id, 'crop' AS mode, x1, y1, x2, y2, NULL::INT AS sharp_x1 FROM u UNION ALL SELECT prop_id, 'brb', 0, 0, {W}, {H}, x1 FROM u
+UNION ALL SELECT prop_id, 'context_crop', greatest(0, x1 - dx), greatest(0, y1 - dy), least({W}, x2 + dx), least({H}, y2 + dy), NULL FROM d""",
     "r13_best_match": f"""WITH {RUN_SQL}, s AS (SELECT qid AS item, did AS region_id, (['masked', 'box', 'context'])[rank % 3 + 1] AS view, rank % 3 AS vo, (rank % 4)::INT AS text_idx, floor(score * 4)::BIGINT AS score FROM run)
 SELECT item, region_id, view, text_idx, score FROM s QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, vo, text_idx, region_id) = 1""",
     "r17_region_filter": f"WITH RECURSIVE {BOX_SQL} SELECT v, count(*) AS n FROM vd GROUP BY 1",

@@ -15,6 +15,15 @@ def find_subsequence(ids: Column, needle: Column) -> Column:
     return F.try_element_at(F.filter(places, lambda i: F.slice(ids, i, m) == needle), F.lit(1)) - 1
 
 
+def find_first(ids: Column, needles: Column) -> Column:
+    """Place and length of the first of several needles that occurs, in their order; null if none does.
+
+    A word has one token sequence at the start of a text and another after a space: both are given as needles.
+    """
+    found = F.filter(F.transform(needles, lambda n: F.struct(find_subsequence(ids, n).alias("at"), F.size(n).alias("size"))), lambda f: f["at"].isNotNull())
+    return F.try_element_at(found, F.lit(1))
+
+
 def positions_of(ids: Column, token: Column) -> Column:
     """0-based places of a token."""
     return F.filter(F.transform(ids, lambda x, i: F.when(x == token, i)), lambda i: i.isNotNull())
@@ -68,12 +77,16 @@ m AS (SELECT vec_id, i - 1 AS pos, p[i] * q[i] AS value FROM n, LATERAL (SELECT
 
 QUERIES = {
     "v11_grid": _grid,
+    "v12_either_needle": lambda spark, sf: _words(spark, sf).select("doc_id", find_first(F.col("ids"), F.array(F.array(F.lit(7), F.lit(7), F.lit(7)), F.array(F.lit(4), F.lit(2)))).alias("f")).select("doc_id", "f.at", "f.size"),
     "v12_subsequence": lambda spark, sf: _words(spark, sf).select("doc_id", find_subsequence(F.col("ids"), F.array(F.lit(3), F.lit(3))).alias("at")),
     "v13_positions": lambda spark, sf: _words(spark, sf).select("doc_id", F.size(positions_of(F.col("ids"), F.lit(3))).cast("bigint").alias("n"), F.try_element_at(positions_of(F.col("ids"), F.lit(3)), F.lit(1)).alias("first")),
     "a16_relevance_map": lambda spark, sf: _maps(spark, sf).select("vec_id", F.posexplode("m").alias("pos", "value")).select("vec_id", F.col("pos").cast("bigint").alias("pos"), rounded(F.col("value")).alias("value")),
     "a17_map_stats": lambda spark, sf: _maps(spark, sf).select("vec_id", F.explode("m").alias("x")).groupBy("vec_id").agg(*[rounded(f("x")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"), (F.avg, "mean"), (F.stddev_pop, "sd"))]),
 }
 SQL = {
+    "v12_either_needle": """WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda s: length(s)) AS ids FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, list_filter(range(1, len(ids) - 1), lambda i: ids[i] = 7 AND ids[i + 1] = 7 AND ids[i + 2] = 7)[1] AS a, list_filter(range(1, len(ids)), lambda i: ids[i] = 4 AND ids[i + 1] = 2)[1] AS b FROM w)
+SELECT doc_id, (coalesce(a, b) - 1)::INT AS at, CASE WHEN a IS NOT NULL THEN 3 WHEN b IS NOT NULL THEN 2 END AS size FROM p""",
     "v11_grid": "SELECT vec_id, ((i - 1) // 8)::INT AS \"row\", ((i - 1) % 8)::INT AS col, embedding[i]::DOUBLE AS value FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i)",
     "v12_subsequence": "WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda s: length(s)) AS ids FROM documents WHERE text IS NOT NULL) SELECT doc_id, (list_filter(range(1, len(ids)), lambda i: ids[i] = 3 AND ids[i + 1] = 3)[1] - 1)::INT AS at FROM w",
     "v13_positions": "WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda s: length(s)) AS ids FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(list_filter(ids, lambda x: x = 3)) AS n, (list_position(ids, 3) - 1)::INT AS \"first\" FROM w",

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from lodestone.session import ensure_checkpoint_dir
 
+#: Columns of the vector, run, result and grounding files.
 VECTORS = T.StructType([T.StructField("id", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 PER_QUERY = "qid string, run_id string, coarse_domain string, category string, has_image boolean, n_gold int, ndcg_at_10 double, best_gold_rank int, rank_bucket string, written_at timestamp_ntz"
 GROUNDING = "line_no bigint, corpus_id string, prop_id string, prop_idx int, text string, grounded boolean, regions array<struct<key_visual_entity: string, bbox_norm: string>>, confidence double, reason string, error string"
@@ -85,6 +86,44 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
 
 
+UNITS = "key string, units array<string>"
+
+
+def write_units(units: DataFrame, path: str) -> None:
+    """Adds (key, units) to a cache of text units, a JSON line for each key."""
+    append_jsonl(units.select("key", "units"), path)
+
+
+def read_units(spark: SparkSession, path: str) -> DataFrame:
+    """(key, units) of the cache, of several lines of a key one; empty where nothing was written yet."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], UNITS)
+    return read_jsonl(spark, path, UNITS).where("key IS NOT NULL").groupBy("key").agg(F.max("units").alias("units"))
+
+
+def units_of(texts: DataFrame, units: DataFrame, task: str = "document", text: str = "text", clean: bool = False) -> DataFrame:
+    """``texts`` with their cached ``units`` (null where there are none); ``clean`` strips them and drops empty ones, [] for none."""
+    from lodestone.functions.text import text_key
+
+    found = texts.withColumn("key", text_key(F.lit(task), F.col(text))).join(units.select("key", "units"), "key", "left").drop("key")
+    if not clean:
+        return found
+    stripped = F.filter(F.transform("units", lambda u: F.regexp_replace(u, r"(?U)^\s+|\s+$", "")), lambda u: u.isNotNull() & (u != ""))
+    return found.withColumn("units", F.coalesce(stripped, F.array().cast("array<string>")))
+
+
+def write_subset(kept: DataFrame, corpus: DataFrame, queries: DataFrame, qrels: DataFrame, folder: str, mode: str = "errorifexists") -> None:
+    """A benchmark subset as three tables: kept corpus rows, the judgements that still point at one, their queries.
+
+    ``kept`` (corpus_id); ``corpus`` (id, ..), ``queries`` (id, ..), ``qrels`` (query_id, corpus_id, score).
+    """
+    ids = kept.select("corpus_id").distinct()
+    judged = qrels.join(ids, "corpus_id", "left_semi")
+    corpus.join(ids.withColumnRenamed("corpus_id", "id"), "id", "left_semi").write.mode(mode).parquet(f"{folder}/corpus.parquet")
+    judged.write.mode(mode).parquet(f"{folder}/qrels.parquet")
+    queries.join(judged.select(F.col("query_id").alias("id")).distinct(), "id", "left_semi").write.mode(mode).parquet(f"{folder}/queries.parquet")
+
+
 def write_document(document: dict, path: str) -> None:
     """A small JSON document on the driver's file system."""
     with open(path, "w", encoding="utf-8") as f:
@@ -135,13 +174,56 @@ def _roundtrip_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return read_vectors(spark, p).select("id", F.try_element_at("embedding", F.lit(1)).cast("double").alias("x0")).where("NOT isnan(x0) OR x0 IS NULL")
 
 
-QUERIES = {"s7_read_run": _roundtrip_run, "s8_read_csv": _roundtrip_csv, "s9_read_jsonl": _roundtrip_jsonl, "s6_read_vectors": _roundtrip_vectors}
+def _subset_tables(spark: SparkSession, sf: str) -> DataFrame:
+    p = scratch(spark, "subset")
+    t = {n: spark.read.parquet(f"{sf}/{n}.parquet") for n in ("corpus", "queries", "qrels")}
+    write_subset(t["qrels"].where("score >= 1").select("corpus_id"), t["corpus"], t["queries"], t["qrels"], p)
+    back = {n: spark.read.parquet(f"{p}/{n}.parquet") for n in t}
+    part = lambda n, c: back[n].select(F.lit(n).alias("tbl"), F.col(c).alias("id"))
+    return part("corpus", "id").unionByName(part("queries", "id")).unionByName(part("qrels", "corpus_id"))
+
+
+def _unit_cache(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.functions.text import sentences, text_key
+
+    p = scratch(spark, "units")
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    known = d.where("text IS NOT NULL AND doc_id % 3 <> 0")
+    write_units(known.select(text_key(F.lit("document"), F.col("text")).alias("key"), sentences(F.col("text")).alias("units")), p)
+    return units_of(d, read_units(spark, p)).select("doc_id", F.size("units").cast("bigint").alias("n"))
+
+
+def _broken_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the log with torn ones in between."""
+    p = scratch(spark, "broken")
+    d = spark.read.parquet(f"{sf}/doc_propositions.parquet").select("line_no", "prop_id")
+    line = F.to_json(F.struct("line_no", "prop_id"))
+    d.select(F.when(F.col("line_no") % 5 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value")).write.text(p)
+    return read_jsonl(spark, p, "line_no bigint, prop_id string").where("line_no IS NOT NULL")
+
+
+QUERIES = {
+    "k5_subset_tables": _subset_tables,
+    "s10_unit_cache": _unit_cache,
+    "s9_broken_lines": _broken_lines,
+    "s7_read_run": _roundtrip_run,
+    "s8_read_csv": _roundtrip_csv,
+    "s9_read_jsonl": _roundtrip_jsonl,
+    "s6_read_vectors": _roundtrip_vectors,
+}
 
 
 def _sql() -> dict[str, str]:
+    from lodestone.operators.dilution import _WS
     from lodestone.operators.retrieval import RUN_SQL
 
     return {
+        "k5_subset_tables": """WITH k AS (SELECT DISTINCT corpus_id FROM qrels WHERE score >= 1), j AS (SELECT * FROM qrels WHERE corpus_id IN (SELECT corpus_id FROM k))
+SELECT 'corpus' AS tbl, id FROM corpus WHERE id IN (SELECT corpus_id FROM k) UNION ALL SELECT 'queries', id FROM queries WHERE id IN (SELECT query_id FROM j) UNION ALL SELECT 'qrels', corpus_id FROM j""",
+        "s10_unit_cache": f"""WITH k AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0)
+SELECT doc_id, CASE WHEN k.text IS NOT NULL THEN len(list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(d.text, chr(13), ''), '([.!?]){_WS}+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: trim(s, ' ' || chr(9) || '-#*>')), lambda s: length(s) >= 15)) END AS n
+FROM documents d LEFT JOIN k ON k.text = d.text""",
+        "s9_broken_lines": "SELECT line_no, prop_id FROM doc_propositions WHERE line_no % 5 <> 0",
         "s7_read_run": f"WITH {RUN_SQL} SELECT qid, did, score, rank FROM run",
         "s8_read_csv": "SELECT qid, run_id, has_image, n_gold, CASE WHEN isnan(ndcg_at_10) THEN -1e0 ELSE ndcg_at_10 END AS ndcg_at_10, rank_bucket FROM per_query",
         "s9_read_jsonl": "SELECT line_no, prop_id, grounded, regions[1].bbox_norm AS raw FROM doc_propositions",

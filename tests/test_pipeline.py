@@ -40,8 +40,8 @@ def test_run_id():
     a = RunConfig()
     assert a.run_id() == RunConfig(model=ModelConfig(batch_size=1, instruction="x")).run_id()
     assert a.run_id() != RunConfig(data=DataConfig(max_corpus=5)).run_id()
-    assert a.run_id().startswith("baseline_hash-64_all_call_qall_")
-    assert RunConfig(data=DataConfig(domains=("B", "a"))).run_id().split("_")[2] == "a-b"
+    assert a.run_id().startswith("baseline-")
+    assert RunConfig(data=DataConfig(domains=("B", "a"))).run_id() == RunConfig(data=DataConfig(domains=("a", "B"))).run_id() != a.run_id()
 
 
 def test_html(spark):

@@ -7,8 +7,9 @@ of walking the pieces one by one.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,26 @@ def cut_strengths(codes: np.ndarray) -> np.ndarray:
     return s
 
 
+@lru_cache(1)
+def _extending() -> np.ndarray:
+    """Characters below 0x20000 that never begin a grapheme: marks, joiners, selectors, modifiers, Hangul vowels and finals."""
+    table = np.zeros(0x20000, bool)
+    table[[i for i in range(0x300, 0x20000) if unicodedata.category(chr(i))[0] == "M"]] = True
+    table[0x200C:0x200E] = table[0x1160:0x1200] = table[0x1F3FB:0x1F400] = True
+    return table
+
+
+def whole_graphemes(codes: np.ndarray) -> np.ndarray:
+    """Whether a cut before each position 0..n keeps graphemes whole."""
+    safe = np.ones(len(codes) + 1, bool)
+    if len(codes) > 1:
+        here, left = codes[1:], codes[:-1]
+        extends = _extending()[np.minimum(here, 0x1FFFF)] & (here < 0x20000) | (here >= 0xE0100) & (here < 0xE01F0)
+        flag = (codes >= 0x1F1E6) & (codes < 0x1F200)
+        safe[1:-1] = ~(extends | (left == 0x200D) | (left == 13) & (here == 10) | flag[1:] & flag[:-1])
+    return safe
+
+
 def _visited(successor: np.ndarray, roots: np.ndarray) -> np.ndarray:
     """Nodes reachable from the roots along ``successor`` (terminal nodes point at themselves), by squaring."""
     seen = np.zeros(len(successor), bool)
@@ -78,7 +99,8 @@ def pieces(texts: list[str], limit: int, overlap: int, anywhere: bool = False) -
     A piece [start, end) has at most ``limit`` characters and the next one starts ``overlap`` characters before its
     end, so consecutive pieces share exactly that many. It ends at the strongest boundary in its last two fifths,
     latest among equals, else wherever the limit falls; with ``anywhere`` at the latest boundary before those two fifths,
-    and wherever the limit falls only where a piece has no boundary at all that lets the next one advance. Nodes are positions of cuts; the successor of a cut is the
+    and wherever the limit falls only where a piece has no boundary at all that lets the next one advance; there too
+    between graphemes, unless a single one is as long as a piece. Nodes are positions of cuts; the successor of a cut is the
     cut that the piece starting ``overlap`` before it ends at.
     """
     if not 0 <= overlap < limit // 2:
@@ -109,7 +131,8 @@ def _window(text: str, limit: int, overlap: int, anywhere: bool) -> tuple[np.nda
     n = len(c)
     if n <= limit:
         return np.zeros(1, np.int64), np.array([n])
-    strength = cut_strengths(c)
+    safe = whole_graphemes(c)
+    strength = np.where(safe, cut_strengths(c), 0)
     node = np.arange(n + 1, dtype=np.int32)
     # successor of a cut: where the piece that starts ``overlap`` before it ends
     start = np.maximum(node - overlap, 0)
@@ -120,6 +143,9 @@ def _window(text: str, limit: int, overlap: int, anywhere: bool) -> tuple[np.nda
     if anywhere:
         latest = np.maximum.accumulate(np.where(strength > 0, np.arange(n + 1, dtype=np.int32), np.int32(-1)))[last]
         successor = np.where((strength[successor] == 0) & (latest >= least), latest, successor)
+    # inside a word: the last place that keeps graphemes whole, unless one grapheme is as long as a piece
+    whole = np.maximum.accumulate(np.where(safe, node, np.int32(-1)))[successor]
+    successor = np.where((strength[successor] == 0) & (whole >= least), whole, successor)
     successor[last == n] = n
     ends = np.flatnonzero(_visited(successor, np.array([0])))
     ends = ends[ends > 0]

@@ -1,7 +1,9 @@
 """Top N items within every group: ``row_number`` over (score, identifier) with a rank filter.
 
-Written in SQL so that the optimiser turns the rank filter into a group limit on both sides of the shuffle: each map
-task sends at most N rows of a group, however many millions the group has.
+Written in SQL so that the optimiser turns the rank filters into group limits on both sides of each shuffle. The first
+limit is by dense rank, which copies of a row share: each map task sends of a group its N best different rows, and of
+these the copies it has; these go to SALTS places, so no task gets all copies of a row. There copies are folded, and the
+second limit, by row number, sees at most N rows of a group from each place.
 """
 
 from __future__ import annotations
@@ -9,23 +11,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Places that the map tasks' shares of a group are spread over.
+SALTS = 64
+
 
 def top_n(items: DataFrame, group: str, item: str, score: str, n: int = 3) -> DataFrame:
     """(group_key, item_key, score, rank_no): the ``n`` best items of every group, equals by smaller item.
 
     Rows with a null group, null item or a null or NaN score are never returned. Repeated rows count once; they are
-    folded by a partial aggregate before anything is shuffled, so copies of one row cannot crowd a task. One item
-    with several scores keeps each of them. Other columns are ignored; an empty table gives no rows.
+    spread and folded in between the two limits, so copies of one row cannot crowd a task. One item with several
+    scores keeps each of them. Other columns are ignored; an empty table gives no rows.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    view = items.select(F.col(group).alias("group_key"), F.col(item).alias("item_key"), F.col(score).cast("double").alias("score"))
+    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")
+    view = items.select(F.col(group).alias("group_key"), F.col(item).alias("item_key"), F.col(score).cast("double").alias("score"), salt)
     return view.sparkSession.sql(
         """
         SELECT group_key, item_key, score, rank_no FROM (
           SELECT group_key, item_key, score, row_number() OVER (PARTITION BY group_key ORDER BY score DESC, item_key ASC) AS rank_no
-          FROM (SELECT DISTINCT group_key, item_key, score FROM {items}
-                WHERE group_key IS NOT NULL AND item_key IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)))
+          FROM (
+            SELECT DISTINCT group_key, item_key, score FROM (
+              SELECT group_key, item_key, score, dense_rank() OVER (PARTITION BY group_key, salt ORDER BY score DESC, item_key ASC) AS place
+              FROM {items} WHERE group_key IS NOT NULL AND item_key IS NOT NULL AND score IS NOT NULL AND NOT isnan(score))
+            WHERE place <= {n}))
         WHERE rank_no <= {n}
         """,
         items=view,

@@ -173,6 +173,13 @@ def _echo(prompts: list[str]) -> list[str]:
     return [json.dumps([x for x in p.split(". Content: ", 1)[-1].split("\n") if x.strip()], ensure_ascii=False) for p in prompts]
 
 
+def _agree(text: str, image: bytes | None) -> str:
+    """Stand-in for a grounding model."""
+    import json
+
+    return json.dumps({"grounded": image is not None, "regions": [], "confidence": 0.5, "reason": None}, ensure_ascii=False)
+
+
 def _probe(spark: SparkSession, sf: str) -> DataFrame:
     d = spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("category", F.lit("")).alias("query"), "text")
     r = prefix_probe(d, HashEncoder(), "\n")

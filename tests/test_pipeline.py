@@ -99,3 +99,50 @@ def test_cli(spark, tables, tmp_path, capsys):
     (run,) = os.listdir(f"{tmp_path}/o")
     assert json.load(open(f"{tmp_path}/o/{run}/metrics.json"))["overall"]["all"]["1"]["num_queries"] == 2
     assert "overall" in capsys.readouterr().out
+
+
+def test_cli_commands(spark, tables, tmp_path, capsys):
+    from lodestone import cli
+
+    for name, t in zip(("queries", "corpus", "qrels", "domain_map"), tables):
+        t.write.parquet(f"{tmp_path}/t/{name}.parquet")
+    spark.createDataFrame([(1, "a", "a_p0", 0, "red fox", True, None, None, None, None)], io.GROUNDING).write.parquet(f"{tmp_path}/t/doc_propositions.parquet")
+    t, o = f"{tmp_path}/t", f"{tmp_path}/o"
+    cli.main(["baseline", "--tables", t, "--out", o, "--top-k", "3"])
+    run = f"{o}/{os.listdir(o)[0]}"
+    before = json.load(open(f"{run}/metrics.json"))
+    cli.main(["rebuild", "--tables", t, "--run-dir", run, "--top-k", "3"])
+    assert json.load(open(f"{run}/metrics.json")) == before
+    capsys.readouterr()
+    cli.main(["check-cache", "--tables", t, "--run-dir", run, "--top-k", "3"])
+    assert "|         0|" in capsys.readouterr().out  # mismatches
+    cli.main(["badcases", "--tables", t, "--run-dir", run, "--per-domain", "2"])
+    assert "page=" in open(f"{run}/badcases.html").read()
+    cli.main(["dilution", "--tables", t, "--run-dir", run])
+    cli.main(["build-benchmark", "--tables", t, "--run-dir", run, "--out", f"{tmp_path}/s", "--target", "2"])
+    assert json.load(open(f"{tmp_path}/s/stats.json"))["n_gold"] == 2
+    assert {r["id"] for r in spark.read.parquet(f"{tmp_path}/s/corpus.parquet").collect()} == {"a", "b"}
+    tables[3].write.parquet(f"{tmp_path}/s/domain_map.parquet")
+    cli.main(["subset-baseline", "--tables", f"{tmp_path}/s", "--out", f"{tmp_path}/so"])
+    assert "overall" in capsys.readouterr().out
+    u = f"{tmp_path}/u"
+    for _ in range(2):
+        cli.main(["propositions", "--tables", t, "--out", u, "--model", "lodestone.operators.decompose:_echo"])
+        cli.main(["ground", "--tables", t, "--out", u, "--model", "lodestone.operators.decompose:_agree"])
+    log = io.read_jsonl(spark, f"{u}/grounding", io.GROUNDING)
+    assert log.count() == log.select("corpus_id", "prop_idx").distinct().count() == 3
+    cli.main(["encode-subdocs", "--tables", t, "--out", u, "--chunk-rows", "2"])
+    cli.main(["encode-subdocs", "--tables", t, "--out", u, "--chunk-rows", "2"])
+    assert "chunks written: 0" in capsys.readouterr().out
+    v = spark.read.parquet(f"{u}/vectors").collect()
+    assert sorted(r["global_row"] for r in v) == list(range(len(v))) and len(v) >= 3
+
+
+def test_pages_and_limits(spark, tmp_path):
+    d = spark.createDataFrame([(f"t{i}", "x < y", "A", b"png" if i else None, "g") for i in range(30)], "title string, text string, tag string, image binary, g string")
+    index = reports.case_pages(d, f"{tmp_path}/pages", "cases", "g", per_page=10)
+    assert index.agg(F.sum("cases")).collect()[0][0] == 30 and index.count() > 1
+    page = "".join(r[0] for r in spark.read.text(f"{tmp_path}/pages").collect())
+    assert "x &lt; y" in page and page.count("<section>") == 30 and page.count("base64,") == 29
+    with pytest.raises(ValueError):
+        reports.html_cases(d, "cases", limit=5)

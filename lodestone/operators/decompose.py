@@ -13,7 +13,7 @@ from lodestone.functions import geometry as G
 from lodestone.functions import text as T
 from lodestone.functions.vector import inner_product, rounded, sigmoid
 
-from .dilution import cosine
+from .dilution import _WS, cosine
 from .encoders import Encoder, HashEncoder, encode
 from .regions import VIEWS, best_match, distinct_boxes, views
 
@@ -205,6 +205,17 @@ QUERIES = {
     "q16_region_text_match": _match,
 }
 SQL = {
+    "q9_prefix_probe": rf"""WITH d AS (
+  SELECT doc_id::VARCHAR AS id, coalesce(category, '') AS q, text AS f, CASE WHEN instr(text, chr(10)) > 0 THEN regexp_replace(substr(text, 1, instr(text, chr(10)) - 1), '{_WS}+$', '') ELSE text END AS p FROM documents WHERE text IS NOT NULL
+), unit AS (SELECT id, 'q' AS k, q AS t FROM d UNION ALL SELECT id, 'f', f FROM d UNION ALL SELECT id, 'p', p FROM d
+), tok AS (SELECT id, k, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+')) AS w FROM unit
+), slot AS (
+  SELECT id, k, b, sum(v)::BIGINT AS v FROM (SELECT id, k, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS b, CASE WHEN ('0x' || substr(md5(w), 9, 1))::BIGINT % 2 = 1 THEN 1 ELSE -1 END AS v FROM tok) GROUP BY id, k, b HAVING sum(v) <> 0
+), n2 AS (SELECT id, k, sum(v * v)::DOUBLE AS n FROM slot GROUP BY id, k
+), dot AS (SELECT y.id, y.k, sum(x.v * y.v)::DOUBLE AS s FROM slot x JOIN slot y ON x.id = y.id AND x.b = y.b WHERE x.k = 'q' AND y.k <> 'q' GROUP BY y.id, y.k
+), sim AS (SELECT a.id, b.k, coalesce(s, 0e0) / sqrt(a.n * b.n) AS c FROM n2 a JOIN n2 b ON a.id = b.id AND a.k = 'q' AND b.k <> 'q' LEFT JOIN dot ON dot.id = b.id AND dot.k = b.k)
+SELECT d.id, floor(coalesce(f.c, 0e0) * 1.0e4 + 0.5e0) / 1.0e4 AS sim_full, floor(coalesce(p.c, 0e0) * 1.0e4 + 0.5e0) / 1.0e4 AS sim_prefix
+FROM d LEFT JOIN sim f ON f.id = d.id AND f.k = 'f' LEFT JOIN sim p ON p.id = d.id AND p.k = 'p'""",
     "q12_propositions": r"""WITH d AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL), p AS (SELECT text, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(regexp_replace(s, '^[\s\x{a0}\x{3000}]+|[\s\x{a0}\x{3000}]+$', '', 'g'))), lambda s: s <> '') AS u FROM d)
 SELECT md5('document:' || text) AS key, CASE WHEN len(u) = 0 THEN 1 ELSE len(u) END AS n FROM p""",
     "q16_region_text_match": """WITH e AS (SELECT label AS item, vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT r.item, r.vec_id AS region_id, (['masked', 'box', 'context'])[r.vec_id % 3 + 1] AS view, t.vec_id AS text_idx, list_inner_product(r.v, t.v) AS score FROM e r JOIN e t ON t.item = r.item AND t.vec_id % 100 = 0)

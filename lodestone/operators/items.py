@@ -154,6 +154,19 @@ _WS = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{20
 _C = "c AS (SELECT DISTINCT id, modality, text, (image.bytes IS NOT NULL OR image.path IS NOT NULL) AS has_image FROM corpus)"
 _DOMAIN_CASE = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(b, '{p}')" for p in parts)} THEN '{d}'" for d, parts in DOMAIN_PARTS.items()) + " ELSE 'Other' END"
 
+_WS = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Options of a query as a list: read as JSON, else closed after the last quote; tables o (all columns, parsed).
+_PARSED = f"""c AS (
+  SELECT *, CASE WHEN starts_with(options, '[') THEN regexp_replace(regexp_replace(options, '\\s+$', ''), ',$', '') END AS cut FROM queries
+), r AS (
+  SELECT *, CASE WHEN ends_with(cut, ']') THEN cut WHEN instr(cut, '"') > 1 THEN substr(cut, 1, length(cut) - instr(reverse(cut), '"') + 1) || ']' ELSE cut || '"]' END AS closed FROM c
+), j AS (
+  SELECT *, CASE WHEN json_valid(options) AND json_type(CASE WHEN json_valid(options) THEN options::JSON END) = 'ARRAY' THEN options::JSON WHEN json_valid(closed) THEN closed::JSON END AS doc FROM r
+), o AS (
+  SELECT *, coalesce(list_filter(list_transform(doc ->> '$[*]', lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x IS NOT NULL AND x <> ''), []) AS parsed FROM j
+)"""
+_BLANK = lambda c: f"CASE WHEN regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g') <> '' THEN {c} END"
+
 QUERIES = {
     "s5_count_corpus": lambda spark, sf: spark.createDataFrame([(count_corpus(_t(spark, sf, "corpus")),)], "n bigint"),
     "s16_corpus_row": lambda spark, sf: corpus_row(_t(spark, sf, "corpus"), _t(spark, sf, "corpus").where("image.path IS NOT NULL").agg(F.min("id")).collect()[0][0]).select("id"),
@@ -194,6 +207,9 @@ QUERIES = {
     "f9_fallback_chain": lambda spark, sf: _t(spark, sf, "queries").select("id", F.posexplode(T.propositions_or_text(F.col("options"), F.col("answer"), F.col("text"))).alias("pos", "unit")).distinct(),
 }
 SQL = {
+    "f8_parse_propositions": f"WITH {_PARSED} SELECT DISTINCT id, (i - 1)::INT AS pos, parsed[i] AS option FROM o, LATERAL (SELECT unnest(range(1, len(parsed) + 1)) AS i)",
+    "f9_fallback_chain": f"""WITH {_PARSED}, u AS (SELECT id, CASE WHEN len(parsed) > 0 THEN parsed ELSE [coalesce({_BLANK('options')}, {_BLANK('answer')}, text)] END AS units FROM o)
+SELECT DISTINCT id, (i - 1)::INT AS pos, units[i] AS unit FROM u, LATERAL (SELECT unnest(range(1, len(units) + 1)) AS i) WHERE units[i] IS NOT NULL""",
     "s5_count_corpus": "SELECT count(DISTINCT id) AS n FROM corpus",
     "s16_corpus_row": "SELECT min(id) AS id FROM corpus WHERE image.path IS NOT NULL",
     "f7_id_prefix": "SELECT CASE WHEN starts_with(min(qid), 'corpus-test-') THEN 'corpus-test-' WHEN starts_with(min(qid), 'query-test-') THEN 'query-test-' ELSE '' END AS prefix FROM per_query",

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import geometry as G
 from lodestone.functions import text as T
 
-from .flatten import flat_boxes, standing
+from .dilution import _WS
+from .flatten import BOXES_SQL, flat_boxes, standing
 from .items import effective_modality
 
 FOCUS_MODES = ("crop", "context_crop", "brb")
@@ -68,4 +69,26 @@ QUERIES = {
     "q14_subdoc_items": _build,
     "q14_source_counts": lambda spark, sf: _build(spark, sf).groupBy("source").agg(F.count("*").alias("n")),
 }
-SQL: dict[str, str] = {}
+_PX = lambda f, a, b: f"round_even(greatest(0e0, least(1000e0, {f}({a}, {b}))), 0)::INT"
+_ITEMS_SQL = rf"""WITH RECURSIVE {BOXES_SQL}, docs AS (
+  SELECT id AS corpus_id, min(text) AS text, bool_or(image.bytes IS NOT NULL OR image.path IS NOT NULL) AS image FROM corpus WHERE id IS NOT NULL GROUP BY id
+), corner AS (
+  SELECT prop_id, {_PX('least', 'v[1]', 'v[3]')} AS x1, {_PX('greatest', 'v[1]', 'v[3]')} AS x2, {_PX('least', 'v[2]', 'v[4]')} AS y1, {_PX('greatest', 'v[2]', 'v[4]')} AS y2 FROM boxes
+), boxed AS (SELECT DISTINCT prop_id FROM corner WHERE (x2 > x1 OR x1 < 1000) AND (y2 > y1 OR y1 < 1000)
+), line AS (
+  SELECT pid AS prop_id, s.corpus_id, s.prop_idx, s.text, coalesce(s.grounded, false) AS grounded, coalesce(len(s.regions) > 0, false) AS has_regions, coalesce(d.image, false) AS image, b.prop_id IS NOT NULL AS box
+  FROM standing s LEFT JOIN docs d ON d.corpus_id = s.corpus_id LEFT JOIN boxed b ON b.prop_id = s.pid
+), rest AS (
+  SELECT corpus_id, text, image, list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(text, chr(13), ''), '([.!?]){_WS}+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(s, ' ' || chr(9) || '-#*>')), lambda s: length(s) >= 15) AS units
+  FROM docs WHERE corpus_id NOT IN (SELECT corpus_id FROM doc_propositions WHERE corpus_id IS NOT NULL)
+), items AS (
+  SELECT prop_id, corpus_id, prop_idx, text, grounded, grounded AND has_regions AND image AND box AS has_image,
+    CASE WHEN grounded AND has_regions AND image AND box THEN 'grounded_crop' WHEN grounded AND has_regions AND image THEN 'grounded_box_invalid' WHEN grounded THEN 'grounded_degraded_text' ELSE 'ungrounded_text' END AS source FROM line
+  UNION ALL SELECT corpus_id || '_p' || (i - 1), corpus_id, (i - 1)::INT, units[i], NULL, false, 'textdoc_prop' FROM rest, LATERAL (SELECT unnest(range(1, len(units) + 1)) AS i)
+  UNION ALL SELECT corpus_id || '_pwhole', corpus_id, -1, text, NULL, image, 'wholedoc_fallback' FROM rest WHERE coalesce(len(units), 0) = 0
+), typed AS (SELECT *, regexp_replace(coalesce(text, ''), '^{_WS}+|{_WS}+$', '', 'g') <> '' AS filled FROM items
+), built AS (SELECT prop_id, corpus_id, prop_idx, text, CASE WHEN filled AND has_image THEN 'image,text' WHEN filled THEN 'text' WHEN has_image THEN 'image' END AS modality, grounded, has_image, source FROM typed WHERE filled OR has_image)"""
+SQL = {
+    "q14_subdoc_items": f"{_ITEMS_SQL} SELECT * FROM built",
+    "q14_source_counts": f"{_ITEMS_SQL} SELECT source, count(*) AS n FROM built GROUP BY 1",
+}

@@ -79,19 +79,22 @@ _LOCAL = r"(?<![a-z0-9._%+-])[a-z0-9](?:[a-z0-9._%+-]*[a-z0-9])?"
 _DISGUISED = re.compile(rf"{_LOCAL}(?P<at>{_AT})(?:{_LABEL}(?P<dot>{_DOT}|\.))+[a-z]{{2,}}(?![a-z0-9])|{_LOCAL}(?P<at>{_WORD_AT})(?:{_LABEL}(?P<dot>{_DOT}))+[a-z]{{2,}}(?![a-z0-9])", re.I)
 #: without any of these a text has no disguised address, and the costly pattern is not tried
 _AT_SIGN = re.compile(rf"\s@|@\s|{_BRACKETED_AT}|{_BRACKETED_DOT}|\s{_WORD_DOT}\s", re.I)
+#: what every sign has one of, as plain text
+_AT_HINTS = ("[", "(", "{", "<", "dot", "punkt", "punto")
 _SPELLED = re.compile(r"(?<!\w)(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r")(?:[\s-]+(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r")){5,}(?!\w)", re.I)
+_DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def plain(text: str) -> tuple[str, list[int] | None]:
     """The plain form and, if lengths differ, the source place of each of its characters (and of its end)."""
-    s = text.translate(_plain_chars())
-    if _GLYPH.search(s):
+    s = text if text.isascii() else text.translate(_plain_chars())
+    if not s.isascii() and _GLYPH.search(s):
         # only inside words that also have Latin letters: Cyrillic and Greek words stay as they are
         s = re.sub(r"[\p{L}\p{N}._%+@-]*", lambda m: "".join(HOMOGLYPHS.get(c, c) for c in m.group()) if re.search(r"[a-zA-Z]", m.group()) else m.group(), s)
     edits: list[tuple[int, int, str]] = []
     low = s.lower()
-    if _AT_SIGN.search(s):
+    if ("@" in s or any(x in low for x in _AT_HINTS)) and _AT_SIGN.search(s):
         for m in _DISGUISED.finditer(s):
             edits += [(*m.span("at"), "@")] + [(a, b, ".") for a, b in m.spans("dot")]
     if sum(map(low.count, SPELLED)) > 5:
@@ -281,7 +284,7 @@ def detect(text: str, lexicon: frozenset) -> list[tuple[str, int, int]]:
         for m in list(_EMAIL.finditer(s)):
             hits.append(("EMAIL", *m.span()))
         mask()
-    digits = re.search(r"\d", s) is not None
+    digits = _DIGIT.search(s) is not None
     for i, pattern in enumerate(_ADDRESSES if digits else ()):
         if not _may_hold(s, i):
             continue

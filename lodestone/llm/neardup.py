@@ -329,4 +329,26 @@ QUERIES = {
     "p1_found": found,
     "p1_groups": lambda spark, sf: groups(spark.read.parquet(f"{sf}/corpus.parquet").select("id", "text")),
 }
-SQL: dict[str, str] = {}
+#: Brute force: all runs of all texts joined with each other.
+_PAIRS_SQL = r"""norm AS (
+  SELECT DISTINCT id, regexp_replace(lower(text), '[^\p{L}\p{Nd}]+', '', 'g') AS t FROM corpus WHERE id IS NOT NULL AND text IS NOT NULL
+), part AS (SELECT * FROM norm WHERE length(t) >= 80
+), rep AS (SELECT t, row_number() OVER (ORDER BY t) AS u FROM (SELECT DISTINCT t FROM part)
+), run AS (SELECT u, list_distinct(list_transform(range(1, length(t) - 6), lambda i: hash(t[i : i + 7]))) AS s FROM rep
+), flat AS (SELECT u, unnest(s) AS h FROM run
+), met AS (SELECT a.u AS x, b.u AS y, count(*) AS n FROM flat a JOIN flat b ON a.h = b.h AND a.u < b.u GROUP BY 1, 2
+), link AS (SELECT x, y FROM met JOIN run a ON a.u = x JOIN run b ON b.u = y WHERE n >= 0.6 * (len(a.s) + len(b.s) - n)
+), mem AS (SELECT DISTINCT id, u FROM part JOIN rep USING (t))"""
+SQL = {
+    "p1_found": f"""WITH {_PAIRS_SQL}, every AS (
+  SELECT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM link JOIN mem a ON a.u = x JOIN mem b ON b.u = y WHERE a.id <> b.id
+  UNION SELECT a.id, b.id FROM mem a JOIN mem b ON a.u = b.u AND a.id < b.id)
+SELECT * FROM every""",
+    "p1_groups": f"""WITH RECURSIVE {_PAIRS_SQL}, side AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), walk AS (SELECT u AS node, u AS seen FROM rep UNION SELECT walk.node, side.y FROM walk JOIN side ON side.x = walk.seen
+), root AS (SELECT node AS u, min(seen) AS r FROM walk GROUP BY 1
+), deg AS (SELECT x AS u, count(*) AS n FROM side GROUP BY 1
+), who AS (SELECT id, r, coalesce(n, 0) AS n FROM mem JOIN root USING (u) LEFT JOIN deg USING (u)
+), first_id AS (SELECT r, min(id) AS group_id FROM who GROUP BY 1)
+SELECT id, group_id, max(n)::BIGINT AS n_links FROM who JOIN first_id USING (r) GROUP BY 1, 2""",
+}

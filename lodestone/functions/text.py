@@ -10,12 +10,16 @@ STRIPPED, MIN_SENTENCE = " \t-#*>", 15
 QUERY_PREFIX, CORPUS_PREFIX = "query-test-", "corpus-test-"
 
 
+#: Fixed value: where a text is cut into sentence-like parts.
+SPLIT = r"(?U)(?<=[.!?])\s+|\n+"
+
+
 def sentences(text: Column) -> Column:
     """Array of sentence-like parts: cut at white space after ``.!?`` and at line feeds, ends stripped, short ones dropped.
 
     Carriage returns are removed first. Null for null.
     """
-    parts = F.split(F.replace(text, F.lit("\r"), F.lit("")), r"(?U)(?<=[.!?])\s+|\n+")
+    parts = F.split(F.replace(text, F.lit("\r"), F.lit("")), SPLIT)
     return F.filter(F.transform(parts, lambda p: F.btrim(p, F.lit(STRIPPED))), lambda p: F.length(p) >= MIN_SENTENCE)
 
 
@@ -52,6 +56,7 @@ def html_escape(text: Column) -> Column:
 
 
 def proposition_prompt(title: Column, section: Column, content: Column) -> Column:
+    """Fixed value: the form of the prompt, as the model expects it."""
     e = F.lit("")
     return F.concat(F.lit("Title: "), F.coalesce(title, e), F.lit(". Section: "), F.coalesce(section, e), F.lit(". Content: "), F.coalesce(content, e))
 

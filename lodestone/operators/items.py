@@ -171,7 +171,7 @@ QUERIES = {
     "s5_count_corpus": lambda spark, sf: spark.createDataFrame([(count_corpus(_t(spark, sf, "corpus")),)], "n bigint"),
     "s16_corpus_row": lambda spark, sf: corpus_row(_t(spark, sf, "corpus"), _t(spark, sf, "corpus").where("image.path IS NOT NULL").agg(F.min("id")).collect()[0][0]).select("id"),
     "f7_id_prefix": lambda spark, sf: spark.createDataFrame([(id_prefix(_t(spark, sf, "per_query"), [T.CORPUS_PREFIX, T.QUERY_PREFIX], "qid"),)], "prefix string"),
-    "p7_predicted_qrels": lambda spark, sf: judged_items(judgements(_t(spark, sf, "qrels"), _t(spark, sf, "queries")), _t(spark, sf, "per_query")).select("qid", "did", "rel"),
+    "sel7_predicted_qrels": lambda spark, sf: judged_items(judgements(_t(spark, sf, "qrels"), _t(spark, sf, "queries")), _t(spark, sf, "per_query")).select("qid", "did", "rel"),
     "w7_first_items": lambda spark, sf: first_items(_t(spark, sf, "corpus").where("id IS NOT NULL").select("id").distinct(), 50),
     "sel1_query_items": lambda spark, sf: query_items(_t(spark, sf, "queries"), _t(spark, sf, "domain_map")).drop("instruction"),
     "sel2_corpus_items": lambda spark, sf: corpus_items(_t(spark, sf, "corpus")),
@@ -213,7 +213,7 @@ SELECT DISTINCT id, (i - 1)::INT AS pos, units[i] AS unit FROM u, LATERAL (SELEC
     "s5_count_corpus": "SELECT count(DISTINCT id) AS n FROM corpus",
     "s16_corpus_row": "SELECT min(id) AS id FROM corpus WHERE image.path IS NOT NULL",
     "f7_id_prefix": "SELECT CASE WHEN starts_with(min(qid), 'corpus-test-') THEN 'corpus-test-' WHEN starts_with(min(qid), 'query-test-') THEN 'query-test-' ELSE '' END AS prefix FROM per_query",
-    "p7_predicted_qrels": """SELECT 'query-test-' || query_id AS qid, 'corpus-test-' || corpus_id AS did, max(coalesce(score, 1))::INT AS rel FROM qrels
+    "sel7_predicted_qrels": """SELECT 'query-test-' || query_id AS qid, 'corpus-test-' || corpus_id AS did, max(coalesce(score, 1))::INT AS rel FROM qrels
 WHERE query_id IN (SELECT id FROM queries WHERE id IS NOT NULL) AND 'query-test-' || query_id IN (SELECT qid FROM per_query) GROUP BY 1, 2""",
     "w7_first_items": "SELECT DISTINCT id FROM corpus WHERE id IS NOT NULL ORDER BY id LIMIT 50",
     "sel1_query_items": """SELECT DISTINCT 'query-test-' || id AS id, id AS source_id, text, coalesce(modality, 'image,text') AS modality, q.category, coalesce(coarse_domain, 'Unknown') AS coarse_domain FROM queries q LEFT JOIN domain_map d ON q.category = d.category WHERE id IS NOT NULL""",

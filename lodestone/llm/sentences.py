@@ -12,7 +12,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ FUNCTION_WORDS = {
     "es": "el la los las del y en un una que fueron por con de unas",
 }
 _FUNCTION = {k: v.split() for k, v in FUNCTION_WORDS.items()}
+_ANY_FUNCTION = {w for v in _FUNCTION.values() for w in v}
 #: Uses that a learned entry needs, however large the table is; the ratios decide the rest.
 LEAST = 3
 #: Entries that may be learned, as they travel to every task; more are an error.
@@ -74,7 +75,7 @@ def language(text: str) -> str:
     best = max((kana + han, "ja" if kana * 20 > han else "zh"), (thai, "th"), (deva, "hi"), (arab, "ar"))
     if best[0] * 4 > latin:
         return best[1] if best[0] else "xx"
-    words = Counter(text.lower().split())
+    words = Counter(w for w in text.lower().split() if w in _ANY_FUNCTION)
     votes = {k: sum(words[w] for w in v) for k, v in _FUNCTION.items()}
     top = max(votes, key=lambda k: votes[k])
     return top if votes[top] else "xx"
@@ -335,13 +336,18 @@ def _ends(s: str, at: int, m: Model, no_case: bool, capitals: bool) -> Iterator[
         begin = e
 
 
+@lru_cache(1)
+def _cases() -> np.ndarray:
+    """1 for capitals, 2 for small letters, of all characters below 0x20000; no others have cases."""
+    return np.array([1 if chr(i).isupper() else 2 if chr(i).islower() else 0 for i in range(0x20000)], np.int8)
+
+
 def units(text: str, model: dict[str, Model]) -> list[tuple[int, int]]:
     """(start, end) of the units of one text in code points, in order."""
     lang = language(text)
     m = model.get(lang) or Model()
     out: list[tuple[int, int]] = []
-    chars = Counter(text)
-    upper, lower = (sum(n for ch, n in chars.items() if f(ch)) for f in (str.isupper, str.islower))
+    _, upper, lower = np.bincount(_cases()[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0x1FFFF)], minlength=3)
     no_case, capitals = not upper and lower > 0, upper > 4 * lower
     for line in _LINE.finditer(text):
         s, base = line.group(), line.start()

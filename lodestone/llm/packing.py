@@ -101,7 +101,7 @@ def _fill(items: DataFrame, packs: list[tuple[str, int]], salts: int) -> tuple[D
         most = F.greatest(F.floor(F.col("capacity") / f), F.lit(1))
         nxt = FOLDS[i + 1] if i + 1 < len(FOLDS) else None
         least = F.floor(F.col("capacity") / nxt) + 1 if nxt else F.lit(1)
-        moved = True
+        before = None
         while True:
             stats = rest.groupBy("pack_no").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("sum"), F.min("n_tokens").alias("least"))
             if gaps is not None:
@@ -110,6 +110,9 @@ def _fill(items: DataFrame, packs: list[tuple[str, int]], salts: int) -> tuple[D
             left = {r["pack_no"]: r for r in stats.collect()}
             if not left:
                 break
+            count = sum(r["n"] for r in left.values())
+            moved = before is None or nxt is None or count < (1 - WORTH) * before
+            before = count
             if not moved or gaps is None or not any((r["room"] or 0) >= r["least"] for r in left.values()):
                 fresh = {}
                 for p, r in left.items():
@@ -118,7 +121,6 @@ def _fill(items: DataFrame, packs: list[tuple[str, int]], salts: int) -> tuple[D
                     fresh[p] = (opened[p], n, packs[p][1])
                     opened[p] += n
                 gaps = _fresh(spark, fresh) if gaps is None else gaps.unionByName(_fresh(spark, fresh))
-            before = sum(r["n"] for r in left.values())
             swept = cut(sweep(rest, gaps, least, most, salts))
             put = swept.where("container_id IS NOT NULL")
             used = put.groupBy("pack_no", "container_id").agg(F.sum("n_tokens").alias("used"))
@@ -126,7 +128,6 @@ def _fill(items: DataFrame, packs: list[tuple[str, int]], salts: int) -> tuple[D
             gaps = cut(shrunk.where("room > 0").select("pack_no", "container_id", "room", "capacity"))
             done.append(put)
             rest = swept.where("container_id IS NULL").drop("container_id")
-            moved = nxt is None or rest.count() < (1 - WORTH) * before
     out = done[0] if done else items.where("false").select("pack_no", "capacity", *_DOC, "n_tokens", F.lit(None).cast("bigint").alias("container_id"))
     for d in done[1:]:
         out = out.unionByName(d)

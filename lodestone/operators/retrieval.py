@@ -7,17 +7,23 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import vector as V
 from lodestone.functions.text import CORPUS_PREFIX, QUERY_PREFIX
 
-#: Query vectors that may travel with the task closure, in bytes; more are cut into blocks and joined by block.
-CLOSURE_BYTES = 8 << 20
+#: Query vectors that may travel to every task, in bytes; more are cut into blocks of that size and joined by block.
+CLOSURE_BYTES = 32 << 20
+#: Queries and documents of one matrix product.
 BLOCK_QUERIES = 1024
+BLOCK_DOCUMENTS = 2048
+#: Documents after which a task forgets those that no query keeps.
+CHUNK_DOCUMENTS = 65536
 #: Documents of one tile of the blocked join, about.
-TILE_DOCUMENTS = 65536
+TILE_DOCUMENTS = 262144
 
 
 def _dense(col: pa.Array, dim: int) -> np.ndarray:
@@ -34,34 +40,137 @@ def _ordered_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return s
 
 
-def _best(qid: np.ndarray, q: np.ndarray, did: np.ndarray, d: np.ndarray, k: int | None, cosine: bool) -> pa.RecordBatch:
-    """Candidates for the k best of each query in one block; every tie with the k-th is kept. Without k, all pairs."""
-    score = q @ d.T
-    if cosine:
-        score /= np.sqrt(np.outer((q * q).sum(1), (d * d).sum(1)))
-    kth = np.partition(score, score.shape[1] - k, axis=1)[:, -k] if k and score.shape[1] > k else np.full(len(q), -np.inf)
-    a, b = np.nonzero(score >= kth[:, None] - 1e-9)
-    s = _ordered_dot(q[a], d[b])
-    if cosine:
-        s = s / np.sqrt(_ordered_dot(q, q)[a] * _ordered_dot(d, d)[b])
-    return pa.record_batch([pa.array(qid[a]), pa.array(did[b]), pa.array(s)], names=["qid", "did", "score"])
+def _norms(a: np.ndarray) -> np.ndarray:
+    most = np.abs(a).max(1, initial=0.0)  # squares may leave the range of numbers
+    part = a / most[:, None]
+    return most * np.sqrt((part * part).sum(1))
 
 
-def _score(batches: Iterator[pa.RecordBatch], qid: np.ndarray, q: np.ndarray, k: int | None, cosine: bool) -> Iterator[pa.RecordBatch]:
+def _exact(q: np.ndarray, d: np.ndarray, a: np.ndarray, b: np.ndarray, cosine: bool) -> np.ndarray:
+    """Scores of the pairs (a, b), added up element by element as the column expression does."""
+    s = np.zeros(len(a))
+    for x, y in zip(np.ascontiguousarray(q.T), np.ascontiguousarray(d.T)):
+        s += x[a] * y[b]
+    return s / np.sqrt(_ordered_dot(q, q)[a] * _ordered_dot(d, d)[b]) if cosine else s
+
+
+def _pairs(qid: np.ndarray, q: np.ndarray, did: np.ndarray, d: np.ndarray, cosine: bool) -> pa.RecordBatch:
+    """Scores of all pairs of one block."""
+    a, b = np.divmod(np.arange(len(q) * len(d)), max(1, len(d)))
+    return pa.record_batch([pa.array(qid[a]), pa.array(did[b]), pa.array(_exact(q, d, a, b, cosine))], names=["qid", "did", "score"])
+
+
+class Best:
+    """The ``k`` best (score, did) of every query among the documents added so far, equals by larger id, each pair once.
+
+    Keeps k numbers a query, and ids of kept documents and of one chunk only, however many documents are added.
+    """
+
+    def __init__(self, qid: np.ndarray, q: np.ndarray, k: int, cosine: bool):
+        self.qid, self.q, self.k, self.cosine = qid, q, k, cosine
+        self.names = pa.array([], pa.string())  # ids of kept documents in ascending order; elsewhere their places stand for them
+        none = np.zeros(0, np.int64)
+        self.kept = [(none, none, np.zeros(0)) for _ in range(0, len(q), BLOCK_QUERIES)]  # place of query, of id, score
+        self.kth = np.full(len(q), -np.inf)
+        self.waiting: list[tuple[pa.Array, np.ndarray]] = []
+        self.count = 0
+
+    def add(self, did: pa.Array, d: np.ndarray) -> None:
+        for i in range(0, len(did), CHUNK_DOCUMENTS):
+            part = did.slice(i, CHUNK_DOCUMENTS)
+            self.waiting.append((part, d[i : i + CHUNK_DOCUMENTS]))
+            self.count += len(part)
+            if self.count >= CHUNK_DOCUMENTS:
+                self._chunk()
+
+    def _chunk(self) -> None:
+        if not self.count:
+            return
+        d = np.concatenate([x for _, x in self.waiting])
+        self._rename(pa.concat_arrays([x for x, _ in self.waiting]))
+        code, self.waiting, self.count = self.code, [], 0
+        size = _norms(d)
+        if not self.cosine:  # the longest first, so that each block has its own scale
+            order = np.argsort(-size)
+            d, size, code = d[order], size[order], code[order]
+        # single precision decides what can't be among the best; by so much it may be off for vectors of length 1
+        off = (d.shape[1] + 8) * 2.0**-24
+        for n, i in enumerate(range(0, len(self.q), BLOCK_QUERIES)):
+            q, kth = self.q[i : i + BLOCK_QUERIES], self.kth[i : i + BLOCK_QUERIES]
+            long = _norms(q)
+            unit = (q / long[:, None]).astype(np.float32)
+            found, more = [], 0
+            for j in range(0, len(d), BLOCK_DOCUMENTS):
+                e = slice(j, j + BLOCK_DOCUMENTS)
+                scale = size[e] if self.cosine else size[e].max()
+                score = unit @ (d[e] / np.reshape(scale, (-1, 1))).astype(np.float32).T
+                least = kth if self.cosine else kth / (long * scale)
+                least = np.where(np.isnan(least), -np.inf, least)
+                # rows of an id that is repeated here may turn out to be one pair
+                need = self.k + score.shape[1] - len(np.unique(code[e]))
+                if score.shape[1] > need and np.isneginf(kth).any():
+                    least = np.maximum(least, np.partition(score, score.shape[1] - need, axis=1)[:, -need] - off)
+                at = np.flatnonzero(score >= np.nextafter((least - off).astype(np.float32), np.float32(-np.inf))[:, None])
+                a, b = np.divmod(at, score.shape[1])
+                found.append((a, code[e][b], _exact(q, d[e], a, b, self.cosine)))
+                more += len(a)
+                if more * 2 >= self.k * len(q) or j + BLOCK_DOCUMENTS >= len(d):
+                    self.kept[n] = self._merge(found, self.kept[n], kth)
+                    found, more = [], 0
+
+    def _rename(self, new: pa.Array) -> None:
+        """Places for the kept ids and those of a chunk (``code``); ids that no query keeps any more are dropped."""
+        live = np.unique(np.concatenate([c for _, c, _ in self.kept]))
+        every = pa.concat_arrays([self.names.take(pa.array(live)), new])
+        rank = pc.rank(every, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64) - 1
+        first = np.unique(rank, return_index=True)[1]
+        self.names, self.code = every.take(pa.array(first)), rank[len(live) :]
+        self.kept = [(a, rank[np.searchsorted(live, c)], s) for a, c, s in self.kept]
+
+    def _merge(self, found: list[tuple[np.ndarray, ...]], kept: tuple[np.ndarray, ...], kth: np.ndarray) -> tuple[np.ndarray, ...]:
+        a, c, s = (np.concatenate(x) for x in zip(kept, *found))
+        good = s >= kth[a]
+        a, c, s = a[good], c[good], s[good]
+        order = np.argsort(-s)
+        order = order[np.argsort(a[order].astype(np.int16), kind="stable")]
+        level = np.cumsum(np.append(False, (a[order][1:] != a[order][:-1]) | (s[order][1:] != s[order][:-1]))[: len(a)])
+        order = order[np.argsort(level * len(self.names) - c[order])]  # equals by larger id
+        a, c, s = a[order], c[order], s[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1])
+        a, c, s = a[new], c[new], s[new]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        kth[a[place == self.k - 1]] = s[place == self.k - 1]
+        return a[place < self.k], c[place < self.k], s[place < self.k]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self._chunk()
+        for n, (a, c, s) in enumerate(self.kept):
+            yield pa.record_batch([pa.array(self.qid[n * BLOCK_QUERIES + a], pa.string()), self.names.take(pa.array(c)), pa.array(s)], names=["qid", "did", "score"])
+
+
+def _score(batches: Iterator[pa.RecordBatch], queries: Broadcast, k: int | None, cosine: bool) -> Iterator[pa.RecordBatch]:
+    qid, q = queries.value
+    best = Best(qid, q, k, cosine) if k else None
     for b in batches:
-        did, d = b.column(0).to_numpy(zero_copy_only=False), _dense(b.column(1), q.shape[1])
-        if len(did):
+        d = _dense(b.column(1), q.shape[1])
+        if best:
+            best.add(b.column(0), d)
+        elif len(d):
             for i in range(0, len(q), BLOCK_QUERIES):
-                yield _best(qid[i : i + BLOCK_QUERIES], q[i : i + BLOCK_QUERIES], did, d, k, cosine)
+                yield _pairs(qid[i : i + BLOCK_QUERIES], q[i : i + BLOCK_QUERIES], b.column(0).to_numpy(zero_copy_only=False), d, cosine)
+    if best:
+        yield from best.rows()
 
 
 def retrieve(queries: DataFrame, corpus: DataFrame, k: int | None = 100, dim: int = 64, cosine: bool = False, tiles: int | None = None, closure_bytes: int = CLOSURE_BYTES) -> DataFrame:
     """(qid, did, score, rank): the ``k`` documents of highest inner product for every query, equals by larger id.
 
     Both inputs are (id string, embedding array). Vectors that are not usable take no part; neither do null ids. Exact;
-    ``cosine`` divides by the norms. A small query set rides along with the scan of the corpus, whose tasks send k rows
-    for each query; a larger one (measured against ``closure_bytes``) is cut into blocks that meet tiles of the corpus
-    in an equi-join on (block, tile), both of bounded size: there are as many tiles as the corpus needs, or ``tiles``.
+    ``cosine`` divides by the norms. A small query set is sent to the tasks that scan the corpus, as many as there are
+    cores, each of which gives k rows for each query; a larger one (measured against ``closure_bytes``) is cut into
+    blocks that meet tiles of the corpus in an equi-join on (block, tile), both of bounded size: there are as many
+    tiles as the corpus needs, or ``tiles``.
     Without ``k`` every pair comes back, and no rank.
     """
     spark = queries.sparkSession
@@ -73,44 +182,50 @@ def retrieve(queries: DataFrame, corpus: DataFrame, k: int | None = 100, dim: in
     if head.num_rows <= room:
         if not head.num_rows:
             return spark.createDataFrame([], shape + (", rank int" if k else ""))
-        found = d.mapInArrow(partial(_score, qid=head.column(0).to_numpy(), q=_dense(head.column(1), dim), k=k, cosine=cosine), shape)
+        queries_ = spark.sparkContext.broadcast((head.column(0).to_numpy(), _dense(head.column(1), dim)))
+        tasks = d.coalesce(spark.sparkContext.defaultParallelism) if k else d  # each gives k rows for each query
+        found = tasks.mapInArrow(partial(_score, queries=queries_, k=k, cosine=cosine), shape)
     else:
-        blocks = max(1, -(-q.count() // BLOCK_QUERIES))
+        blocks = max(1, -(-q.count() // max(1, room)))
         tiles = tiles or max(1, -(-d.count() // TILE_DOCUMENTS))
         qb = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
         db = d.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
         def join(left: pa.Table, right: pa.Table) -> pa.Table:
+            empty = pa.table({"qid": pa.array([], pa.string()), "did": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
             if not left.num_rows or not right.num_rows:
-                return pa.table({"qid": pa.array([], pa.string()), "did": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
-            q0, d0 = _dense(left.column("embedding"), dim), _dense(right.column("embedding"), dim)
-            qi, di = left.column("id").to_numpy(), right.column("id").to_numpy()
-            return pa.Table.from_batches([_best(qi, q0, di[i : i + 8192], d0[i : i + 8192], k, cosine) for i in range(0, len(di), 8192)])
+                return empty
+            qid, q0 = left.column("id").to_numpy(), _dense(left.column("embedding"), dim)
+            parts = right.select(["id", "embedding"]).to_batches(max_chunksize=8192)
+            if k is None:
+                return pa.Table.from_batches([_pairs(qid[i : i + BLOCK_QUERIES], q0[i : i + BLOCK_QUERIES], b.column(0).to_numpy(zero_copy_only=False), _dense(b.column(1), dim), cosine) for b in parts for i in range(0, len(qid), BLOCK_QUERIES)])
+            best = Best(qid, q0, k, cosine)
+            for b in parts:
+                best.add(b.column(0), _dense(b.column(1), dim))
+            return pa.Table.from_batches(best.rows())
 
         found = qb.groupBy("block", "tile").cogroup(db.groupBy("block", "tile")).applyInArrow(join, shape)
     if k is None:
         return found.distinct()
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("did").desc())
-    # repeated documents share a dense rank: pruned before the shuffle, they are folded after it
-    found = found.withColumn("dense", F.dense_rank().over(w)).where(F.col("dense") <= k).drop("dense")
-    return found.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    # one shuffle for both: tasks have pruned already, and repeated documents are folded after it
+    return found.repartition("qid").distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 # ---------------------------------------------------------------- the run used by the query catalogue
 TOP_K, DIM = 100, 64
 
 
-def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """(row, embedding) of the usable sub-document vectors, each row once."""
-    d = spark.read.parquet(f"{sf}/subdoc_vectors.parquet").select("row", "embedding")
+def vectors(spark: SparkSession, sf: str, of: str = "true") -> DataFrame:
+    """(row, embedding) of the usable sub-document vectors, each row once; ``of`` (a condition on row) goes first."""
+    d = spark.read.parquet(f"{sf}/subdoc_vectors.parquet").select("row", "embedding").where(of)
     return d.where(F.col("row").isNotNull() & V.usable(F.col("embedding"), DIM)).dropDuplicates(["row"])
 
 
 def run(spark: SparkSession, sf: str, k: int = TOP_K) -> DataFrame:
     """Rows divisible by 100 as queries against all rows."""
-    v = vectors(spark, sf)
-    q = v.where("row % 100 = 0").select(F.concat(F.lit(QUERY_PREFIX), "row").alias("id"), "embedding")
-    return retrieve(q, v.select(F.concat(F.lit(CORPUS_PREFIX), "row").alias("id"), "embedding"), k)
+    q = vectors(spark, sf, "row % 100 = 0").select(F.concat(F.lit(QUERY_PREFIX), "row").alias("id"), "embedding")
+    return retrieve(q, vectors(spark, sf).select(F.concat(F.lit(CORPUS_PREFIX), "row").alias("id"), "embedding"), k)
 
 
 def judged(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,6 +239,12 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("qid", "did").agg(F.max("rel").alias("rel"))
 
 
+def documents(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(qid, doc) of the queries and (did, doc) of all sub-documents: who shares a document is judged (see ``judged``)."""
+    m = spark.read.parquet(f"{sf}/meta.parquet").where("corpus_id IS NOT NULL").select("row", F.col("corpus_id").alias("doc")).distinct()
+    return m.where("row % 100 = 0").select(F.concat(F.lit(QUERY_PREFIX), "row").alias("qid"), "doc"), m.select(F.concat(F.lit(CORPUS_PREFIX), "row").alias("did"), "doc")
+
+
 def query_meta(spark: SparkSession, sf: str) -> DataFrame:
     """(qid, coarse, fine, has_image) of the queries."""
     m = spark.read.parquet(f"{sf}/meta.parquet").where("row % 100 = 0").select("row", "modality", "source", "has_image").distinct()
